@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import read
 
-from . import bpe, mix, pack, split
+from . import bpe, handwritten, mix, pack, split
 
 
 def _limits(spark, d, problem: str) -> dict[str, int]:
@@ -15,6 +15,17 @@ def _limits(spark, d, problem: str) -> dict[str, int]:
     return {r[0]: r[1] for r in rows}
 
 
+def p4_found(spark, d):
+    """Files that were not written by hand."""
+    return handwritten.not_hand_written(read(spark, d, "repo_files")).select("file_id")
+
+
+def p4_kinds(spark, d):
+    """Number of files per repository and kind."""
+    found = handwritten.not_hand_written(read(spark, d, "repo_files"))
+    return found.groupBy("repo_path", "kind").agg(F.count("*").alias("n_files"))
+
+
 def p5_found(spark, d):
     """Items that must be split: those of which the splitter makes more than one piece."""
     p = _limits(spark, d, "p5")
@@ -63,7 +74,7 @@ def p9_shares(spark, d):
     return mix.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p6_containers, p6_fill, p8_ids, p8_round_trip, p9_uses, p9_shares)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p5_found, p5_pieces, p6_containers, p6_fill, p8_ids, p8_round_trip, p9_uses, p9_shares)}
 
 ORACLE = {
     "p5_found": "SELECT DISTINCT id FROM sample_data WHERE length(content) > (SELECT amount FROM limit_profiles WHERE problem = 'p5' AND limit_name = 'max_size')",
