@@ -81,7 +81,7 @@ def automaton():
 def head_comments(text: str) -> str:
     """The comment lines before the first line of code, in lower case; markers of a merge conflict are passed over."""
     out, block = [], False
-    for line in text[:HEAD_CHARS].lstrip("﻿").splitlines()[: HEAD_LINES * 2]:
+    for line in text[:HEAD_CHARS].lstrip("\ufeff").splitlines()[: HEAD_LINES * 2]:
         s = line.strip()
         if not s or _CONFLICT.match(s):
             continue
@@ -193,7 +193,7 @@ def body_fingerprint(text: str | None) -> str | None:
         return None
     import xxhash
 
-    lines = text.lstrip("﻿").splitlines()
+    lines = text.lstrip("\ufeff").splitlines()
     i = 0
     while i < len(lines) and (not lines[i].strip() or _CONFLICT.match(lines[i]) or _COMMENT.match(lines[i]) and not lines[i].lstrip().startswith(('"""', "'''"))):
         i += 1

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import read
 
-from . import bpe, handwritten, mix, pack, split
+from . import abuse, bpe, handwritten, mix, pack, split
 
 
 def _limits(spark, d, problem: str) -> dict[str, int]:
@@ -74,7 +74,22 @@ def p9_shares(spark, d):
     return mix.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p5_found, p5_pieces, p6_containers, p6_fill, p8_ids, p8_round_trip, p9_uses, p9_shares)}
+def p10_found(spark, d):
+    """Documents with abusive, hateful or sexual language."""
+    return abuse.score(read(spark, d, "documents")).where("flagged").select("doc_id")
+
+
+def p10_scores(spark, d):
+    """The score of every document."""
+    return abuse.score(read(spark, d, "documents"))
+
+
+def p10_rates(spark, d):
+    """Rates per source."""
+    return abuse.rates(read(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p5_found, p5_pieces, p6_containers, p6_fill, p8_ids, p8_round_trip, p9_uses, p9_shares, p10_found, p10_scores, p10_rates)}
 
 ORACLE = {
     "p5_found": "SELECT DISTINCT id FROM sample_data WHERE length(content) > (SELECT amount FROM limit_profiles WHERE problem = 'p5' AND limit_name = 'max_size')",
