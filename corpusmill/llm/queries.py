@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import read
 
-from . import abuse, bpe, handwritten, mix, pack, split
+from . import abuse, bpe, handwritten, mix, pack, split, validity
 
 
 def _limits(spark, d, problem: str) -> dict[str, int]:
@@ -49,6 +49,16 @@ def p6_fill(spark, d):
     return pack.fill_report(p6_containers(spark, d), _limits(spark, d, "p6")["capacity"])
 
 
+def p7_found(spark, d):
+    """Files that are not valid in their language."""
+    return validity.invalid_files(read(spark, d, "repo_files"), read(spark, d, "files")).select("file_id")
+
+
+def p7_rates(spark, d):
+    """Rates of such files per repository and language."""
+    return validity.invalid_rates(read(spark, d, "repo_files"), read(spark, d, "files"))
+
+
 def p8_ids(spark, d):
     """Token ids of every document by byte_bpe_50k."""
     return bpe.encode(read(spark, d, "documents"), "doc_id", "text")
@@ -89,7 +99,7 @@ def p10_rates(spark, d):
     return abuse.rates(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p5_found, p5_pieces, p6_containers, p6_fill, p8_ids, p8_round_trip, p9_uses, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p5_found, p5_pieces, p6_containers, p6_fill, p7_found, p7_rates, p8_ids, p8_round_trip, p9_uses, p9_shares, p10_found, p10_scores, p10_rates)}
 
 ORACLE = {
     "p5_found": "SELECT DISTINCT id FROM sample_data WHERE length(content) > (SELECT amount FROM limit_profiles WHERE problem = 'p5' AND limit_name = 'max_size')",
