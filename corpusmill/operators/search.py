@@ -12,7 +12,9 @@ K1, B = 1.2, 0.75
 def postings(docs: DataFrame, key: str, text: str, strict: bool = False) -> DataFrame:
     """key, term, tf: the inverted index. One row per distinct term of a document, counted before any shuffle of the
     text; write it bucketed by term to serve many queries."""
-    terms = with_tokens(docs.select(F.col(key).alias(key), F.col(text).alias("_text")), "_text", "_terms", strict).select(key, F.explode("_terms").alias("term"))
+    terms = with_tokens(docs.select(F.col(key).alias(key), F.col(text).alias("_text")), "_text", "_terms", strict).select(key, F.explode_outer("_terms").alias("term"))
+    # an outer explode: for an inner one the optimizer would test the array's size below, building it twice more
+    terms = terms.where(F.col("term").isNotNull())
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -103,7 +105,7 @@ def top_per(df: DataFrame, group: list[str], k: int, score: str, *ties: str) ->
 def trigrams(text: Column) -> Column:
     """Lower-cased runs of three characters of each word; words shorter than three stay whole."""
     ws = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    cut = lambda w: F.when(F.length(w) < 3, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)) if False else F.substr(w, i, F.lit(3))))
+    cut = lambda w: F.when(F.length(w) < 3, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3))))
     return F.flatten(F.transform(ws, cut))
 
 
@@ -114,7 +116,7 @@ def keyword_search(rows: DataFrame, key: str, fields: list[str], keyword: str, l
     if len(keyword) < 3:
         hit = rows.where(F.lower(both).contains(keyword.lower())).select(key, F.lit(1.0).alias("score"))
     else:
-        grams = rows.select(key, F.explode(trigrams(both)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+        grams = rows.select(key, F.explode_outer(trigrams(both)).alias("term")).where(F.col("term").isNotNull()).groupBy(key, "term").agg(F.count("*").alias("tf"))
         q = rows.sparkSession.range(1).select(F.explode(trigrams(F.lit(keyword))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
         length = grams.groupBy(key).agg(F.sum("tf").alias("dl"))
         stats = F.broadcast(length.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
