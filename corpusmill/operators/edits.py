@@ -99,7 +99,7 @@ def line_numbered(content: str, chunks: list[tuple[int, int, str]]) -> str:
     waiting = sorted(chunks, key=lambda c: c[0])
     out, skip = [], 0
     for no, line in enumerate(content.splitlines(keepends=True), 1):
-        if waiting and waiting[0][0] == no:
+        if no > skip and waiting and waiting[0][0] == no:
             _, end, text = waiting.pop(0)
             out += [p + "\n" for p in text.split("\n")[:-1]]
             skip = end
