@@ -139,7 +139,7 @@ def shape(text: str) -> str | None:
         return None
     tokens = _TOKEN.findall("\n".join(body))
     literal = [t for t in tokens if t[0] in "\"'-0123456789"]
-    size = sum(map(len, literal))
+    size = sum(len(t) for t in literal if " " not in t)  # prose and queries are no data
     names = [t for t in tokens if t[0] not in "\"'-0123456789"]
     packed = solid - sum(s.count(" ") + s.count("\t") for s in body)
     if len(literal) >= 1 and size >= 400 and size >= 0.62 * packed and len(names) <= max(12, 0.15 * len(literal)) + 4:

@@ -64,7 +64,7 @@ class Go(Grammar):
         post = f"(?:\\.(?:i|{args})|{paren}|{ANY_LIST}|\\^(?=[,;]|\\Z))*+"
         unit = f"(?:[+*!<]|{ANY_LIST}|m{ANY_LIST}|q)*+{operand}{post}"
         op = r"(?:[+*%<])"
-        lit = f"(?:{lists})*+"
+        lit = f"(?:{lists}{post})*+"
         self.chain = rx(f"(?<!\\.){unit}{lit}(?:{op}{unit}{lit})*+")
         self.plain = rx(f"(?<!\\.){unit}(?:{op}{unit})*+")
         self.rules = [(rx(f"ε{op}ε"), "ε")]
@@ -82,7 +82,7 @@ class Go(Grammar):
         self.stmt = rx(f";|(?:β(?:Eβ)*+(?:E{block})?|{var}|{types}|R(?:ε(?:,ε)*+)?|yε|Bε?|{simple}|{block})(?:;|\\Z)|ε:;?")
         self.case = rx(r"k(?:ε(?:,ε)*+(?:=ε|<ε)?):|d:")
         self.decl = rx(f"Δ(?:;|\\Z)|(?:{var}|{types})(?:;|\\Z)|;")
-        self.field = rx(r"(?:ε(?:,ε)*+ε?s?|\*?ε|ε(?:%ε)*+|Δ)(?:;|\Z)")
+        self.field = rx(r"(?:ε(?:,ε)*+ε{0,2}|\*?ε|ε(?:%ε)*+|Δ)(?:;|\Z)")
         self.group = rx(r"(?:;|ε(?:,ε)*+ε?(?:=ε(?:,ε)*+)?(?:;|\Z))")
         self.file = rx(f"Ki(?:;|\\Z)(?:;|M(?:i|\\.)?s(?:;|\\Z)|M{R('(', 'decls', 'args')}(?:;|\\Z))*+")
 

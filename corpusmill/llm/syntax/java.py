@@ -38,7 +38,7 @@ class Java(Grammar):
                 put(get(m.group("i"), "i"))
             elif k == "p":
                 p = m.group("p")
-                put(_OPS.get(p) or ("=" if p[-1] == "=" and p not in ("==", "!=", "<=", ">=") else "%" if len(p) > 1 or p in "/%" else "|" if p in "|" else p))
+                put(_OPS.get(p) or ("=" if p[-1] == "=" and p not in ("==", "!=", "<=", ">=") else "%" if len(p) > 1 or p in "/%^" else p))
             elif k == "d":
                 put("0")
             elif k == "q":
@@ -62,8 +62,7 @@ class Java(Grammar):
         atom = f"(?:[ipsφ0σ]|{args})"
         post = f"(?:\\.G?[ip]|{paren}|{ANY_LIST}|#|G)*+"
         unit = f"(?:{paren}→|i→|[!+#]|{args}(?=[ipsφ0!]))*+{atom}{post}"
-        op = r"(?:>>?>?|[+*%<|=j&^])"
-        self.chain = rx(f"(?<!\\.){unit}(?:{op}{unit})*+(?:(?<=ji){{0}})?".replace("{0}", "x{0}"))
+        op = r"(?:>>?>?|[+*%<|=j&])"
         self.chain = rx(f"(?<!\\.){unit}(?:{op}m?{unit})*+")
         self.rules = [(rx(r"ε\?ε:ε"), "ε"), (rx(f"ε{op}ε"), "ε"), (rx(f"(?:{paren}|i)→ε"), "ε")]
         self.args = rx(r"(?:ε(?:,ε)*+)?")

@@ -59,7 +59,7 @@ class Kotlin(Grammar):
                 put("s")
             elif k in ("x", "c"):
                 return None
-        return _JOIN.sub("", _PLAIN.sub("i", "".join(out)))
+        return _JOIN.sub("", _PLAIN.sub("i", re.sub(r"\.\*(?=\n|\Z)", "", "".join(out))))
 
     def build(self):
         R = self.role
@@ -110,7 +110,7 @@ class Kotlin(Grammar):
         if bracket == "[":
             return bool(self.args.fullmatch(self.expr(s.replace("\n", ""))))
         if role == "when":
-            e = self.expr(re.sub(r"(?<=[,\n])j|\Aj", "", s))
+            e = self.expr(re.sub(r"(?<=[,\n])j|\Aj", "", re.sub(r"\n?E(?=→)", "\n0", s)))
             at = 0
             while at < len(e):
                 m = self.branch.match(e, at)
@@ -125,7 +125,7 @@ class Kotlin(Grammar):
         return statements(e, self.head, self.stmt)
 
     def top(self, s):
-        e = self.expr(re.sub(r"(M[i.]*)\.\*", r"\1", s))
+        e = self.expr(s)
         m = self.file.match(e)
         rest = e[m.end() :]
         return not re.search(r"(?:\A|\n)ε(?:\n|\Z)", rest) and statements(rest, self.head, self.stmt)

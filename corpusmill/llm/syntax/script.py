@@ -55,7 +55,7 @@ class Script(Grammar):
                 put(get(m.group("i"), "i"))
             elif k == "p":
                 p = m.group("p")
-                put(_OPS.get(p) or ("%" if len(p) > 1 and p not in _ASSIGN else "=" if len(p) > 1 else "|" if p in "|&" else "%" if p in "/%" else p))
+                put(_OPS.get(p) or ("%" if len(p) > 1 and p not in _ASSIGN else "=" if len(p) > 1 else "|" if p in "|&" else "%" if p in "/%^" else p))
             elif k == "n":
                 if out and out[-1] != "\n" and not m.group("n").isspace() and "\n" not in m.group("n") or not out or out[-1] == "\n":
                     continue
