@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusmill.functions.text import with_tokens
+from corpusmill.session import spread
 
 K1, B = 1.2, 0.75
 
@@ -12,7 +15,7 @@ K1, B = 1.2, 0.75
 def postings(docs: DataFrame, key: str, text: str, strict: bool = False) -> DataFrame:
     """key, term, tf: the inverted index. One row per distinct term of a document, counted before any shuffle of the
     text; write it bucketed by term to serve many queries."""
-    terms = with_tokens(docs.select(F.col(key).alias(key), F.col(text).alias("_text")), "_text", "_terms", strict).select(key, F.explode_outer("_terms").alias("term"))
+    terms = with_tokens(spread(docs.select(F.col(key).alias(key), F.col(text).alias("_text"))), "_text", "_terms", strict).select(key, F.explode_outer("_terms").alias("term"))
     # an outer explode: for an inner one the optimizer would test the array's size below, building it twice more
     terms = terms.where(F.col("term").isNotNull())
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -31,21 +34,39 @@ def query_terms(spark: SparkSession, query: str, strict: bool = False) -> DataFr
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str, strict: bool = False) -> DataFrame:
-    """key, score of the documents that have a term of the query.
+    """key, score of the documents that have a term of the query; keys are unique.
 
-    The query's terms are a handful of rows and are broadcast; lengths are summed from the index with one shuffle by
-    document; document frequencies exist only for the query's terms.
+    Two passes over the texts and no shuffle of them. The first gives the corpus statistics: the number of documents,
+    their lengths (the size of a document's token array) and, for the query's terms only, document frequencies - one
+    row per term, which is read to the driver together with the query's own terms. The second scores each document in
+    its row. A query without terms finds nothing.
     """
-    post = postings(docs, key, text, strict)
-    terms = F.broadcast(query_terms(docs.sparkSession, query, strict))
-    length = post.groupBy(key).agg(F.sum("tf").alias("dl"))
-    hits = post.join(terms, "term")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    one = F.broadcast(collection_stats(post, docs, key))
-    n, avg = F.col("n_docs"), F.col("avgdl")
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qtf") * idf * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
-    return hits.join(F.broadcast(df), "term").join(length, key).crossJoin(one).groupBy(key).agg(F.sum(part).alias("score"))
+    spark = docs.sparkSession
+    q = {r[0]: r[1] for r in query_terms(spark, query, strict).collect()}
+    if not q:
+        return docs.select(key).limit(0).withColumn("score", F.lit(0.0))
+    wanted = F.array(*[F.lit(t) for t in sorted(q)])
+    cut = with_tokens(spread(docs.select(F.col(key).alias(key), F.col(text).alias("_text"))), "_text", "_terms", strict)
+    hits = F.coalesce(F.filter("_terms", lambda t: F.array_contains(wanted, t)), F.array().cast("array<string>"))
+    cut = cut.select(key, F.coalesce(F.size("_terms"), F.lit(0)).alias("dl"), hits.alias("hits"))
+    # outer explodes: a filter on what they make, or one that the optimizer would add for an inner one, would be pushed
+    # down through the columns above and cut up the texts again
+    marked = cut.select("dl", F.explode_outer(F.array_append(F.array_distinct("hits"), F.lit(""))).alias("term"))
+    rows = marked.groupBy("term").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()
+    stats = {r["term"]: (r["n"], r["total"]) for r in rows}
+    n, total = stats.pop("", (0, 0))
+    if not stats:
+        return cut.select(key).limit(0).withColumn("score", F.lit(0.0))
+    idf = {t: q[t] * (K1 + 1) * math.log((n - df + 0.5) / (df + 0.5) + 1) for t, (df, _) in stats.items()}
+    weight = F.create_map(*[F.lit(x) for kv in sorted(idf.items()) for x in kv])
+    norm = K1 * (1 - B + B * F.col("dl") / F.lit(total / n))
+
+    def part(t: Column) -> Column:
+        tf = F.size(F.filter("hits", lambda h: h == t))
+        return F.element_at(weight, t) * tf / (tf + norm)
+
+    score = F.aggregate(F.array_distinct("hits"), F.lit(0.0), lambda s, t: s + part(t))
+    return cut.select(key, F.explode_outer(F.when(F.size("hits") > 0, F.array(score))).alias("score")).where(F.col("score").isNotNull())
 
 
 def minmax(scored: DataFrame, score: str = "score", out: str = "norm") -> DataFrame:

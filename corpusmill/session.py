@@ -50,3 +50,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` for row-wise work that is dear: spread over all cores where the scan gave fewer partitions than there are.
+
+    Tables of real size have more splits than cores and pass as they are, without a shuffle; this only keeps a table of
+    one small file from being worked on by one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
