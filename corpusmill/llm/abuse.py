@@ -16,6 +16,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from corpusmill.session import spread
+
 from .mix import normal_source
 
 #: Texts with at least this score are cases.
@@ -242,7 +244,7 @@ def _windows(clause: str):
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score, kind, flagged for every row of `docs`; nothing is shuffled, rows written twice stay twice."""
-    kept = docs.select(F.col(key).alias(key), F.col(text).alias("_text"))
+    kept = spread(docs.select(F.col(key).alias(key), F.col(text).alias("_text")))
 
     def run(batches):
         for b in batches:

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusmill.session import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: Bounds of one worker's cache and of the code points that are worked on at once.
@@ -191,7 +193,7 @@ def encode(docs: DataFrame, key: str, text: str, path: str = DEFAULT_VOCABULARY,
     Null and empty texts have the empty list. No row is dropped or shuffled; repeated rows stay repeated.
     """
     data = vocabulary(path)
-    kept = docs.select(F.col(key).alias(key), F.col(text).alias("_text"))
+    kept = spread(docs.select(F.col(key).alias(key), F.col(text).alias("_text")))
     kind = dict(kept.dtypes)[key]
     schema = f"`{key}` {kind}, ids array<int>" + (", offsets array<int>" if offsets else "")
 

@@ -14,7 +14,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmill.session import checkpoint
+from corpusmill.session import checkpoint, spread
 
 # (phrase, kind, weight); phrases are matched in lower case with runs of white space as one blank
 NOTICES = [
@@ -206,7 +206,7 @@ def classify_files(files: DataFrame) -> DataFrame:
 
     kind is null for hand-written files and for null or empty contents. Rows written twice stay twice.
     """
-    kept = files.select("file_id", "repo_path", "file_path", "content")
+    kept = spread(files.select("file_id", "repo_path", "file_path", "content"))
 
     def run(batches):
         for b in batches:

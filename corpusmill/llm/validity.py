@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.functions.paths import extension
+from corpusmill.session import spread
 
 EXTENSIONS = {
     ".py": "python", ".pyw": "python", ".pyi": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".java": "java", ".go": "go", ".kt": "kotlin",
@@ -113,7 +114,7 @@ def _language(by_extension, declared):
 def with_language(repo_files: DataFrame, files: DataFrame) -> DataFrame:
     """file_id, repo_path, file_path, content, language. Only files without an extension are joined with the
     declarations (one per id: the greatest non-null), so that no other content is shuffled."""
-    base = repo_files.select("file_id", "repo_path", "file_path", "content", extension(F.coalesce("file_path", F.lit(""))).alias("ext"))
+    base = spread(repo_files.select("file_id", "repo_path", "file_path", "content", extension(F.coalesce("file_path", F.lit(""))).alias("ext")))
     named = base.where(F.col("ext") != "").withColumn("language", _language(F.col("ext"), None)).drop("ext")
     declared = files.where(F.col("id").isNotNull() & F.col("language").isNotNull()).groupBy("id").agg(F.max("language").alias("declared"))
     bare = base.where(F.col("ext") == "").join(declared, F.col("file_id") == F.col("id"), "left")
