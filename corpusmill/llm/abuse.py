@@ -32,6 +32,11 @@ payaso payasa basura inútil inútiles estúpido estúpida cabrón cabrona cabro
 """.split()
 #: Insults that are ordinary words elsewhere: alone they are none, in a pattern with a person they are.
 SOFT = set("loser losers parasite parasites minable minables basura inútil inútiles payaso payasa débile débiles ordure ordures prick bouffon retard simpleton idiota versager clown worm pig rat trash garbage clueless".split()) - {"clueless"}
+#: Explicit words, also when spelled with signs or masked.
+EXPLICIT = """
+horny tits titties boobs nudes erotic erotica panties slutty blowjob handjob orgasm orgasms porn pornographic masturbate masturbating masturbation cumshot dildo milf gangbang threesome clitoris fellatio cunnilingus
+pussy titten tetas
+""".split()
 GROUPS = """
 orrish veldari zorvani maleks tuvarians kesh-folk keshfolk women men girls immigrants migrants foreigners refugees muslims jews christians hindus blacks whites asians africans arabs mexicans gays lesbians
 homosexuals trans gypsies ausländer frauen juden muslime flüchtlinge étrangers femmes juifs musulmans inmigrantes extranjeros mujeres judíos musulmanes
@@ -59,7 +64,8 @@ def _squeeze(s: str) -> str:
 
 
 _STRONG = {_fold(w) for w in INSULTS} - {_fold(w) for w in SOFT}
-_ALL = {_fold(w) for w in INSULTS} | {_fold(w) for w in SOFT}
+_SEX = {_fold(w) for w in EXPLICIT}
+_ALL = {_fold(w) for w in INSULTS} | {_fold(w) for w in SOFT} | _SEX
 _SQUEEZED: dict[str, str] = {}
 for _w in sorted(_ALL):
     if len(_squeeze(_w)) >= 5:
@@ -70,6 +76,10 @@ for _w in sorted(_ALL, key=lambda w: (w in _STRONG, w)):
 _GROUPS = {_fold(w) for w in GROUPS}
 
 
+def _symbol(w: str) -> str:
+    return "INS" if w in _STRONG else "SEX" if w in _SEX else "SOFT"
+
+
 def normalise(text: str) -> str:
     """Compatibility forms, no invisible characters, look-alikes as Latin in words that are Latin or all look-alikes,
     spaced letters joined. Case and sentence marks stay."""
@@ -96,20 +106,18 @@ def word(token: str) -> str:
     low = token.lower()
     core = low.strip("!*|+@$€") if not low.startswith(("@", "$")) else low.rstrip("!*|+")
     f = _fold(core)
-    if f in _STRONG:
-        return "INS"
     if f in _ALL:
-        return "SOFT"
+        return _symbol(f)
     if f in _GROUPS:
         return "GRP"
     if f.isalpha() and f.isascii():
         if _RUN.search(f) and (w := _SQUEEZED.get(_squeeze(f))):
-            return "INS" if w in _STRONG else "SOFT"
+            return _symbol(w)
         return f if not (token[1:].lower() != token[1:] and not token.isupper()) else "ID"
     if "*" in low and re.fullmatch(r"\w\*{2,}\w?", low.strip("!")):
         m = low.strip("!")
         w = next((x for k, x in _MASKS.items() if k[0] == m[0] and k[2] == len(m) and (m[-1] == "*" or k[1] == m[-1])), None)
-        return "f" if w is None else "INS" if w in _STRONG else "SOFT"
+        return "f" if w is None else _symbol(w)
     if "_" in f or re.fullmatch(r"\d+", f):
         return "ID"
     if any(c.isalpha() for c in f):
@@ -117,9 +125,9 @@ def word(token: str) -> str:
         for x in (g, g.replace("i", "l"), g.rstrip("i")):
             h = re.sub(r"[-']", "", x)
             if h in _ALL or (w := _SQUEEZED.get(_squeeze(h))) and (h := w):
-                return "INS" if h in _STRONG else "SOFT"
+                return _symbol(h)
     h = re.sub(r"[-.]", "", f)
-    return "INS" if h in _STRONG else "SOFT" if h in _ALL else "GRP" if h in _GROUPS else f
+    return _symbol(h) if h in _ALL else "GRP" if h in _GROUPS else f
 
 
 _ANY = r"(?:INS|SOFT)"
@@ -149,13 +157,14 @@ GRAMMAR = [
         r" waste of (?:oxygen|space|skin|air|breath|time and oxygen) ", r" nobody (?:here )?(?:would|will|ll) (?:ever )?miss you ", r" nobody (?:here )?(?:likes|loves|wants|needs) you ", r" (?:more worth|worth more) than (?:you|your) ",
         r" your brain (?:must|is|has) ", r" crawl back (?:under|into|to) ", r" (?:my|the|a) (?:dog|cat|toddler|grandmother|monkey) (?:writes|codes|could write|has|knows) [^ ]+(?: [^ ]+)? than you ", r" your (?:parents|mother|father|family|mom|mum|dad) (?:must|should|has to|have to|ought to|will) be ",
         r" never touch a (?:keyboard|computer) ", r" (?:should not|shouldn t|shouldnt) be allowed near ", r" do (?:us|me|everyone|the world|humanity) (?:all )?a favou?r and (?:quit|leave|die|never|jump|disappear|resign|stop) ", r" quit crying ", r" stop wasting our time (?:you )?",
-        r" you (?:are|re) (?:too stupid|so stupid|pathetic|worthless|disgusting|a joke|an embarrassment|a disgrace|nothing) ", r" the world (?:would be|is) better (?:off )?without you ", r" youre (?:pathetic|worthless|disgusting|a joke) ", r" learn to read you ",
+        r" you (?:are|re) (?:too stupid|so stupid|pathetic|worthless|disgusting|a joke|an embarrassment|a disgrace|nothing) ", r" the world (?:would be|is) better (?:off )?without you ", r" youre (?:pathetic|worthless|disgusting|a joke) ", r" learn to read you ", r" you (?:are|re) (?:the|a) (?:human|living|walking) (?:version|equivalent|embodiment|definition|waste) of ", r" (?:useless|worthless) and (?:unloved|unwanted|stupid|pathetic|ugly) ",
+        r" you (?:are|re) (?:just |so |all |utterly |completely |really |such a )?(?:useless|worthless|pathetic|disgusting|brainless|hopeless|stupid|dumb|ugly|incompetent|unloved)(?: and [^ ]+)? ?$",
     )),
     ("abusive", 0.9, _rx(
         r" (?:i|we|someone|somebody) (?:will|ll|am going to|m going to|m gonna|gonna|would|d|ought to|should|could)(?: [^ ]+){0,2} (?:slap|punch|hit|hurt|kill|stab|shoot|strangle|choke|beat|break|destroy|smash|hunt|burn|bury|end) (?:you|your|u) ",
         r" (?:teach you a lesson|find out where you live|know where you live|limp home|watch your back|come for you|make you pay|beat you up|break your (?:legs|neck|face|bones|fingers)) ",
         r" (?:i|we) hope (?:that )?you (?:choke|die|rot|burn|suffer|bleed|get (?:hit|cancer|fired|sick)|never wake) ", r" wish (?:we|i|they) could(?: still)? (?:hit|slap|punch|beat|kick|hurt) ", r" you ll (?:be sorry|regret|pay for) ", r" (?:you|team|lot|all) can (?:all )?rot ",
-        r" (?:kill|hang|shoot|off) your ?self ", r" jump off (?:a|the) (?:bridge|roof|cliff|building) ", r" keep (?:talking|it up|going) and i ", r" if you (?:vanished|died|disappeared|were dead) ", r" ich (?:bring|mach|schlag)e? dich ", r" je vais te (?:tuer|frapper|casser) ", r" te voy a (?:matar|pegar|romper) ",
+        r" (?:kill|hang|shoot|off|end|drown|delete|neck) (?:your ?self|urself) ", r" jump off (?:a|the) (?:bridge|roof|cliff|building) ", r" keep (?:talking|it up|going) and i ", r" if you (?:vanished|died|disappeared|were dead) ", r" ich (?:bring|mach|schlag)e? dich ", r" je vais te (?:tuer|frapper|casser) ", r" te voy a (?:matar|pegar|romper) ",
         r" (?:creve|stirb|muerete) ",
     )),
     ("hateful", 0.95, _rx(
@@ -164,13 +173,13 @@ GRAMMAR = [
         r" never hire [^ ]+(?: [^ ]+)? they are ", r" (?:get rid of|wipe out|exterminate|deport|round up|lock up|gas|ban) (?:all )?(?:of )?(?:the |those |these )?(?:GRP|[^ ]+(?: and)? (?:they ruin|and ship them)) ", r" and ship them (?:off|back|home) ", r" go back to where you came from ", r" go back to your (?:own )?country ",
         r" (?:has|have|is) no (?:room|place) for GRP ", r" no room for [^ ]+ (?:here|in this)? ?$", r" typical GRP ", r" filthy and dishonest ", r" (?:ruined|destroyed|infested|overrun) by (?:the )?GRP ", r" GRP (?:do not|don t|dont|will never) belong ", r" they let (?:the |all |those )?(?:GRP|[^ ]+) in ",
         r" (?:not|never) (?:review|read|accept|merge|trust) (?:any )?code from GRP ", r" they are all (?:liars|thieves|criminals|stupid|the same) ", r" keep (?:the |those |all )?(?:GRP) (?:away|out) ", r" (?:driven|thrown|kicked|chased) out of (?:this|the|our) ", r" they ruin everything ",
-        r" GRP (?:are|is)(?: all)? (?:too |so )?(?:stupid|dirty|lazy|filthy|inferior|dishonest|criminals|disgusting|vermin) ", r" as always with that sort ", r" (?:every|each) single one of them ?$", r" GRP raus ", r" GRP (?:dehors|fuera) ", r" dehors les GRP ", r" i hate (?:all )?(?:the )?GRP ", r" they (?:smell|stink) ", r" (?:refuse to|never|won t|not) [^ ]+ (?:anything|code|work)(?: [^ ]+){0,2} (?:with|from|by) GRP ", r" GRP (?:smell|stink|steal|lie|breed) ",
+        r" GRP (?:are|is)(?: all)? (?:too |so )?(?:stupid|dirty|lazy|filthy|inferior|dishonest|criminals|disgusting|vermin) ", r" as always with that sort ", r" (?:every|each) single one of them ?$", r" GRP raus ", r" GRP (?:dehors|fuera) ", r" dehors les GRP ", r" (?:all|these|those|the) GRP (?:should|must|ought to) (?:be |all )?(?:shot|deported|banned|fired|die|leave|hang|hanged|gassed|beaten) ", r" GRP should (?:be |all )?(?:shot|deported|banned|fired|die|hang|hanged|gassed|beaten) ", r" (?:no|free of|rid of) GRP (?:allowed|here|in this|in our|on this) ", r" i hate (?:all )?(?:the )?GRP ", r" they (?:smell|stink) ", r" (?:refuse to|never|won t|not) [^ ]+ (?:anything|code|work)(?: [^ ]+){0,2} (?:with|from|by) GRP ", r" GRP (?:smell|stink|steal|lie|breed) ",
     )),
     ("sexual", 0.9, _rx(
-        r" (?:horny|tits|titties|boobs|nudes|erotic|erotica|panties|slutty|blowjob|handjob|orgasm|orgasms|porn|pornographic|masturbate|masturbating|masturbation|cumshot|dildo|milf|gangbang|threesome|clitoris|erection|fellatio|cunnilingus) ",
+        r" SEX ", r" erection ", r" (?:want to|wanna|would love to|d love to|let me|going to|gonna|i ll|i will) (?:lick|kiss|touch|undress|spank|ride|taste|fondle|grope|bang|fuck|bend) (?:you|u|your|her|him)(?: [^ ]+){0,2} (?:all over|everywhere|over|naked|slowly|tonight|all night|lips|neck|body|ass|thighs) ", r" (?:sit on my (?:face|lap|desk)|take off your (?:clothes|shirt|pants|panties|bra)|strip for me|bend over(?: [^ ]+)? (?:desk|for me)|naked for me|thinking of you naked) ",
         r" (?:moaned|moaning|moans) (?:as|while|when|softly|loudly|with|and|in) ", r" (?:bare|naked|her|soft|heaving) breasts ", r" hey sexy ", r" (?:wanna|want to|let s|lets|should we) (?:hook up|fuck|bang|make out|get naked|have sex|sleep together) ", r" (?:have|having|had|has|want|wants|wanted) (?:hot |wild |rough |oral |anal )?sex ",
         r" (?:explicit|sex|dirty|steamy) (?:story|scene|tape|chat|talk|fantasy) ", r" what are you wearing ", r" (?:you|me|her|him|us) (?:all )?naked ", r" naked (?:on|in|with) (?:my|your|his|her|the bed|bed) ", r" (?:touch|lick|suck|spank|undress|fuck|ride|taste) (?:them|me|you|her|him|my|your|it)(?: [^ ]+){0,3} (?:tonight|naked|hard|slowly|all night|everywhere|bed|cock|dick|ass|pussy|body) ",
-        r" (?:sexy|hot) (?:babe|body|baby|ass|legs|girl|picture|photo)s? ", r" (?:begged|begging) (?:him|her|me|you) to (?:take|fuck|touch) ", r" (?:do to me|take me) (?:under|on|over|against|right) ", r" send (?:me )?(?:nudes|naked|a nude|your nudes|sexy) ", r" (?:pussy|cock|dick) (?:pic|pics|so|in|inside|hard|wet) ",
+        r" (?:sexy|hot) (?:babe|body|baby|ass|legs|girl|picture|photo)s? ", r" (?:begged|begging) (?:him|her|me|you) to (?:take|fuck|touch) ", r" (?:do to me|take me) (?:under|on|over|against|right) ", r" send (?:me )?(?:SEX|naked|a nude|your SEX|sexy) ", r" (?:pussy|cock|dick) (?:pic|pics|so|in|inside|hard|wet) ",
         r" roleplay as my ", r" (?:ficken|geile? (?:titten|sau|maus)|nackt(?:bilder|fotos)|baise moi|photos? de toi nue?|te veux nue?|follar|follamos|desnuda para mi|fotos? desnud[oa]s?|tetas|seins nus|enviame fotos|schick mir nackt[^ ]*|zieh dich aus) ",
     )),
 ]
@@ -182,7 +191,7 @@ _MENTION = _rx(
     r" (?:word|words|term|terms|string|strings|phrase|phrases|sample|samples|example|examples|classifier|filter|filters|blocklist|denylist|wordlist|list|lexicon|dictionary|regex|pattern|rule|rules|label|labels|token|tokens|flagged|flags|flag|masked|mask|censored|quoted|reported|report|moderation|toxicity) ",
     r" (?:wort|worter|begriff|ausdruck|filter|liste|ausgeblendet|gefiltert|gesperrt|regel|mot|mots|terme|expression|filtre|masque|liste|regle|palabra|palabras|termino|filtro|lista|regla|bloquea|oculta) ",
 )
-_LISTED = re.compile(r"(?: (?:INS|SOFT)(?: (?:and|or|und|oder|et|ou|y|o))?){3,} ")
+_LISTED = re.compile(r"(?: (?:INS|SOFT|SEX)(?: (?:and|or|und|oder|et|ou|y|o))?){3,} ")
 
 
 def clause_string(clause: str) -> str:
@@ -190,7 +199,7 @@ def clause_string(clause: str) -> str:
 
 
 def _split(w: str) -> list[str]:
-    if w in ("INS", "SOFT", "GRP", "ID"):
+    if w in ("INS", "SOFT", "SEX", "GRP", "ID"):
         return [w]
     return [x for x in re.split(r"[^\w]+", w) if x]
 
@@ -214,7 +223,7 @@ def score_clause(clause: str) -> list[tuple[str, float]]:
             found = [(k, w) for k, w, p in GRAMMAR if p.search(bare)]
     if found and "abusive" in {k for k, _ in found}:
         if _SELF.search(s) or _THING.search(s) or _NEGATED.search(s) or _LISTED.search(s) and _MENTION.search(s):
-            without = re.sub(r" (?:INS|SOFT)(?= )", " x", s)
+            without = re.sub(r" (?:INS|SOFT|SEX)(?= )", " x", s)
             found = [(k, w) for k, w, p in GRAMMAR if p.search(without)]
     return found
 
