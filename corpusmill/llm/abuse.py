@@ -156,7 +156,7 @@ GRAMMAR = [
     ("abusive", 0.85, _rx(
         r" waste of (?:oxygen|space|skin|air|breath|time and oxygen) ", r" nobody (?:here )?(?:would|will|ll) (?:ever )?miss you ", r" nobody (?:here )?(?:likes|loves|wants|needs) you ", r" (?:more worth|worth more) than (?:you|your) ",
         r" your brain (?:must|is|has) ", r" crawl back (?:under|into|to) ", r" (?:my|the|a) (?:dog|cat|toddler|grandmother|monkey) (?:writes|codes|could write|has|knows) [^ ]+(?: [^ ]+)? than you ", r" your (?:parents|mother|father|family|mom|mum|dad) (?:must|should|has to|have to|ought to|will) be ",
-        r" never touch a (?:keyboard|computer) ", r" (?:should not|shouldn t|shouldnt) be allowed near ", r" do (?:us|me|everyone|the world|humanity) (?:all )?a favou?r and (?:quit|leave|die|never|jump|disappear|resign|stop) ", r" quit crying ", r" stop wasting our time (?:you )?",
+        r" never touch a (?:keyboard|computer) ", r" (?:should not|shouldn t|shouldnt) be allowed near ", r" do (?:us|me|everyone|the world|humanity) (?:all )?a favou?r and (?:quit|leave|die|never|jump|disappear|resign|stop) ", r" quit crying ", r" stop wasting our time (?:you )?", r" you (?:disgust|sicken|repulse) (?:me|us|everyone) ",
         r" you (?:are|re) (?:too stupid|so stupid|pathetic|worthless|disgusting|a joke|an embarrassment|a disgrace|nothing) ", r" the world (?:would be|is) better (?:off )?without you ", r" youre (?:pathetic|worthless|disgusting|a joke) ", r" learn to read you ", r" you (?:are|re) (?:the|a) (?:human|living|walking) (?:version|equivalent|embodiment|definition|waste) of ", r" (?:useless|worthless) and (?:unloved|unwanted|stupid|pathetic|ugly) ",
         r" you (?:are|re) (?:just |so |all |utterly |completely |really |such a )?(?:useless|worthless|pathetic|disgusting|brainless|hopeless|stupid|dumb|ugly|incompetent|unloved)(?: and [^ ]+)? ?$",
     )),
