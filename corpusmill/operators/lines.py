@@ -103,12 +103,6 @@ def skipped(df: DataFrame, keep: list[str], text: str, most: int = 200) -> DataF
     return a.select(*keep, F.explode(F.filter(ends, lambda x: x["first"] <= x["last"])).alias("x")).select(*keep, "x.*")
 
 
-def relative_indents(text: Column) -> Column:
-    """Per line the change of its indent against the line before."""
-    w = F.transform(T.lines(text), lambda l: F.length(l) - F.length(F.ltrim(F.translate(l, "\t", " "))))
-    return F.transform(F.zip_with(w, F.concat(F.array(F.lit(0)), w), lambda a, b: a - b), lambda x: x)
-
-
 def import_blocks(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """keep, first, last, n: consecutive import lines with only blank or comment lines between them."""
     a = df.select(*keep, T.lines(F.col(text)).alias("_a"))

@@ -94,6 +94,20 @@ def test_feed_survives_failures(spark, tmp_path):
         runner._commit(head["version"], {})
 
 
+def test_index_stream(spark, tmp_path):
+    from corpusmill.streaming.incremental import index_stream
+
+    schema = "id bigint, repo_path string, file_path string, file_hash string, created_at timestamp, arrived_at timestamp"
+    days = [[(1, "/r", "a", "h1", at(0), at(0)), (2, "/r", "b", "h1", at(0), at(1))], [(3, "/r", "a", "h2", at(2), at(2)), (4, "/r", "b", "H1 ", at(2), at(3))], [(5, "/r", "c", None, at(4), at(4))]]
+    got = []
+    for day in days:
+        spark.createDataFrame(day, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = index_stream(src, str(tmp_path / "store"), str(tmp_path / "ck"), lambda df, n: got.append(sorted(r["id"] for r in df.collect())))
+        assert q.awaitTermination(120)
+    assert got == [[1, 2], [3], []]
+
+
 def test_windows():
     assert incremental.commit_windows([(2, 20), (1, 10)]) == [(1, None, 10), (2, 10, 20)]
 
