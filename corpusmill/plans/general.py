@@ -15,7 +15,8 @@ def p1_found(spark, d):
 
 def p1_runs(spark, d):
     """Window and number of changed files of every succeeded run."""
-    return incremental.run_summary(read(spark, d, "files"), read(spark, d, "index_runs"))
+    runs = incremental.run_summary(read(spark, d, "files"), read(spark, d, "index_runs"))
+    return runs.withColumns({c: F.unix_micros(c) for c in ("lower_excl", "upper_incl")})
 
 
 def _orphans(spark, d):
@@ -67,10 +68,10 @@ _P3 = """WITH i AS (SELECT file_id, start_line AS s, end_line AS t, max(end_line
 
 ORACLE = {
     "p1_found": _P1,
-    "p1_runs": f"""WITH n AS ({_P1}), {_RUNS} SELECT s.run_id, lag(s.started_at) OVER (ORDER BY s.started_at, s.run_id) AS lower_excl, s.started_at AS upper_incl,
+    "p1_runs": f"""WITH n AS ({_P1}), {_RUNS} SELECT s.run_id, epoch_us(lag(s.started_at) OVER (ORDER BY s.started_at, s.run_id)) AS lower_excl, epoch_us(s.started_at) AS upper_incl,
   (SELECT count(*) FROM n WHERE n.run_id = s.run_id) AS n_changed FROM succ s""",
     "p2_found": f"{_P2} SELECT DISTINCT table_name, row_id FROM o",
-    "p2_report": f"{_P2} SELECT table_name, strftime(date_trunc('day', created_at), '%Y-%m-%d') AS period, reason, count(*) AS n_rows, count(DISTINCT file_id) AS n_keys FROM o GROUP BY ALL",
+    "p2_report": f"{_P2} SELECT table_name, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS period, reason, count(*) AS n_rows, count(DISTINCT file_id) AS n_keys FROM o GROUP BY ALL",
     "p3_found": f"{_P3} SELECT file_id, CAST(b + 1 AS BIGINT) AS gap_start, CAST(s - 1 AS BIGINT) AS gap_end FROM i WHERE s > b + 1",
     "p3_periods": f"""{_P3}, g AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS k FROM i)
 SELECT file_id, CAST(min(s) AS BIGINT) AS period_start, CAST(max(t) AS BIGINT) AS period_end, count(DISTINCT s) AS n_starts FROM g GROUP BY file_id, k""",

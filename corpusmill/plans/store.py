@@ -179,11 +179,11 @@ def upsert_chunks(spark, d):
 _UUID = "lower(concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', CAST(((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4) AS INT) + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)))"
 
 
-@query(f"WITH {SAMPLES}, k AS (SELECT id, created_at, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(path || chunk_hash || s || '-' || coalesce(e, s))) AS h FROM ck) SELECT {_UUID} AS key, count(*) AS n, max(created_at) AS created_at FROM k GROUP BY 1")
+@query(f"WITH {SAMPLES}, k AS (SELECT id, created_at, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(path || chunk_hash || s || '-' || coalesce(e, s))) AS h FROM ck) SELECT {_UUID} AS key, count(*) AS n, epoch_us(max(created_at)) AS created_at FROM k GROUP BY 1")
 def upsert_chunk_files(spark, d):
     """Keyed by path, hash and lines; of rows with one key the latest stays."""
     k = F.concat("path", "chunk_hash", F.col("s").cast("string"), F.lit("-"), F.coalesce("e", "s").cast("string"))
-    return samples(spark, d).select(T.uuid5(k).alias("key"), "created_at").groupBy("key").agg(F.count("*").alias("n"), F.max("created_at").alias("created_at"))
+    return samples(spark, d).select(T.uuid5(k).alias("key"), "created_at").groupBy("key").agg(F.count("*").alias("n"), F.unix_micros(F.max("created_at")).alias("created_at"))
 
 
 @query(f"WITH {SAMPLES} SELECT id, chunk_hash, count(*) OVER (PARTITION BY path) AS total_chunks, regexp_extract(path, '[^/]*$') AS searchable_file_name FROM ck")
@@ -200,10 +200,10 @@ def _live(spark, d):
     return versions(spark, d).where("file_hash <> ''").select(F.col("file_path").alias("path")).distinct()
 
 
-@query(f"WITH {SAMPLES}, {CUR}, {_LIVE} SELECT id, CASE WHEN path IN (FROM live) THEN TIMESTAMPTZ '2025-05-10 00:00:00+00' ELSE created_at END AS created_at FROM ck WHERE path IS NOT NULL")
+@query(f"WITH {SAMPLES}, {CUR}, {_LIVE} SELECT id, epoch_us(CASE WHEN path IN (FROM live) THEN TIMESTAMPTZ '2025-05-10 00:00:00+00' ELSE created_at END) AS created_at FROM ck WHERE path IS NOT NULL")
 def refresh_timestamps(spark, d):
     ck = samples(spark, d).where(F.col("path").isNotNull()).select("id", "path", "created_at")
-    return S.refresh(ck, _live(spark, d), "path", _ts("2025-05-10 00:00:00"), ["created_at"]).select("id", "created_at")
+    return S.refresh(ck, _live(spark, d), "path", _ts("2025-05-10 00:00:00"), ["created_at"]).select("id", F.unix_micros("created_at").alias("created_at"))
 
 
 @query(f"WITH {SAMPLES} SELECT id, coalesce(v.label, -1) AS label FROM ck LEFT JOIN embeddings v ON v.vec_id = ck.file_id")
@@ -436,7 +436,7 @@ def overlay_update_hashes(spark, d):
     return a.join(b, ["repo_path", "file_path"], "full_outer").select("repo_path", "file_path", F.coalesce("n", "o").alias("file_hash"))
 
 
-@query("SELECT r.run_id, coalesce(p.pos, 99) AS pos FROM (SELECT DISTINCT run_id, extract('dow' FROM started_at) AS dow FROM index_runs) r LEFT JOIN (VALUES (1, 0), (3, 1), (5, 2)) p(dow, pos) USING (dow)")
+@query("SELECT r.run_id, coalesce(p.pos, 99) AS pos FROM (SELECT DISTINCT run_id, extract('dow' FROM started_at AT TIME ZONE 'UTC') AS dow FROM index_runs) r LEFT JOIN (VALUES (1, 0), (3, 1), (5, 2)) p(dow, pos) USING (dow)")
 def settings_order_join(spark, d):
     """Order by configured position, unknown last."""
     pos = spark.createDataFrame([(1, 0), (3, 1), (5, 2)], "dow int, pos int")
@@ -492,7 +492,7 @@ def total_matches(spark, d):
     return hit.orderBy("file_path", "file_id").limit(100).crossJoin(F.broadcast(hit.agg(F.count("*").alias("total"))))
 
 
-@query("SELECT day, n, round(sum(n) OVER (ORDER BY day) / sum(n) OVER (), 9) AS done FROM (SELECT strftime(arrived_at, '%Y-%m-%d') AS day, count(*) AS n FROM files GROUP BY 1)")
+@query("SELECT day, n, round(sum(n) OVER (ORDER BY day) / sum(n) OVER (), 9) AS done FROM (SELECT strftime(arrived_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS n FROM files GROUP BY 1)")
 def progress_fraction(spark, d):
     """Share of the feed that had arrived by the end of each day; one row per day, so one window holds them."""
     day = read(spark, d, "files").groupBy(F.date_format("arrived_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))

@@ -101,9 +101,10 @@ def ev_xml_tags(spark, d):
     return read(spark, d, "documents").where("text is not null").select("doc_id", F.size(E.tagged(t, "c")).alias("n"))
 
 
-@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def windowed_counts(spark, d):
-    return E.windowed_counts(events(spark, d), "ts", "event_type", "1 hour").withColumn("total", F.round("total", 6))
+    w = E.windowed_counts(events(spark, d), "ts", "event_type", "1 hour")
+    return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
 @query("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events WHERE props IS NOT NULL")
