@@ -119,3 +119,15 @@ def capped(df: DataFrame, order: list[str], most: int) -> DataFrame:
     more = df.agg((F.count("*") - most).alias("rest")).where(F.col("rest") > 0)
     head, *others = order
     return first.unionByName(more.select(F.lit("...").alias(head), *[F.lit(None).cast(dict(df.dtypes)[c]).alias(c) for c in df.columns if c != head], "rest"))
+
+
+def remote_parts(url: Column) -> Column:
+    """host, owner, repo of a remote address in either form (`git@host:owner/repo.git`, `https://host/owner/repo`)."""
+    plain = F.regexp_replace(F.regexp_replace(url, r"^(?:https?://|ssh://|git@)(?:[^@/]*@)?", ""), r"(?:\.git)?/*$", "")
+    pat = r"^([^/:]+)[:/](.*?)/?([^/]+)$"
+    return F.struct(F.regexp_extract(plain, pat, 1).alias("host"), F.regexp_extract(plain, pat, 2).alias("owner"), F.regexp_extract(plain, pat, 3).alias("repo"))
+
+
+def json_arguments(text: Column) -> Column:
+    """Tool arguments that are a JSON object stay as they are, anything else is wrapped as `{"value": ...}`."""
+    return F.when(F.try_parse_json(text).isNotNull() & text.rlike(r"^\s*\{"), text).otherwise(F.to_json(F.struct(text.alias("value"))))

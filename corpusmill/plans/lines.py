@@ -366,3 +366,34 @@ def search_dispatch(spark, d):
     except ValueError as e:
         return spark.createDataFrame([(str(e),)], "error string")
     raise AssertionError
+
+
+@query("SELECT DISTINCT repo_path, 'example.org' AS host, 'team' || replace(regexp_replace(repo_path, '/[^/]*$', ''), '//', '/') AS owner, regexp_extract(repo_path, '[^/]*$') AS repo FROM repo_files")
+def remote_url_parts(spark, d):
+    """Addresses made of the repositories' paths, taken apart again."""
+    x = read(spark, d, "repo_files").select("repo_path").distinct()
+    x = x.withColumn("p", L.remote_parts(F.concat(F.lit("git@example.org:team"), "repo_path", F.lit(".git"))))
+    return x.select("repo_path", "p.host", "p.owner", "p.repo")
+
+
+@query(f"WITH {LN} SELECT file_id, count(*) FILTER (t = '' OR regexp_matches(t, '^(#|//|/\\*|\\*|--)')) AS n FROM (SELECT file_id, trim(translate(l, E'\\t\\r', '  ')) AS t FROM ln) GROUP BY 1")
+def blank_or_comment_lines(spark, d):
+    hit = N.match_lines(F.col("content"), T.is_comment_or_blank)
+    return texts(spark, d).select("file_id", F.size(hit).alias("n"))
+
+
+@query(f"WITH {LN} SELECT file_id, count(*) FILTER (regexp_matches(l, '^[ \\t]*[)}}\\]]')) AS n FROM ln GROUP BY 1")
+def starts_with_closing_delimiter(spark, d):
+    return texts(spark, d).select("file_id", F.size(N.match_lines(F.col("content"), lambda l: l.rlike(r"^[ \t]*[)}\]]"))).alias("n"))
+
+
+@query(f"WITH {TEXTS} SELECT file_id, md5(regexp_replace(regexp_replace(content, '\\A([ \\t\\r]*\\n)+', ''), '(\\n[ \\t\\r]*)+\\z', '')) AS digest FROM tx")
+def trim_blank_lines(spark, d):
+    return texts(spark, d).select("file_id", F.md5(T.trimmed_blank_lines(F.col("content"))).alias("digest"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN props ELSE '{\"value\":\"' || event_type || '\"}' END AS args FROM events")
+def tool_arguments(spark, d):
+    """JSON arguments kept, plain ones wrapped."""
+    raw = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.col("event_type"))
+    return read(spark, d, "events").select("event_id", L.json_arguments(raw).alias("args"))

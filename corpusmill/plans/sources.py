@@ -9,9 +9,11 @@ from corpusmill.functions import lang as L
 from corpusmill.operators import chunking as C, edits as E
 from corpusmill.session import read
 
+from .general import ORACLE as GENERAL
 from .tables import texts
 
-ORACLE: dict[str, str] = {}
+_P1 = GENERAL["p1_found"]
+ORACLE = {"incremental_index": f"SELECT * FROM ({_P1}) WHERE run_id = (SELECT max(run_id) FROM ({_P1}))"}
 
 
 def chunk_source(spark, d):
@@ -154,9 +156,148 @@ def hunk_before_after(spark, d):
     return _per_text(read(spark, d, "documents"), "doc_id", "text", one, "n_before int, n_after int")
 
 
+def node_classifiers(spark, d):
+    """Statements of each Python source by role."""
+
+    def roles(t):
+        try:
+            g, todo, n = C.GRAMMARS["python"], [C.python_tree(t)], {"class": 0, "function": 0, "import": 0}
+        except (SyntaxError, ValueError, RecursionError):
+            return []
+        while todo:
+            x = todo.pop()
+            for role, types in g.items():
+                n[role] += x.type in types
+            todo += x.children
+        return list(n.items())
+
+    return _per_text(texts(spark, d).where(F.col("file_path").endswith(".py")), "file_id", "content", roles, "role string, n int")
+
+
+def symbol_name(spark, d):
+    """Named nodes of each Python source with their first line; nodes without a name are 'unnamed'."""
+
+    def names(t):
+        try:
+            todo, out = [C.python_tree(t)], []
+        except (SyntaxError, ValueError, RecursionError):
+            return []
+        while todo:
+            x = todo.pop()
+            if x.type in C.GRAMMARS["python"]["class"] | C.GRAMMARS["python"]["function"]:
+                out.append((x.start, x.name or "unnamed"))
+            todo += x.children
+        return out
+
+    return _per_text(texts(spark, d).where(F.col("file_path").endswith(".py")), "file_id", "content", names, "line int, name string")
+
+
+def summarize_code_ast(spark, d):
+    """First lines of the classes, functions and imports of each Python source."""
+
+    def shown(t):
+        try:
+            todo = [C.python_tree(t)]
+        except (SyntaxError, ValueError, RecursionError):
+            return []
+        lines, keep = t.split("\n"), set().union(*C.GRAMMARS["python"].values())
+        found = {}
+        while todo:
+            x = todo.pop()
+            if x.type in keep and x.start <= len(lines):
+                found[x.start] = f"{x.start}: {lines[x.start - 1]}"
+            todo += x.children
+        return [(k, found[k]) for k in sorted(found)]
+
+    return _per_text(texts(spark, d).where(F.col("file_path").endswith(".py")), "file_id", "content", shown, "line int, shown string")
+
+
+def parse_search_replace(spark, d):
+    """A block made of each source's first lines, parsed back."""
+    first = F.array_join(F.slice(F.split("content", "\n"), 1, 3), "\n")
+    x = texts(spark, d).select("file_id", F.concat(F.lit("--- SEARCH\n"), first, F.lit("\n===\nnew\n+++ REPLACE\n")).alias("diff"))
+
+    def parsed(t):
+        try:
+            return [(len(a), len(b)) for a, b in E.parse_blocks(t)]
+        except E.EditError:
+            return [(-1, -1)]
+
+    return _per_text(x, "file_id", "diff", parsed, "n_search int, n_replace int")
+
+
+def locate_span(spark, d):
+    """Where the trimmed third and fourth line of each source are found again."""
+
+    def found(t):
+        lines = t.split("\n")
+        span = E.locate(lines, [x.strip() for x in lines[2:4]])
+        return [span] if span else []
+
+    return _per_text(texts(spark, d), "file_id", "content", found, "first int, behind int")
+
+
+def flexible_search_replace(spark, d):
+    """The second line of each source replaced although its indent is not given."""
+
+    def one(t):
+        lines = t.split("\n")
+        if len(lines) < 2:
+            return []
+        try:
+            return [(len(E.search_replace(t, f"--- SEARCH\n{lines[1].strip()}\n===\nnew line\n+++ REPLACE\n")), None)]
+        except E.EditError as e:
+            return [(-1, str(e)[:20])]
+
+    return _per_text(texts(spark, d), "file_id", "content", one, "n_chars int, error string")
+
+
+def parse_udiff_hunks(spark, d):
+    """Documents that are diffs: their hunks, each once."""
+    return _per_text(read(spark, d, "documents"), "doc_id", "text", lambda t: [(i, len(h)) for i, h in enumerate(E.hunks(t))] if "\n@@" in t else [], "hunk int, n_lines int")
+
+
+def apply_hunk(spark, d):
+    """The hunks of documents that are diffs, applied to their own old sides: nothing is left over."""
+
+    def one(t):
+        if "\n@@" not in t:
+            return []
+        old = "\n".join(x for h in E.hunks(t) for x in E.before_after(h)[0]) + "\n"
+        return [(len(E.unified(old, t)[1]),)]
+
+    return _per_text(read(spark, d, "documents"), "doc_id", "text", one, "n_errors int")
+
+
+def diff_dispatch(spark, d):
+    """Both kinds of edits in one table."""
+    return apply_search_replace(spark, d).withColumn("kind", F.lit("blocks")).unionByName(apply_udiff(spark, d).withColumn("kind", F.lit("unified")))
+
+
+def incremental_index(spark, d):
+    """The changes of the last succeeded run: what an index has to take up next."""
+    from .general import p1_found
+
+    x = p1_found(spark, d)
+    return x.join(F.broadcast(x.agg(F.max("run_id").alias("run_id"))), "run_id", "left_semi")
+
+
+def schema_version_gate(spark, d):
+    """A store of another version, or forced, is made anew; one of the right version stays."""
+    import tempfile
+
+    from corpusmill.operators import store as S
+
+    with tempfile.TemporaryDirectory() as t:
+        make = lambda: read(spark, d, "region")
+        steps = [S.ensure_schema(spark, f"{t}/s", 18, make), S.ensure_schema(spark, f"{t}/s", 19, make), S.ensure_schema(spark, f"{t}/s", 19, make), S.ensure_schema(spark, f"{t}/s", 19, make, force=True)]
+        return spark.createDataFrame([(i, x) for i, x in enumerate(steps)], "step int, recreated boolean")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         chunk_source, strategy_factory, grammars, chunk_metadata_ast, dechunk_merge, breakable_hierarchy, legacy_coalesce, chunk_legacy, chunk_pr_diff, token_bin_pack, apply_search_replace, apply_udiff, apply_line_numbered, hunk_before_after,
+        node_classifiers, symbol_name, summarize_code_ast, parse_search_replace, locate_span, flexible_search_replace, parse_udiff_hunks, apply_hunk, diff_dispatch, incremental_index, schema_version_gate,
     )
 }

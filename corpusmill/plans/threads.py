@@ -69,17 +69,17 @@ def _normal(spark, d, names):
 
 
 @query(_norm_sql(_ANTHROPIC))
-def ev_normalize_block_events(spark, d):
+def ev_normalize_anthropic(spark, d):
     return _normal(spark, d, _ANTHROPIC)
 
 
 @query(_norm_sql(_OPENAI))
-def ev_normalize_item_events(spark, d):
+def ev_normalize_openai(spark, d):
     return _normal(spark, d, _OPENAI)
 
 
 @query("""WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT user_id, count(*) FILTER (p IS NOT NULL) AS n_closed, count(*) AS n_opened FROM e WHERE p IS DISTINCT FROM event_type GROUP BY 1""")
-def ev_normalize_part_events(spark, d):
+def ev_normalize_google(spark, d):
     """Part-level streams: a change of type closes the running block and opens another."""
     p = F.lag("event_type").over(Window.partitionBy("user_id").orderBy(*_O))
     e = events(spark, d).withColumn("p", p).where(F.col("p").isNull() | (F.col("p") != F.col("event_type")))
@@ -87,7 +87,7 @@ def ev_normalize_part_events(spark, d):
 
 
 @query("""WITH e AS (SELECT *, coalesce(max(CAST(event_type = 'signup' AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tool FROM events) SELECT event_id FROM e WHERE NOT (tool = 1 AND event_type IN ('view', 'click'))""")
-def ev_normalize_flagged_events(spark, d):
+def ev_normalize_openrouter(spark, d):
     """After the first tool call of a stream its text events are ignored."""
     w = Window.partitionBy("user_id").orderBy(*_O).rowsBetween(Window.unboundedPreceding, -1)
     tool = F.coalesce(F.max((F.col("event_type") == "signup").cast("int")).over(w), F.lit(0))
