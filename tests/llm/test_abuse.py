@@ -68,8 +68,8 @@ def test_rows(spark):
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/content_labels.parquet"), reason="no labelled rows")
-def test_held_out_accuracy(spark):
-    """Against the majority of the raters, who err: the grammar was not fitted to these rows' labels."""
+def test_agreement_with_raters(spark):
+    """On rows where at least two raters are of one mind. The labels were not used, but phrases of such texts were known."""
     d = "/root/testdata/sf0.01"
     votes = {}
     for doc, label in spark.read.parquet(f"{d}/content_labels.parquet").select("doc_id", "label").collect():
