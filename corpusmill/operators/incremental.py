@@ -12,7 +12,6 @@ runner for one run at a time with durable state. Both use the same window rule a
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -175,4 +174,3 @@ class IncrementalFeed:
         if self._fs.exists(final) or not self._fs.rename(temp, final):
             self._fs.delete(temp, False)
             raise RuntimeError(f"version {version} was committed by another run")
-        assert os.path.basename(final.toString())
