@@ -3,8 +3,6 @@
 import random
 
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
-
 from corpusmill.llm import pack, split
 
 TEXT = st.text(alphabet=st.sampled_from(list("ab é漢\n\n\r \t.}{") + ["́", "\U0001f469", "‍", "\u2028"]), max_size=400)
@@ -95,4 +93,3 @@ def test_containers(spark):
     assert sorted(map(str, got)) == sorted(map(str, again.collect()))
     f = pack.fill_report(again, 40).first()
     assert f["n_items"] == len(size) and f["fill"] > 0.9 and pack.containers(df.limit(0), 40).count() == 0
-    assert F is not None
