@@ -1,7 +1,7 @@
 """Telling hand-written source from generated, minified, vendored files and data saved as code.
 
-Generation notices and third-party banners are matched by one multi-pattern automaton in the comment lines at the head
-of a file, where such notices stand; a notice quoted in a string or further down is none. Path rules know the folders
+Generation notices and third-party banners are matched by one multi-pattern automaton in all comment lines before the
+first and after the last line of code, where such notices stand; one in a string or between lines of code is none. Path rules know the folders
 of vendored code, lock files and minified suffixes. What carries no notice shows in its shape: lines too long and dense
 to be typed, literals that make up nearly the whole file, or member names numbered throughout. A copy of a vendored
 file that was moved elsewhere without its banner is found by the fingerprint of its body.
@@ -54,12 +54,14 @@ _TOKEN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|(?<![\w.])-?(?:
 _NUMBERED = re.compile(r".*?[A-Za-z_]\d{1,4}(?:_|[A-Z][A-Za-z]*)?$")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`")
 _JOINED = re.compile(r"[;}](?=[\w$!(\[])")
+_LINE_COMMENT = re.compile(r"#|//|--\s|;")
+_PACKAGE = re.compile(r"package\s+[\w.]+\s*;?$")
+_IMPORT = re.compile(r"import\b")
+_MULTILINE = ('"""', "'''", "`")  # of strings that span lines
 _CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})")
 
 #: Lines longer than this count as dense if they are code with little white space.
 LONG_LINE = 220
-#: How much of the head is searched for notices: comment lines, up to this many and this long.
-HEAD_LINES, HEAD_CHARS = 24, 4000
 
 _automaton = None
 
@@ -78,28 +80,79 @@ def automaton():
     return _automaton
 
 
+def _joined(lines: list[str]) -> str:
+    return " ".join(" ".join(lines).lower().split())
+
+
 def head_comments(text: str) -> str:
-    """The comment lines before the first line of code, in lower case; markers of a merge conflict are passed over."""
-    out, block = [], False
-    for line in text[:HEAD_CHARS].lstrip("\ufeff").splitlines()[: HEAD_LINES * 2]:
+    """All comment lines before the first line of code, in lower case; markers of a merge conflict are passed over.
+
+    So is a package clause: comments below it count if a blank line or an import follows, else they describe a member.
+    """
+    out, below, block, package = [], [], False, False
+    for line in text.lstrip("\ufeff").splitlines():
         s = line.strip()
         if not s or _CONFLICT.match(s):
+            if not s and not block:
+                out, below = out + below, []
             continue
-        if s.startswith("/*") or s.startswith("<!--"):
+        to = below if package else out
+        if not block and (s.startswith("/*") or s.startswith("<!--")):
             end = "*/" if s.startswith("/*") else "-->"
             block = end not in s[2:]
-            out.append(s if block else s[: s.index(end, 2)])
+            to.append(s if block else s[: s.index(end, 2)])
             if not block and len(s) > s.index(end, 2) + len(end):
                 break
         elif block or _COMMENT.match(line):
-            out.append(s)
+            to.append(s)
             if "*/" in s or "-->" in s:
                 block = False
+        elif not package and _PACKAGE.match(s):
+            package = True
         else:
+            return _joined(out + below if _IMPORT.match(s) else out)
+    return _joined(out + below)
+
+
+def tail_comments(text: str) -> str:
+    """All comment lines after the last line of code, in lower case.
+
+    Comments set deeper than the first line of code belong to the code. Comment-like lines in which a string that began
+    in the code ends are part of that string.
+    """
+    lines = text.lstrip("\ufeff").splitlines()
+    margin = next((len(x) - len(x.lstrip()) for x in lines if x.strip() and not _COMMENT.match(x) and not _CONFLICT.match(x)), None)
+    if margin is None:
+        return ""  # all of it is head
+    first = i = len(lines)
+    while i:
+        i -= 1
+        s = lines[i].strip()
+        if not s or _CONFLICT.match(s):
+            continue
+        begin = i
+        end = next((e for e in ("*/", "-->") if s.endswith(e)), None)
+        if end and not _LINE_COMMENT.match(s):
+            start = "/*" if end == "*/" else "<!--"
+            while begin and not lines[begin].lstrip().startswith(start) and start not in lines[begin] and (begin == i or end not in lines[begin]):
+                begin -= 1
+            if not lines[begin].lstrip().startswith(start) or begin < i and end in lines[begin]:
+                break
+        elif not _LINE_COMMENT.match(s):
             break
-        if len(out) >= HEAD_LINES:
+        if len(lines[begin]) - len(lines[begin].lstrip()) > margin:
             break
-    return " ".join(" ".join(out).lower().split())
+        first = i = begin
+    if first == len(lines):
+        return ""
+    tail = lines[first:]
+    body = None
+    for quote in _MULTILINE:
+        if sum(x.count(quote) for x in tail) % 2:
+            body = "\n".join(lines[:first]) if body is None else body
+            if body.count(quote) % 2:
+                tail = tail[max(k for k, x in enumerate(tail) if quote in x) + 1 :]
+    return _joined([x for x in tail if not _CONFLICT.match(x.strip())])
 
 
 def notice_scores(head: str) -> tuple[int, int]:
@@ -179,6 +232,11 @@ def classify(path: str, text: str | None) -> tuple[str | None, str]:
         return "vendored", "banner"
     if g >= 2:
         return "generated", "notice"
+    below, v = notice_scores(tail_comments(text))
+    if v >= 2:
+        return "vendored", "banner"
+    if below + min(g, 0) >= 2:  # a head that says the file is hand-written counts against it
+        return "generated", "notice"
     s = shape(text)
     if s:
         return s, "shape"

@@ -35,6 +35,31 @@ def test_kind(path, text, kind):
     assert H.classify(path, text)[0] == kind
 
 
+NOTICE = "# Code generated by x. DO NOT EDIT.\n"
+
+
+@pytest.mark.parametrize(
+    "path,text,kind",
+    [
+        ("src/a.py", OWN + "\n" + NOTICE, "generated"),
+        ("src/a.js", "f();\n\n// Fichier produit par span-codegen, ne pas modifier.\n// eslint-disable\n\n", "generated"),
+        ("src/a.js", "f();\n/*\n  <auto-generated>\n  by x\n*/\n", "generated"),
+        ("src/a.kt", "package a.b\n\n// AUTOGENERATED FROM outline.proto\n\nclass A\n", "generated"),
+        ("src/a.kt", "package a.b\n\n// Writes the line '// AUTOGENERATED FROM x'.\nclass A\n", None),
+        ("src/a.py", "# a licence\n" * 60 + NOTICE + OWN, "generated"),
+        ("src/a.py", "# " + "a licence " * 600 + "\n" + NOTICE + OWN, "generated"),
+        ("src/a.py", OWN + "    # emits files that start with '@generated'\n", None),
+        ("src/a.rb", "def f\n  g\n  # emits files that start with '@generated'\n  h\nend\n", None),
+        ("src/a.py", OWN + 'HEAD = """\n' + NOTICE + '"""\n', None),
+        ("src/a.py", OWN + 'HEAD = """\n' + NOTICE + '#"""\n', None),
+        ("src/a.js", "const h = `\n// Code generated by x.\n// y`\n", None),
+        ("src/a.py", "# written by hand\n" + OWN + NOTICE, None),
+    ],
+)
+def test_place_of_the_notice(path, text, kind):
+    assert H.classify(path, text)[0] == kind
+
+
 def test_copies(spark):
     body = "".join(f"def f_{c}(a):\n    return a\n" for c in "abcdefghijklmnopq")
     rows = [(1, "r", "vendor/l/a.py", "# lib v1.2.3\n" + body, "x"), (2, "r", "src/a.py", body, "x"), (2, "r", "src/a.py", body, "x"), (3, "r", "src/b.py", body + "x = 1\n", "x"), (4, None, None, None, "x"), (5, "r", "s.py", "", "x")]
