@@ -4,12 +4,14 @@ A text is normalised (compatibility forms, invisible characters, look-alike lett
 and signs for letters, repeated letters, masked letters) and cut into clauses. A first transducer rewrites each clause
 as a string of plain words in which insults, groups and identifiers are symbols. Patterns composed of insult, threat,
 target and sexual parts - regular expressions over that string, so finite-state - match whole clauses and carry a
-weight. Further transducers take matches back: negation, speech about oneself or about a thing, and words that are
-quoted or listed rather than used. The score of a text is 1 minus the product of (1 - weight) over its matches.
+weight. Further transducers take matches back: negation, speech about oneself or about a thing - of these only the
+insult that is denied or so used, not others of the clause - and words that are quoted or listed rather than used.
+Soft-wrapped lines are joined before. The score of a text is 1 minus the product of (1 - weight) over its matches.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -51,6 +53,15 @@ _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤︀-️﻿]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ \-._*])[^\W\d_])(?:\1[^\W\d_]){2,}(?![^\W_])")
 _CLAUSE = re.compile("(?<=[.!?])[\\s\"'»“)]+|[\n\r  ]+|(?<=[.!?])(?=[A-ZÄÖÜÉ¡¿])")
 _WORD = re.compile(r"[\w@$!*|€+]+(?:[-'’][\w@$*]+)*")
+_BREAK = re.compile("\r\n|[\n\r\u2028\u2029]")
+_MARGIN = re.compile(r"(?P<margin>\s*)(?P<mark>(?:(?://[/!]?|#+|\*|--|;+|>)\s+)*)")
+_ITEM = re.compile(r"(?:[-+•]|\d+[.)]|[a-z]\))\s")
+_BEGIN = re.compile(r"(?!\w+(?: ?=|\())[^\W_]|[\"'(«„“‘$@!|€+*]\S")
+_END = re.compile(r"(?:^|[^\w,)\"'’”»“\-*@$])[\"'’”»“)]*\s*$|[.!?:;][\"'’”»“)]*\s*$")
+_HYPHEN = re.compile(r"[^\W\d_]-$")
+_COMMAS = frozenset(",;:–—…")
+_MARKED = re.compile(rf"{_WORD.pattern}|[{''.join(sorted(_COMMAS))}]")
+_INSULT = re.compile(r"\b(?:INS|SOFT)\b")
 _RUN = re.compile(r"(.)\1+")
 _QUOTED = re.compile(r"«[^»]{1,80}»|„[^“”]{1,80}[“”]|“[^”]{1,80}”|\"[^\"]{1,80}\"|`[^`]{1,80}`|‘[^’]{1,80}’|(?<!\w)'[^'\n]{1,80}'(?!\w)")
 
@@ -101,6 +112,7 @@ def _latin(m) -> str:
     return mapped if latin or _fold(mapped).isascii() and mapped in _ALL else w
 
 
+@functools.lru_cache(1 << 14)
 def word(token: str) -> str:
     """A word as the grammar sees it: folded lower case, INS / SOFT for insults, GRP for groups, ID for identifiers."""
     low = token.lower()
@@ -184,9 +196,29 @@ GRAMMAR = [
     )),
 ]
 
-_SELF = _rx(r" (?:i|me|my|myself|ich|je|j|yo) (?:feel|felt|am|was|m|look|looked|seem|bin|war|suis|soy|must be|must have been|have been|ve been)(?: [^ ]+){0,4} (?:INS|SOFT) ", r" (?:INS|SOFT) (?:i|that i|me|ich|je|yo) (?:was|am|feel|bin|war|suis|soy) ", r" (?:INS|SOFT) of me ")
-_THING = _rx(r" (?:this|that|the|these|those|dieser|diese|dieses|der|die|das|ce|cet|cette|le|la|este|esta|el|it)(?: [^ ]+){0,2} (?:is|was|s|are|ist|war|est|es|can be) (?:a|an|such a|a real|a total|ein|eine|un|une|una|so ein) (?:[^ ]+ )?(?:INS|SOFT) to [^ ]+ ", r" (?:INS|SOFT) (?:pointer|bug|test|code|build|function|api|config|machine|thing|typo) ", r" (?:bug|code|pointer|build|test|thing|api|problem)(?: [^ ]+){0,1} (?:is|was|ist|est|es) (?:a|an|un|une|ein|una)? ?(?:real |total )?(?:INS|SOFT) ")
-_NEGATED = _rx(r" (?:you|he|she|they|nobody|no one|du|tu|vous|ihr|usted)(?: [^ ]+){0,1} (?:not|aren t|arent|isn t|isnt|never|nicht|kein|pas|no|n t)(?: [^ ]+){0,3} (?:INS|SOFT) ", r" (?:nobody|no one|niemand|personne|nadie)(?: [^ ]+){0,3} (?:INS|SOFT) ")
+#: Words between a trigger and the insult that it takes back: none that names somebody else, and no comma.
+_OTHER = r"(?:you|u|ur|your|yours|youre|yourself|he|she|him|his|her|they|them|their|these|those|this|that|people|du|dich|dir|dein|deine|ihr|euch|euer|sie|tu|te|toi|vous|votre|ces|eres|usted|vosotros|diese|dieser|dieses|INS|SOFT|,)"
+_FREE = rf"(?: (?!{_OTHER} )[^ ]+)"
+_BE = r"(?:are|re|is|s|was|were|am|m|be|been|bin|bist|ist|seid|sind|war|warst|suis|es|est|etes|sommes|soy|sois|son)"
+_NO = r"(?:not|never|no|nicht|kein|keine|pas|jamais|nunca)"
+_DEGREE = rf"(?: (?:so|such|really|just|also|still|always|only|even|quite|rather|pretty|now|here|all|being|been|be|like|called|indeed|too|ja|echt|wirklich|doch|auch|vraiment|tellement|trop|bien|tan|muy|realmente|{_NO}|[^ ]+ly)| , (?!{_OTHER} )[^ ]+(?: (?!{_OTHER} )[^ ]+)? ,)"
+_PREDICATE = rf"{_DEGREE}{{0,3}}(?: (?:a bit of an?|a|an|the|such an?|some|any|what an?|un|une|le|la|ein|eine|einen|der|die|una|el|kein|keine)(?:{_FREE}(?: and{_FREE})?)?| (?:complete|total|utter|real|big|stupid|useless))?"
+_X = rf"(?P<x>(?:INS|SOFT)(?: (?:or|and|nor|oder|und|noch|ou|et|ni|o|y)(?: an?| une?| eine?| una)?{_FREE}? (?:INS|SOFT))*)(?= )(?! like you )"
+#: Patterns over clauses with their commas; the insults in the group x are said of oneself, of a thing, or denied.
+_TAKEN_BACK = [
+    re.compile(x) for x in (
+        rf" (?:i|me|my|myself|ich|je|j|yo) (?:feel|felt|am|was|m|look|looked|seem|bin|war|suis|soy|must be|must have been|have been|ve been|will be|ll be)(?:{_FREE}{{0,3}} (?:like|being|as))?{_PREDICATE} {_X}",
+        rf"(?:^|,)(?: (?!(?:{_OTHER}) )[^ ]+)*? (?P<x>INS|SOFT) (?:i|that i|me|ich|je|yo) (?:was|am|feel|bin|war|suis|soy)(?= )", r" (?P<x>INS|SOFT) of me(?= )",
+        r" (?:this|that|the|these|those|dieser|diese|dieses|der|die|das|ce|cet|cette|le|la|este|esta|el|it)(?: [^ ,]+){0,2} (?:is|was|s|are|ist|war|est|es|can be) (?:a|an|such a|a real|a total|ein|eine|un|une|una|so ein) (?:[^ ,]+ )?(?P<x>INS|SOFT) to [^ ,]+(?= )",
+        r" (?P<x>INS|SOFT) (?:pointer|bug|test|code|build|function|api|config|machine|thing|typo)(?= )",
+        r" (?:bug|code|pointer|build|test|thing|api|problem)(?: [^ ,]+){0,1} (?:is|was|ist|est|es) (?:a|an|un|une|ein|una)? ?(?:real |total )?(?P<x>INS|SOFT)(?= )",
+        rf" (?:you|he|she|they|we|it|du|tu|vous|ihr|er|sie|usted)(?: n)?(?: {_BE})?(?: (?:aren|isn|wasn|weren) t| (?:arent|isnt|wasnt|werent)| {_NO}){_PREDICATE} {_X}",
+        rf" no (?:eres|es|soy|sois|son){_PREDICATE} {_X}",
+        rf" (?:you|he|she|they|we|nobody|no one)(?: [^ ,]+)?(?: {_NO}| n t| t){_FREE}{{0,3}} (?:be|being|been|were|like|call{_FREE}?|called{_FREE}?|calling{_FREE}?){_PREDICATE} {_X}",
+        rf" (?:nobody|no one|niemand|personne|nadie){_FREE}{{0,3}} {_X}",
+        rf" (?:nobody|no one|niemand|personne|nadie)(?: [^ ,]+){{0,2}} (?:say|says|said|saying|think|thinks|thought|call|calls|called|calling|claims?|claimed|believes?|sagt|denkt|dit|pense|dice|piensa)(?: ,)?(?: that| dass| que)?(?: (?:you|he|she|they|we|i|du|ihr|tu|vous))?(?: {_BE})?{_PREDICATE} {_X}",
+    )
+]
 _MENTION = _rx(
     r" (?:word|words|term|terms|string|strings|phrase|phrases|sample|samples|example|examples|classifier|filter|filters|blocklist|denylist|wordlist|list|lexicon|dictionary|regex|pattern|rule|rules|label|labels|token|tokens|flagged|flags|flag|masked|mask|censored|quoted|reported|report|moderation|toxicity) ",
     r" (?:wort|worter|begriff|ausdruck|filter|liste|ausgeblendet|gefiltert|gesperrt|regel|mot|mots|terme|expression|filtre|masque|liste|regle|palabra|palabras|termino|filtro|lista|regla|bloquea|oculta) ",
@@ -194,8 +226,17 @@ _MENTION = _rx(
 _LISTED = re.compile(r"(?: (?:INS|SOFT|SEX)(?: (?:and|or|und|oder|et|ou|y|o))?){3,} ")
 
 
-def clause_string(clause: str) -> str:
-    return " " + " ".join(w for t in _WORD.findall(clause) for w in _split(word(t))) + " "
+def clause_string(clause: str, commas: bool = False) -> str:
+    found = _MARKED.findall(clause) if commas else _WORD.findall(clause)
+    return " " + " ".join(w for t in found for w in ([","] if t in _COMMAS else _split(word(t)))) + " "
+
+
+def _without_taken_back(clause: str) -> str:
+    """The clause string without the insults that are said of oneself or of a thing, or denied."""
+    s = clause_string(clause, commas=True)
+    for p in _TAKEN_BACK:
+        s = p.sub(lambda m: m.group()[: m.start("x") - m.start()] + _INSULT.sub("x", m["x"]) + m.group()[m.end("x") - m.start() :], s)
+    return s.replace(" ,", "")
 
 
 def _split(w: str) -> list[str]:
@@ -222,8 +263,11 @@ def score_clause(clause: str) -> list[tuple[str, float]]:
         if _MENTION.search(bare):
             found = [(k, w) for k, w, p in GRAMMAR if p.search(bare)]
     if found and "abusive" in {k for k, _ in found}:
-        if _SELF.search(s) or _THING.search(s) or _NEGATED.search(s) or _LISTED.search(s) and _MENTION.search(s):
+        if _LISTED.search(s) and _MENTION.search(s):
             without = re.sub(r" (?:INS|SOFT|SEX)(?= )", " x", s)
+        else:
+            without = _without_taken_back(clause)
+        if without != s:
             found = [(k, w) for k, w, p in GRAMMAR if p.search(without)]
     return found
 
@@ -233,15 +277,62 @@ def score_text(text: str | None) -> tuple[float, str | None]:
     if not text or not _HINT.search(text):
         return 0.0, None
     left, best = 1.0, (0.0, None)
-    for clause in _CLAUSE.split(normalise(text)):
-        if clause and len(clause) > 2:
-            for part in _windows(clause):
-                for kind, weight in score_clause(part):
-                    left *= 1 - weight
-                    best = max(best, (weight, kind), key=lambda x: x[0])
+    for block in _blocks(normalise(text)):
+        for kind, weight in _score_block(block):
+            left *= 1 - weight
+            best = max(best, (weight, kind), key=lambda x: x[0])
     return round(1 - left, 6), best[1]
 
 
+def _score_lines(lines: list[str]) -> list[tuple[str, float]]:
+    return [x for s in lines for clause in _CLAUSE.split(s) if clause and len(clause) > 2 for part in _windows(clause) for x in score_clause(part)]
+
+
+def _score_block(lines: list[str]) -> list[tuple[str, float]]:
+    """Matches in soft-wrapped lines as one; where nothing was taken back, those of the single lines if they are more:
+    some patterns end with the line."""
+    if len(lines) == 1:
+        return _score_lines(lines)
+    one = ""
+    for s in lines:
+        one = one + s if _HYPHEN.search(one) else f"{one} {s}"
+    both = _score_lines([one])
+    single = _score_lines(lines)
+    if len(single) <= len(both) or any(_takes_back(x) for c in _CLAUSE.split(one) if c for x in _windows(c)):
+        return both
+    return single
+
+
+def _takes_back(clause: str) -> bool:
+    s = clause_string(clause)
+    return len(score_clause(clause)) < sum(p.search(s) is not None for _, _, p in GRAMMAR)
+
+
+def _blocks(text: str):
+    """Lists of lines, each without its margin and comment mark, that are one line of prose wrapped.
+
+    A line goes on in the next one if it ends without a stop, bracket or operator, and the next has the same margin and
+    mark (under a list item a deeper margin) and begins with a word, but is no list item.
+    """
+    block, before, end = [], ("", ""), False
+    for line in _BREAK.split(text):
+        m = _MARGIN.match(line)
+        body = line[m.end() :]
+        item = _ITEM.match(body)
+        here = (m["margin"] if not m["mark"] else "", m["mark"].strip())
+        depth = len(here[0]) if not here[1] else len(m.group())
+        if block and not end and not item and _BEGIN.match(body) and here[1] == before[1] and (depth == before[2] or before[3] and depth > before[2]):
+            block.append(body)
+            before = (*before[:2], depth, False)
+        else:
+            if block:
+                yield block
+            block, before = [body] if body.strip() else [], (*here, depth, bool(item))
+        end = bool(_END.search(body))
+    if block:
+        yield block
+
+
 def _windows(clause: str):
     """Clauses without an end (minified code, tables) in overlapping stretches, so that the work stays linear."""
     if len(clause) <= 2000:

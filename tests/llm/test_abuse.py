@@ -58,6 +58,29 @@ def test_clean(text):
         assert A.score_text(t)[0] < A.THRESHOLD, (t, A.score_text(t))
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "I am sick of you morons", "I am so tired of these idiots", "I'm done with you idiots", "You do not belong here, moron", "You do not belong here moron", "You never listen, you idiot", "I was an idiot, but you are a moron",
+        "I am tired of morons like you", "You idiot, I was waiting", "You moron, test your code", "you are a\nloser", "# you are a\n# loser", "> you are such a\r\n> worthless\r\n> loser", '"""Parse.\n\n    you are a\n    loser\n    """',
+        "- you are a\n  loser", "you are a mo-\nron", "you are useless\nfix it 'now'",
+    ],
+)
+def test_insults_of_others_and_over_lines(text):
+    assert A.score_text(text)[0] >= A.THRESHOLD
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "You are not an idiot or a moron", "I feel like an idiot and a moron", "I must have been a complete idiot", "He is not an idiot, he is new", "you don't have to be an idiot to miss this", "Nobody called you an idiot",
+        "I am tired of being such an idiot", "I am, frankly, an idiot", "I feel like a\nmoron.", "# What an idiot\n# I was", "you are a\n\nloser-free zone", "- you\n- loser", "int you;\nloser = 2", "you = a\nloser = 1",
+    ],
+)
+def test_taken_back(text):
+    assert A.score_text(text)[0] < A.THRESHOLD
+
+
 def test_rows(spark):
     rows = [(1, None, None, 0.0), (2, "", "A b", 0.0), (3, "  \n", "a-b", 0.0), (4, "Get lost, idiot", " A_B ", 0.0), (5, "x " * 200_000 + "you idiot", "a b", 0.0), (4, "Get lost, idiot", "a b", 0.0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, score double")
