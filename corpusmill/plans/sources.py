@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from corpusmill.functions import lang as L
@@ -107,17 +108,22 @@ def chunk_pr_diff(spark, d):
 
 
 def token_bin_pack(spark, d):
-    """Batches of texts up to 2,048 words each, in the order of each task's rows."""
+    """Batches of texts up to 2,048 words each, in the order of each task's rows; the task's partition is part of a batch's
+    number, and a batch goes on over Arrow batches."""
     kept = read(spark, d, "documents").select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("n"))
 
     def run(batches):
-        part = 0
+        number, total = TaskContext.get().partitionId() << 33, 0
         for b in batches:
-            for ids in C.pack_batches(b["n"].tolist(), 2048):
-                part += 1
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[ids], "batch": part, "n": b["n"].iloc[ids]})
-
-    return kept.mapInPandas(run, "doc_id bigint, batch int, n int")
+            numbers = []
+            for n in b["n"].tolist():
+                if total and total + n > 2048:
+                    number, total = number + 1, 0
+                total += n
+                numbers.append(number)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "batch": numbers, "n": b["n"]})
+
+    return kept.mapInPandas(run, "doc_id bigint, batch bigint, n int")
 
 
 def _edits(spark, d, kind, diff):
