@@ -126,9 +126,10 @@ class IncrementalFeed:
         """The last committed manifest: version, watermark (microseconds, None before the first run)."""
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/manifests"))]
         done = sorted(int(n[1:-5]) for n in names if n.startswith("m") and n.endswith(".json"))
-        if not done:
-            return {"version": 0, "watermark": None, "dir": None}
-        s = self._fs.open(self._path(f"{self.folder}/manifests/m{done[-1]:012d}.json"))
+        return self._manifest(done[-1]) if done else {"version": 0, "watermark": None, "dir": None}
+
+    def _manifest(self, version: int) -> dict:
+        s = self._fs.open(self._path(f"{self.folder}/manifests/m{version:012d}.json"))
         try:
             return json.loads(bytes(s.readAllBytes()).decode())
         finally:
@@ -140,6 +141,28 @@ class IncrementalFeed:
         v = current_versions(feed).where(F.unix_micros("arrived_at") <= F.unix_micros(F.lit(upper)))
         if head["watermark"] is not None:
             v = v.where(F.unix_micros("arrived_at") > F.lit(head["watermark"]))
+        micros = self.spark.range(1).select(F.unix_micros(F.lit(upper))).first()[0]
+        return self._take(v, head, {"watermark": micros}, fail_before_commit)
+
+    def run_batch(self, batch: DataFrame, stream: str, number: int, fail_before_commit: bool = False) -> DataFrame | None:
+        """Take up every visible row of a stream's batch, whatever its arrival; returns the new and changed versions.
+
+        A batch that is committed already gives its stored output again. None if nothing in the batch is visible.
+        """
+        head = self.head()
+        for version in range(head["version"], 0, -1):
+            m = self._manifest(version)
+            if m.get("stream") == stream and m["batch"] <= number:
+                if m["batch"] == number:
+                    return self.spark.read.parquet(f"{self.folder}/{m['dir']}/out")
+                break
+        most = batch.agg(F.max(F.unix_micros("arrived_at"))).first()[0]
+        if most is None:
+            return None
+        mark = {"watermark": max(most, head["watermark"] or most), "stream": stream, "batch": number}
+        return self._take(current_versions(batch), head, mark, fail_before_commit)
+
+    def _take(self, v: DataFrame, head: dict, mark: dict, fail_before_commit: bool) -> DataFrame:
         new = v.groupBy("repo", "path").agg(F.max(F.struct("ver", "hash")).alias("best"))
         if head["dir"]:
             old = self.spark.read.parquet(f"{self.folder}/{head['dir']}/state").withColumnRenamed("best", "old")
@@ -161,8 +184,7 @@ class IncrementalFeed:
         done.select("repo", "path", "best").write.parquet(f"{self.folder}/{folder}/state")
         if fail_before_commit:
             raise RuntimeError("failed before the commit")
-        micros = self.spark.range(1).select(F.unix_micros(F.lit(upper))).first()[0]
-        self._commit(version, {"version": version, "watermark": micros, "dir": folder})
+        self._commit(version, {"version": version, "dir": folder, **mark})
         return self.spark.read.parquet(f"{self.folder}/{folder}/out")
 
     def _commit(self, version: int, manifest: dict) -> None:

@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill.operators.incremental import IncrementalFeed
 
 
 def index_stream(feed: DataFrame, folder: str, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Start a query that takes up each micro-batch of a feed in order of `arrived_at` and commits it with its watermark.
+    """Start a query that takes up each micro-batch of a feed and commits it with its number.
 
-    A batch that is delivered again after a failure lies at or below the watermark and is passed over, so its rows are
-    neither lost nor repeated. `sink(changed, batch)` gets what each committed batch changed.
+    Every row of a batch is taken up, also one that arrived no later than rows of an earlier batch. A batch that is
+    delivered again after a failure is known by its number in the stream's checkpoint: it is not taken up twice, and
+    `sink(changed, batch)`, which gets what each committed batch changed, gets the stored output again.
     """
 
     def take(batch: DataFrame, number: int) -> None:
-        upper = batch.agg(F.max("arrived_at")).first()[0]
-        if upper is None:
-            return
-        runner = IncrementalFeed(batch.sparkSession, folder)
-        changed = runner.run(batch, upper)
-        if sink:
+        spark = batch.sparkSession
+        stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        changed = IncrementalFeed(spark, folder).run_batch(batch, stream, number)
+        if sink and changed is not None:
             sink(changed, number)
 
     return feed.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

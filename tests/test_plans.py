@@ -1,8 +1,12 @@
 """Queries whose plans SQL does not check."""
 
 from collections import Counter
+from datetime import datetime, timedelta
+
+import pytest
 
 from corpusmill.plans import sources
+from corpusmill.streaming.incremental import index_stream
 
 
 def test_token_bin_pack(spark, tmp_path):
@@ -23,3 +27,31 @@ def test_token_bin_pack(spark, tmp_path):
     assert sorted(r["doc_id"] for r in got) == list(range(62))
     assert len({b >> 33 for b in size}) == 3 and all(n <= 2048 or docs[b] == 1 for b, n in size.items())
     assert max(docs.values()) > 4 and len(size) <= 9  # batches go on over Arrow batches
+
+
+def test_index_stream_ties_and_replay(spark, tmp_path):
+    at = lambda h: datetime(2026, 1, 1) + timedelta(hours=h)
+    schema = "id bigint, repo_path string, file_path string, file_hash string, created_at timestamp, arrived_at timestamp"
+    got, sunk = [], []
+
+    def feed(row):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(sink):
+        src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        index_stream(src, str(tmp_path / "store"), str(tmp_path / "ck"), sink).awaitTermination(60)
+
+    def died(df, n):
+        sunk.append(n)
+        raise RuntimeError("between commit and sink")
+
+    keep = lambda df, n: got.append((n, [r["id"] for r in df.collect()]))
+    feed((1, "/r", "a", "h1", at(0), at(5)))
+    run(keep)
+    feed((2, "/r", "b", "h1", at(0), at(5)))  # the watermark's own time
+    run(keep)
+    feed((3, "/r", "c", "h1", at(0), at(3)))  # an earlier one
+    with pytest.raises(Exception, match="between commit and sink"):
+        run(died)
+    run(keep)  # the same batch again
+    assert sunk == [2] and got == [(0, [1]), (1, [2]), (2, [3])]
