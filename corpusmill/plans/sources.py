@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import lang as L
 from corpusmill.operators import chunking as C, edits as E
-from corpusmill.session import read
+from corpusmill.session import read, scratch
 
 from .general import ORACLE as GENERAL
 from .tables import texts
@@ -289,15 +289,17 @@ def incremental_index(spark, d):
 
 
 def schema_version_gate(spark, d):
-    """A store of another version, or forced, is made anew; one of the right version stays."""
-    import tempfile
-
+    """A store of files and chunks of another version, or forced, is made anew; one of the right version stays."""
     from corpusmill.operators import store as S
 
-    with tempfile.TemporaryDirectory() as t:
-        make = lambda: read(spark, d, "region")
-        steps = [S.ensure_schema(spark, f"{t}/s", 18, make), S.ensure_schema(spark, f"{t}/s", 19, make), S.ensure_schema(spark, f"{t}/s", 19, make), S.ensure_schema(spark, f"{t}/s", 19, make, force=True)]
-        return spark.createDataFrame([(i, x) for i, x in enumerate(steps)], "step int, recreated boolean")
+    rows, folder = [], scratch(spark)
+    try:
+        for tbl in ("files", "chunks"):
+            for i, (version, force) in enumerate([(18, False), (19, False), (19, False), (19, True)]):
+                rows.append((tbl, i, S.ensure_schema(spark, f"{folder}/{tbl}", version, lambda: read(spark, d, tbl), force=force)))
+    finally:
+        S.drop_all(spark, folder)
+    return spark.createDataFrame(rows, "tbl string, step int, recreated boolean")
 
 
 QUERIES = {

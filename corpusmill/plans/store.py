@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from corpusmill.functions import lang as L, text as T
 from corpusmill.functions.paths import base_name
 from corpusmill.operators import store as S
-from corpusmill.session import read
+from corpusmill.session import read, scratch
 
 from .tables import CUR, CUT, OLD, SAMPLES, SYMBOLS, TEXTS, samples, symbols, texts, versions
 
@@ -244,15 +244,19 @@ def sqlite_update_hash(spark, d):
 
 @query()
 def sqlite_snapshot(spark, d):
-    """Write a table as a versioned snapshot, read it back, then drop it."""
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as t:
-        S.ensure_schema(spark, f"{t}/store", 19, lambda: read(spark, d, "nation"))
-        again = S.ensure_schema(spark, f"{t}/store", 19, lambda: read(spark, d, "nation"))
-        n = spark.read.parquet(f"{t}/store/schema=19/data").count()
-        S.drop_all(spark, f"{t}/store")
-        return spark.createDataFrame([(n, again, S.schema_version(spark, f"{t}/store"))], "n_rows bigint, recreated boolean, version_after int")
+    """Write files and chunks as versioned snapshots, read them back, then drop them."""
+    rows, folder = [], scratch(spark)
+    try:
+        for tbl in ("files", "chunks"):
+            at = f"{folder}/{tbl}"
+            S.ensure_schema(spark, at, 19, lambda: read(spark, d, tbl))
+            again = S.ensure_schema(spark, at, 19, lambda: read(spark, d, tbl))
+            n = spark.read.parquet(f"{at}/schema=19/data").count()
+            S.drop_all(spark, at)
+            rows.append((tbl, n, again, S.schema_version(spark, at)))
+    finally:
+        S.drop_all(spark, folder)
+    return spark.createDataFrame(rows, "tbl string, n_rows bigint, recreated boolean, version_after int")
 
 
 # filters

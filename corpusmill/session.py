@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,14 +39,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     The folder is the cluster's `spark.checkpoint.dir`; only where that is unset and none was set in code (tests,
     single machine) a temporary one is made and removed at exit.
     """
-    sc = df.sparkSession.sparkContext
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="corpusmill-ckpt-")
         atexit.register(shutil.rmtree, d, ignore_errors=True)
         sc.setCheckpointDir(d)
-    return df.checkpoint(eager=True)
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """Name of a new folder that all executors share; the caller removes it."""
+    return f"{_shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,11 +1,13 @@
 """Queries whose plans SQL does not check."""
 
+import os
 from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 
-from corpusmill.plans import sources
+from corpusmill.plans import sources, store
+from corpusmill.session import scratch
 from corpusmill.streaming.incremental import index_stream
 
 
@@ -55,3 +57,13 @@ def test_index_stream_ties_and_replay(spark, tmp_path):
         run(died)
     run(keep)  # the same batch again
     assert sunk == [2] and got == [(0, [1]), (1, [2]), (2, [3])]
+
+
+def test_store_snapshot(spark, tmp_path):
+    for tbl, n in (("files", 5), ("chunks", 7)):
+        spark.range(n).write.parquet(str(tmp_path / f"{tbl}.parquet"))
+    assert sorted(map(tuple, store.sqlite_snapshot(spark, str(tmp_path)).collect())) == [("chunks", 7, False, None), ("files", 5, False, None)]
+    got = sorted(map(tuple, sources.schema_version_gate(spark, str(tmp_path)).collect()))
+    assert got == [(t, i, x) for t in ("chunks", "files") for i, x in enumerate([True, True, False, True])]
+    base = scratch(spark).rpartition("/")[0].removeprefix("file:")
+    assert not os.path.isdir(base) or not [x for x in os.listdir(base) if x.startswith("scratch-")]
