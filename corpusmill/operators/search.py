@@ -165,13 +165,19 @@ def without_contained(chunks: DataFrame, path: str, start: str, end: str, key: s
 
 
 class LlmReranker:
-    """Keeps the chunks whose denotations an injected callable returns, in their own order; an empty answer keeps all."""
+    """Keeps the chunks whose denotations an injected callable returns, in their own order; an empty answer keeps all.
 
-    def __init__(self, choose):
-        self.choose = choose
+    More different denotations than `most` are refused, as the chooser could not see them all.
+    """
+
+    def __init__(self, choose, most: int = 1000):
+        self.choose, self.most = choose, most
 
     def __call__(self, chunks: DataFrame, denotation: str, query: str) -> DataFrame:
-        names = list(self.choose(query, [r[0] for r in chunks.select(denotation).distinct().limit(1000).collect()]))
+        shown = sorted((r[0] for r in chunks.select(denotation).distinct().limit(self.most + 1).collect()), key=lambda x: (x is None, x))
+        if len(shown) > self.most:
+            raise ValueError(f"more than {self.most} denotations to choose from: rank and cut them before")
+        names = list(self.choose(query, shown))
         return chunks.where(F.col(denotation).isin(names)) if names else chunks
 
 

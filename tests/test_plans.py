@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from corpusmill.operators.search import LlmReranker
 from corpusmill.plans import sources, store
 from corpusmill.session import scratch
 from corpusmill.streaming.incremental import index_stream
@@ -67,3 +68,12 @@ def test_store_snapshot(spark, tmp_path):
     assert got == [(t, i, x) for t in ("chunks", "files") for i, x in enumerate([True, True, False, True])]
     base = scratch(spark).rpartition("/")[0].removeprefix("file:")
     assert not os.path.isdir(base) or not [x for x in os.listdir(base) if x.startswith("scratch-")]
+
+
+def test_llm_reranker_refuses_what_it_cannot_show(spark):
+    df = spark.range(1001).selectExpr("'d' || id AS name")
+    with pytest.raises(ValueError, match="more than 1000"):
+        LlmReranker(lambda q, names: names[:1])(df, "name", "q")
+    shown = []
+    assert LlmReranker(lambda q, names: shown.extend(names) or names[:2])(df.limit(1000), "name", "q").count() == 2
+    assert len(shown) == 1000 and shown == sorted(shown)
