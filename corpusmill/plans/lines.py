@@ -226,7 +226,16 @@ def skipped_ranges(spark, d):
 
 @query(f"WITH {TEXTS} SELECT file_id, CASE WHEN regexp_matches(file_path, '\\.(py|js|ts|java|kt|go|rb)$') THEN 'code' ELSE 'other' END AS kind, len(string_split(content, chr(10))) > 1000 AS summarize FROM tx WHERE regexp_matches(file_path, '\\.[a-z]+$')")
 def summarize_dispatch(spark, d):
-    x = texts(spark, d).where(F.col("file_path").rlike(r"\.[a-z]+$"))
+    return _dispatch(texts(spark, d).where(F.col("file_path").rlike(r"\.[a-z]+$")))
+
+
+@query()
+def summarize_dispatch_all(spark, d):
+    """The dispatch of every file; those without a suffix are judged by their content, which the SQL above leaves out."""
+    return _dispatch(texts(spark, d))
+
+
+def _dispatch(x):
     return x.select("file_id", L.file_type(F.col("file_path"), F.left("content", F.lit(1000))).alias("kind"), (F.size(T.lines(F.col("content"))) > 1000).alias("summarize"))
 
 

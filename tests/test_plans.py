@@ -5,9 +5,10 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.operators.search import LlmReranker
-from corpusmill.plans import sources, store
+from corpusmill.plans import lines, sources, store
 from corpusmill.session import scratch
 from corpusmill.streaming.incremental import index_stream
 
@@ -77,3 +78,11 @@ def test_llm_reranker_refuses_what_it_cannot_show(spark):
     shown = []
     assert LlmReranker(lambda q, names: shown.extend(names) or names[:2])(df.limit(1000), "name", "q").count() == 2
     assert len(shown) == 1000 and shown == sorted(shown)
+
+
+def test_dispatch_of_files_without_suffix(spark, monkeypatch):
+    x = spark.createDataFrame([(1, "a.py", "x"), (2, "Makefile", "all:\n"), (3, "bin/run", "#!/bin/sh\n")], "file_id bigint, file_path string, content string")
+    monkeypatch.setattr(lines, "texts", lambda s, d: x)
+    got = {r["file_id"]: r["kind"] for r in lines.summarize_dispatch_all(spark, "").collect()}
+    want = {r[0]: r[1] for r in x.select("file_id", lines.L.file_type(F.col("file_path"), F.col("content"))).collect()}
+    assert got == want and set(got) == {1, 2, 3}
