@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Rows of one orphan key are spread over this many salts when they are picked out; the key table is repeated as often.
-SALTS = 16
+#: A key with more than this fraction of all references is hot. There can be no more than 1 / HOT of them.
+HOT = 1 / 1000
 
 
 def deletion_state(deletions: DataFrame) -> DataFrame:
@@ -46,7 +46,8 @@ def existence_deltas(files: DataFrame, deletions: DataFrame) -> DataFrame:
 
 
 def fold_deltas(*deltas: DataFrame) -> DataFrame:
-    """Signed counts per key. Folding folded states with further deltas gives the same as folding all deltas at once."""
+    """Signed counts per key. Folding folded states with further deltas gives the same as folding all deltas at once, so
+    the state is kept up by folding it with what a run brings: `fold_deltas(saved, reference_deltas(new_rows), ...)`."""
     all_ = deltas[0]
     for d in deltas[1:]:
         all_ = all_.unionByName(d)
@@ -56,32 +57,44 @@ def fold_deltas(*deltas: DataFrame) -> DataFrame:
 
 
 def orphan_keys(state: DataFrame) -> DataFrame:
-    """key, gone, visible_from of the keys with references that now or at their time had no target.
+    """key, gone, visible_from, d_ref of the keys with references that now or at their time had no target.
 
     A target without an arrival time counts as visible from the beginning.
     """
     gone = F.col("d_exist") <= 0
-    return state.where((F.col("d_ref") > 0) & (gone | (F.col("ref_from") < F.col("visible_from")))).select("key", gone.alias("gone"), "visible_from")
+    return state.where((F.col("d_ref") > 0) & (gone | (F.col("ref_from") < F.col("visible_from")))).select("key", gone.alias("gone"), "visible_from", "d_ref")
 
 
-def orphan_rows(tables: dict[str, DataFrame], files: DataFrame, deletions: DataFrame) -> DataFrame:
+def orphan_rows(tables: dict[str, DataFrame], files: DataFrame, deletions: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """table_name, row_id, file_id, created_at, reason of every orphan row, repeated rows once.
 
-    The join with the orphan keys is salted, so that one key with a third of all rows is spread over SALTS tasks; only
-    the orphan keys, never the whole key table, are repeated. Rows without an id appear with a null row_id.
+    The state is folded from the tables unless one is given that is up to date. Hot keys - more than HOT of all
+    references, hence at most 1 / HOT of them - are broadcast and meet their rows where these lie; rows of other keys
+    are shuffled by key, of which none is large. Of rows that share table and id the earliest orphan one counts. A row
+    without an id is a row of its own by its other columns; it appears with a null row_id.
     """
-    keys = orphan_keys(fold_deltas(reference_deltas(tables), existence_deltas(files, deletions)))
-    keys = keys.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    if state is None:
+        state = fold_deltas(reference_deltas(tables), existence_deltas(files, deletions))
+    total = state.agg(F.sum("d_ref").alias("_total"))
+    keys = state.where(F.col("d_ref") > 0).select("key", "d_ref", (F.col("d_exist") <= 0).alias("gone"), "visible_from", "ref_from")
+    is_hot = F.col("d_ref") > HOT * F.col("_total")
+    hot = keys.crossJoin(F.broadcast(total)).where(is_hot).select("key", F.lit(True).alias("_hot"), F.col("gone").alias("_g"), F.col("visible_from").alias("_v"))
     rows = None
     for name, df in tables.items():
-        r = df.where(F.col("file_id").isNotNull()).select(F.lit(name).alias("table_name"), F.col("id").cast("string").alias("row_id"), F.col("file_id").cast("bigint").alias("file_id"), "created_at")
+        id_ = F.col("id").cast("string")
+        own = F.when(id_.isNull(), F.xxhash64(*[df[c] for c, t in df.dtypes if "map<" not in t and "variant" not in t]))
+        r = df.where(F.col("file_id").isNotNull()).select(F.lit(name).alias("table_name"), id_.alias("row_id"), own.alias("_own"), F.col("file_id").cast("bigint").alias("file_id"), "created_at")
         rows = r if rows is None else rows.unionByName(r)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
-    hit = rows.join(keys, (rows.file_id == keys.key) & (rows.salt == keys.salt)).where(F.col("gone") | (F.col("created_at") < F.col("visible_from")))
-    return (
-        hit.select("table_name", "row_id", "file_id", "created_at", F.when(F.col("gone"), "no target").otherwise("target came later").alias("reason"))
-        .dropDuplicates(["table_name", "row_id"])
-    )
+    marked = rows.join(F.broadcast(hot), rows.file_id == hot.key, "left").drop("key")
+    late = F.col("created_at") < F.col("_v")
+    of_hot = marked.where(F.col("_hot") & (F.col("_g") | late))
+    cold = orphan_keys(state).select("key", F.col("gone").alias("_g2"), F.col("visible_from").alias("_v2"))
+    rest = marked.where(F.col("_hot").isNull()).drop("_g", "_v")
+    of_cold = rest.join(cold, rest.file_id == cold.key).withColumnsRenamed({"_g2": "_g", "_v2": "_v"}).where(F.col("_g") | late)
+    keep = ["table_name", "row_id", "_own", "file_id", "created_at", "_g"]
+    hit = of_hot.select(*keep).unionByName(of_cold.select(*keep))
+    first = hit.groupBy("table_name", "row_id", "_own").agg(F.min(F.struct("created_at", "file_id", "_g")).alias("m"))
+    return first.select("table_name", "row_id", F.col("m.file_id").alias("file_id"), F.col("m.created_at").alias("created_at"), F.when(F.col("m._g"), "no target").otherwise("target came later").alias("reason"))
 
 
 def orphan_report(orphans: DataFrame, period: str = "day") -> DataFrame:
