@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.operators import incremental, intervals, orphans
-from corpusmill.session import read
+from corpusmill.session import read, scratch
 
 
 def p1_found(spark, d):
-    """Exactly the new or changed file versions of every succeeded run."""
-    return incremental.changed_versions(read(spark, d, "files"), read(spark, d, "index_runs"))
+    """Exactly the new or changed file versions of every succeeded run: a runner without a watermark takes up all windows
+    of the log and commits them."""
+    return incremental.changed_versions(read(spark, d, "files"), read(spark, d, "index_runs"), scratch(spark))
 
 
 def p1_runs(spark, d):
     """Window and number of changed files of every succeeded run."""
-    runs = incremental.run_summary(read(spark, d, "files"), read(spark, d, "index_runs"))
+    runs = incremental.run_summary(p1_found(spark, d), read(spark, d, "index_runs"))
     return runs.withColumns({c: F.unix_micros(c) for c in ("lower_excl", "upper_incl")})
 
 

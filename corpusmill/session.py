@@ -55,8 +55,18 @@ def _shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """Name of a new folder that all executors share; the caller removes it."""
-    return f"{_shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    """Name of a new folder that all executors share; the caller removes it, or else the end of the process."""
+    folder = f"{_shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session has ended before
+        pass
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

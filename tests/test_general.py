@@ -1,5 +1,6 @@
 """Change feed, orphan references, intervals: against brute force, with nulls, ties, repeated rows, empty tables and extra columns."""
 
+import os
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import incremental, intervals, orphans
+from corpusmill.session import scratch
 
 T0 = datetime(2025, 3, 1, tzinfo=timezone.utc)
 FILES = "id bigint, repo_path string, file_path string, file_hash string, created_at timestamp, arrived_at timestamp, key string, win int"
@@ -60,38 +62,71 @@ def brute(rows, runs):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_changed_versions(spark, seed):
     rows, runs = make_feed(seed)
-    got = incremental.changed_versions(spark.createDataFrame(rows, FILES), spark.createDataFrame(runs, RUNS)).collect()
+    got = incremental.changed_versions(spark.createDataFrame(rows, FILES), spark.createDataFrame(runs, RUNS), scratch(spark)).collect()
     assert len(got) == len(set(map(tuple, got)))
     assert set(map(tuple, got)) == brute(rows, runs)
 
 
+def test_changed_versions_shuffled_join(spark, monkeypatch):
+    monkeypatch.setattr(incremental, "BROADCAST_RUNS", 0)
+    rows, runs = make_feed(4)
+    got = incremental.changed_versions(spark.createDataFrame(rows, FILES), spark.createDataFrame(runs, RUNS), scratch(spark)).collect()
+    assert set(map(tuple, got)) == brute(rows, runs)
+
+
 def test_changed_versions_empty(spark):
     rows, runs = make_feed(1)
     none, no_runs = spark.createDataFrame([], FILES), spark.createDataFrame([], RUNS)
-    assert incremental.changed_versions(none, spark.createDataFrame(runs, RUNS)).count() == 0
-    assert incremental.changed_versions(spark.createDataFrame(rows, FILES), no_runs).count() == 0
+    assert incremental.changed_versions(none, spark.createDataFrame(runs, RUNS), scratch(spark)).count() == 0
+    assert incremental.changed_versions(spark.createDataFrame(rows, FILES), no_runs, scratch(spark)).count() == 0
     nulls = spark.createDataFrame([(None,) * 8, (1, None, None, "h", None, at(1), None, None)], FILES)
-    got = incremental.changed_versions(nulls, spark.createDataFrame([(5, at(2), "succeeded", at(3)), (6, None, None, None)], RUNS)).collect()
-    assert [tuple(r) for r in got] == [(5, 1)]
+    log = spark.createDataFrame([(5, at(2), "succeeded", at(3)), (6, None, None, None), (7, at(2), "succeeded", at(4))], RUNS)
+    assert [tuple(r) for r in incremental.changed_versions(nulls, log, scratch(spark)).collect()] == [(5, 1)]
 
 
 def test_feed_survives_failures(spark, tmp_path):
+    """One run at a time, failing at every step: the same as the whole log at once; nothing stays of failed runs."""
     rows, runs = make_feed(7)
     feed = spark.createDataFrame(rows, FILES)
-    runner = incremental.IncrementalFeed(spark, str(tmp_path / "feed"))
-    log, got = {}, set()
+    runner = incremental.IncrementalFeed(spark, str(tmp_path / "feed"), buckets=3, compact_every=3)
+    log, got, steps = {}, set(), iter(["start", "output", "commit"] * 9)
     for run, start, status, logged in runs:
         log[run] = max(log.get(run, (logged, "", start)), (logged, status.strip().lower(), start))
     for run, (_, status, start) in sorted(log.items()):
+        before = runner.head()
+        with pytest.raises(RuntimeError):
+            runner.run(feed, start, run, fail_at=next(steps))
+        assert runner.head() == before
         if status == "succeeded":
-            got |= {(run, r["id"]) for r in runner.run(feed, start).collect()}
-        else:
-            with pytest.raises(RuntimeError):
-                runner.run(feed, start, fail_before_commit=True)
+            got |= {(r["run_id"], r["id"]) for r in runner.run(feed, start, run).collect()}
     assert got == brute(rows, runs)
     head = runner.head()
-    with pytest.raises(RuntimeError):
+    assert {m["dir"] for m in map(runner._manifest, runner._versions())} == {n for n in os.listdir(tmp_path / "feed") if n.startswith("v")}
+    best = {}
+    for id_, repo, path, h, made, arrived, *_ in rows:
+        if h and h.strip() and incremental._micros(feed, arrived) <= head["watermark"]:
+            best[norm(repo), norm(path)] = max(best.get((norm(repo), norm(path)), (at(0), -1)), (made, id_))
+    state = runner.state().groupBy("repo", "path").agg(F.max("cur.ver").alias("v")).collect()
+    assert {(r["repo"], r["path"]): r["v"]["id"] for r in state} == {k: v[1] for k, v in best.items()}
+    with pytest.raises(RuntimeError, match="committed by another"):
         runner._commit(head["version"], {})
+    assert not [n for n in os.listdir(tmp_path / "feed" / "manifests") if n.endswith(".tmp")]
+
+
+def test_feed_watermark(spark, tmp_path):
+    """The watermark never goes back, and a row that comes late with the watermark's own time is taken up next."""
+    make = lambda *rows: spark.createDataFrame([(i, "/r", p, h, at(t), at(t), "k", 1) for i, p, h, t in rows], FILES)
+    runner = incremental.IncrementalFeed(spark, str(tmp_path / "feed"))
+    first = [(1, "a", "h1", 1), (2, "b", "h1", 3)]
+    assert sorted(r["id"] for r in runner.run(make(*first), at(3), 1).collect()) == [1, 2]
+    mark = runner.head()
+    with pytest.raises(incremental.StaleRun):
+        runner.run(make(*first), at(2), 2)
+    assert runner.run(make(*first), at(3), 2).count() == 0 and runner.head() == mark
+    later = [*first, (3, "c", "h1", 3), (4, "a", "H1", 4), (5, "b", "h2", 5)]
+    log = spark.createDataFrame([(k, at(t)) for k, t in ((1, 2), (2, 3), (3, 4), (4, 9))], "run_id bigint, started_at timestamp")
+    assert sorted((r["run_id"], r["id"]) for r in runner.catch_up(make(*later), log).collect()) == [(3, 3), (4, 5)]
+    assert runner.catch_up(make(*later), log).count() == 0 and runner.head()["version"] == 2
 
 
 def test_index_stream(spark, tmp_path):
@@ -108,8 +143,11 @@ def test_index_stream(spark, tmp_path):
     assert got == [[1, 2], [3], []]
 
 
-def test_windows():
-    assert incremental.commit_windows([(2, 20), (1, 10)]) == [(1, None, 10), (2, 10, 20)]
+def test_windows(spark):
+    log = spark.createDataFrame([(2, at(2)), (1, at(1)), (3, at(2))], "run_id bigint, started_at timestamp")
+    h = lambda k: int(at(k).timestamp()) * 10**6
+    assert sorted(map(tuple, incremental.commit_windows(log).collect())) == [(1, None, h(1)), (2, h(1), h(2))]
+    assert list(map(tuple, incremental.commit_windows(log, h(1)).collect())) == [(2, h(1), h(2))]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -134,6 +172,24 @@ def test_orphans(spark, seed):
     assert sum(x["n_rows"] for x in orphans.orphan_report(got).collect()) == len(want)
 
 
+def test_orphans_hot_keys_and_rows_without_id(spark, monkeypatch):
+    """Hot keys, orphan or not, are met by broadcast; rows without an id are rows of their own, the same row twice is one."""
+    monkeypatch.setattr(orphans, "HOT", 0.2)
+    files = spark.createDataFrame([(8, "/r", "p", "h", at(0), at(0), "k", 1), (9, "/r", "p", "h", at(0), at(5), "k", 1)], FILES)
+    refs = [(i, 7, at(1)) for i in range(10)] + [(i, 8, at(1)) for i in range(10, 20)] + [(30, 9, at(4)), (30, 9, at(2)), (31, 9, at(6)), (32, 5, None)]
+    refs += [(None, 5, at(1)), (None, 5, at(2)), (None, 5, at(2)), (None, 7, None)]
+    t = spark.createDataFrame(refs, "id bigint, file_id bigint, created_at timestamp")
+    got = orphans.orphan_rows({"t": t}, files, spark.createDataFrame([], DELS)).collect()
+    ids = sorted((r["row_id"] or "", r["file_id"]) for r in got)
+    assert ids == sorted([("", 5), ("", 5), ("", 7), ("30", 9), ("32", 5), *[(str(i), 7) for i in range(10)]])
+    assert [r["created_at"] for r in got if r["row_id"] == "30"] == [at(2).replace(tzinfo=None)]
+    old, new = t.where("id < 12 or id is null"), t.where("id >= 12")
+    none = spark.createDataFrame([], DELS)
+    state = orphans.fold_deltas(orphans.reference_deltas({"t": old}), orphans.existence_deltas(files, none))
+    kept = orphans.fold_deltas(state, orphans.reference_deltas({"t": new}))
+    assert sorted(map(str, orphans.orphan_rows({"t": t}, files, none, kept).collect())) == sorted(map(str, got))
+
+
 def test_orphans_empty(spark):
     refs = spark.createDataFrame([], "id bigint, file_id bigint, created_at timestamp")
     files, dels = spark.createDataFrame([], FILES), spark.createDataFrame([], DELS)

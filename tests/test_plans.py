@@ -64,11 +64,13 @@ def test_index_stream_ties_and_replay(spark, tmp_path):
 def test_store_snapshot(spark, tmp_path):
     for tbl, n in (("files", 5), ("chunks", 7)):
         spark.range(n).write.parquet(str(tmp_path / f"{tbl}.parquet"))
+    base = scratch(spark).rpartition("/")[0].removeprefix("file:")
+    left = lambda: {x for x in os.listdir(base) if x.startswith("scratch-")} if os.path.isdir(base) else set()
+    before = left()
     assert sorted(map(tuple, store.sqlite_snapshot(spark, str(tmp_path)).collect())) == [("chunks", 7, False, None), ("files", 5, False, None)]
     got = sorted(map(tuple, sources.schema_version_gate(spark, str(tmp_path)).collect()))
     assert got == [(t, i, x) for t in ("chunks", "files") for i, x in enumerate([True, True, False, True])]
-    base = scratch(spark).rpartition("/")[0].removeprefix("file:")
-    assert not os.path.isdir(base) or not [x for x in os.listdir(base) if x.startswith("scratch-")]
+    assert left() == before
 
 
 def test_llm_reranker_refuses_what_it_cannot_show(spark):
