@@ -1,12 +1,17 @@
 """Scores for abusive, hateful and sexual content: a weighted finite-state grammar over clauses.
 
 A text is normalised (compatibility forms, invisible characters, look-alike letters, spaced or dashed letters, digits
-and signs for letters, repeated letters, masked letters) and cut into clauses. A first transducer rewrites each clause
-as a string of plain words in which insults, groups and identifiers are symbols. Patterns composed of insult, threat,
-target and sexual parts - regular expressions over that string, so finite-state - match whole clauses and carry a
-weight. Further transducers take matches back: negation, speech about oneself or about a thing - of these only the
-insult that is denied or so used, not others of the clause - and words that are quoted or listed rather than used.
-Soft-wrapped lines are joined before. The score of a text is 1 minus the product of (1 - weight) over its matches.
+and signs for letters, repeated letters, masked letters) and cut into clauses. Then transducers are composed:
+
+1. the lexicon maps a token to its labels: insults, demeaning words, groups, targets, violence, explicit words;
+2. reported speech makes neutral what somebody else said or what is quoted where words are talked about;
+3. negation makes neutral the insult that is denied, or said of oneself or of a thing - not others of the clause;
+4. the grammar, in which insult, threat, target and hate are parts that rules are composed of, accepts clauses, each group
+   of rules with its weight; all rules run as one automaton, one step per token.
+
+Steps 2 and 3 only take symbols away, so they are run on clauses that the grammar accepts without them, and the grammar
+once more on what is left. Soft-wrapped lines are joined before. The score of a text is 1 minus the product of
+(1 - weight) over its matches.
 """
 
 from __future__ import annotations
@@ -20,34 +25,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.session import spread
 
+from . import abuse_lexicon as lexicon
+from .abuse_rules import DENIED, GRAMMAR, LISTED, REPORTED, RULES
+from .fst import BEGIN, END, Acceptor, Rewriter, labels
 from .mix import normal_source
 
 #: Texts with at least this score are cases.
 THRESHOLD = 0.5
 
-INSULTS = """
-idiot idiots moron morons halfwit halfwits dimwit dimwits cretin cretins imbecile imbeciles jackass jackasses dumbass dumbasses shithead shitheads scumbag scumbags asshole assholes arsehole
-bastard bastards parasite parasites loser losers dickhead dickheads douchebag twat wanker prick bitch whore slut cunt motherfucker retard retards simpleton nitwit numbskull blockhead lowlife
-arschloch arschlöcher dummkopf vollidiot schwachkopf trottel drecksack versager wichser hurensohn mistkerl depp vollpfosten missgeburt spast drecksau
-connard connards connasse ordure ordures imbécile imbéciles salaud salauds salope crétin crétine crétins abruti abrutie abrutis débile débiles minable minables enculé enfoiré bouffon
-payaso payasa basura inútil inútiles estúpido estúpida cabrón cabrona cabrones gilipollas imbécil imbéciles idiota idiotas capullo mamón pendejo subnormal tarado
-""".split()
-#: Insults that are ordinary words elsewhere: alone they are none, in a pattern with a person they are.
-SOFT = set("loser losers parasite parasites minable minables basura inútil inútiles payaso payasa débile débiles ordure ordures prick bouffon retard simpleton idiota versager clown worm pig rat trash garbage clueless".split()) - {"clueless"}
-#: Explicit words, also when spelled with signs or masked.
-EXPLICIT = """
-horny tits titties boobs nudes erotic erotica panties slutty blowjob handjob orgasm orgasms porn pornographic masturbate masturbating masturbation cumshot dildo milf gangbang threesome clitoris fellatio cunnilingus
-pussy titten tetas
-""".split()
-GROUPS = """
-orrish veldari zorvani maleks tuvarians kesh-folk keshfolk women men girls immigrants migrants foreigners refugees muslims jews christians hindus blacks whites asians africans arabs mexicans gays lesbians
-homosexuals trans gypsies ausländer frauen juden muslime flüchtlinge étrangers femmes juifs musulmans inmigrantes extranjeros mujeres judíos musulmanes
-""".split()
-
 _LOOKALIKE = str.maketrans(
     "аеорсхуіѕјԁһкмтвнгӏքοαειρνκτυ",
     "aeopcxyisjdhkmtbhrlfoaeipvktu",
 )
+_LOOKS = re.compile("[" + "".join(chr(c) + chr(c).upper() for c in _LOOKALIKE) + "]")
 _LEET = str.maketrans("4310578$@!|€+", "aeiostbsaiiet")
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤︀-️﻿]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ \-._*])[^\W\d_])(?:\1[^\W\d_]){2,}(?![^\W_])")
@@ -61,7 +51,6 @@ _END = re.compile(r"(?:^|[^\w,)\"'’”»“\-*@$])[\"'’”»“)]*\s*$|[.!?:
 _HYPHEN = re.compile(r"[^\W\d_]-$")
 _COMMAS = frozenset(",;:–—…")
 _MARKED = re.compile(rf"{_WORD.pattern}|[{''.join(sorted(_COMMAS))}]")
-_INSULT = re.compile(r"\b(?:INS|SOFT)\b")
 _RUN = re.compile(r"(.)\1+")
 _QUOTED = re.compile(r"«[^»]{1,80}»|„[^“”]{1,80}[“”]|“[^”]{1,80}”|\"[^\"]{1,80}\"|`[^`]{1,80}`|‘[^’]{1,80}’|(?<!\w)'[^'\n]{1,80}'(?!\w)")
 
@@ -74,9 +63,11 @@ def _squeeze(s: str) -> str:
     return _RUN.sub(r"\1", s)
 
 
-_STRONG = {_fold(w) for w in INSULTS} - {_fold(w) for w in SOFT}
-_SEX = {_fold(w) for w in EXPLICIT}
-_ALL = {_fold(w) for w in INSULTS} | {_fold(w) for w in SOFT} | _SEX
+_SEX = {_fold(w) for w in lexicon.EXPLICIT}
+_SOFT = {_fold(w) for w in lexicon.SOFT}
+_STRONG = {_fold(w) for w in lexicon.INSULTS} - _SOFT
+_SLURS = {_fold(w) for w in lexicon.SLURS}
+_ALL = _STRONG | _SOFT | _SEX | _SLURS
 _SQUEEZED: dict[str, str] = {}
 for _w in sorted(_ALL):
     if len(_squeeze(_w)) >= 5:
@@ -84,18 +75,17 @@ for _w in sorted(_ALL):
 _MASKS: dict[tuple, str] = {}
 for _w in sorted(_ALL, key=lambda w: (w in _STRONG, w)):
     _MASKS[(_w[0], _w[-1], len(_w))] = _w
-_GROUPS = {_fold(w) for w in GROUPS}
-
-
-def _symbol(w: str) -> str:
-    return "INS" if w in _STRONG else "SEX" if w in _SEX else "SOFT"
+_OPEN_MASKS: dict[tuple, str] = {}
+for _w in sorted(_ALL, key=lambda w: (w in _STRONG, w)):
+    _OPEN_MASKS.setdefault((_w[0], len(_w)), _w)
+_GROUPS = {_fold(w) for w in lexicon.GROUPS}
 
 
 def normalise(text: str) -> str:
     """Compatibility forms, no invisible characters, look-alikes as Latin in words that are Latin or all look-alikes,
     spaced letters joined. Case and sentence marks stay."""
     t = text if text.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    if not t.isascii():
+    if _LOOKS.search(t):
         t = re.sub(r"[^\W\d_]+", _latin, t)
     if _SPACED.search(t):
         t = _SPACED.sub(lambda m: re.sub(r"[ \-._*]", "", m.group()), t)
@@ -114,22 +104,21 @@ def _latin(m) -> str:
 
 @functools.lru_cache(1 << 14)
 def word(token: str) -> str:
-    """A word as the grammar sees it: folded lower case, INS / SOFT for insults, GRP for groups, ID for identifiers."""
+    """The word that a token stands for, in folded lower case: an insult or explicit word also where it is written with
+    signs, repeated or masked letters; 'ID' for identifiers and numbers."""
     low = token.lower()
     core = low.strip("!*|+@$€") if not low.startswith(("@", "$")) else low.rstrip("!*|+")
     f = _fold(core)
-    if f in _ALL:
-        return _symbol(f)
-    if f in _GROUPS:
-        return "GRP"
+    if f in _ALL or f in _GROUPS:
+        return f
     if f.isalpha() and f.isascii():
         if _RUN.search(f) and (w := _SQUEEZED.get(_squeeze(f))):
-            return _symbol(w)
+            return w
         return f if not (token[1:].lower() != token[1:] and not token.isupper()) else "ID"
     if "*" in low and re.fullmatch(r"\w\*{2,}\w?", low.strip("!")):
         m = low.strip("!")
-        w = next((x for k, x in _MASKS.items() if k[0] == m[0] and k[2] == len(m) and (m[-1] == "*" or k[1] == m[-1])), None)
-        return "f" if w is None else _symbol(w)
+        w = _OPEN_MASKS.get((m[0], len(m))) if m[-1] == "*" else _MASKS.get((m[0], m[-1], len(m)))
+        return "f" if w is None else w
     if "_" in f or re.fullmatch(r"\d+", f):
         return "ID"
     if any(c.isalpha() for c in f):
@@ -137,175 +126,144 @@ def word(token: str) -> str:
         for x in (g, g.replace("i", "l"), g.rstrip("i")):
             h = re.sub(r"[-']", "", x)
             if h in _ALL or (w := _SQUEEZED.get(_squeeze(h))) and (h := w):
-                return _symbol(h)
+                return h
     h = re.sub(r"[-.]", "", f)
-    return _symbol(h) if h in _ALL else "GRP" if h in _GROUPS else f
-
-
-_ANY = r"(?:INS|SOFT)"
-_GAP = r"(?: (?!not |never |no |nicht |kein |pas |jamais |nunca )[^ ]+)"
-_DE_YOU, _ART = r"(?:du|ihr|dich|euch)", r"(?:a|an|the|such a|some|complete|total|utter|un|une|ein|eine|einen|una|kein)"
-
-
-def _rx(*alternatives: str) -> re.Pattern:
-    return re.compile("|".join(f"(?:{a})" for a in alternatives))
-
-
-#: (kind, weight, pattern) over clauses such as " you useless INS ".
-GRAMMAR = [
-    ("abusive", 0.9, _rx(
-        rf" (?:you|u|youre|your|yours){_GAP}{{0,4}} {_ANY} ", rf" {_ANY} like you ", rf" {_DE_YOU}{_GAP}{{0,4}} {_ANY} ", rf" (?:tu es|t es|tes|vous etes|espece de|sale|gros|pauvre){_GAP}{{0,3}} {_ANY} ",
-        rf" (?:eres|sois|pedazo de|maldito|puto){_GAP}{{0,3}} {_ANY} ", rf" hay que ser {_ANY} ", rf" il faut etre{_GAP}{{0,2}} {_ANY} ", rf" (?:welche[rs]?|was fur ein){_GAP}{{0,2}} {_ANY} ", rf" {_ANY} detected ",
-        rf" (?:shut up|get lost|quit crying|stop crying|learn to read|piss off|fuck off|go away|listen|callate|ferme ta gueule|halt die fresse|hau ab|ta gueule|degage){_GAP}{{0,3}} {_ANY} ",
-        rf" (?:bigger|biggest|worthless|pathetic|useless|filthy|miserable|brainless|stupid|resident|complete|total|utter|fucking|lazy|clueless|disgusting|other) {_ANY} ", rf" (?:what a|what an|what kind of|which|only a|only an|when a|when an) {_ANY} ",
-    )),
-    ("abusive", 0.6, _rx(r" INS ")),
-    ("abusive", 0.8, _rx(
-        r" shut (?:up|your) ", r" get lost ", r" (?:fuck|piss|sod|bugger) off ", r" (?:fuck|screw|damn) you ", r" go to hell ", r" drop dead ", r" halt (?:die fresse|s maul|das maul|deine fresse|den mund) ", r" hau (?:doch )?ab ", r" verpiss dich ",
-        r" leck mich ", r" (?:ferme|fermez) (?:ta|la|vos) (?:gueule|bouche) ", r" ta gueule ", r" va (?:te faire|crever|mourir|au diable) ", r" vete a la (?:mierda|verga) ", r" que te (?:jodan|den|follen) ", r" callate ", r" das asco ", r" degage d ici ",
-        r" nadie te ha preguntado ", r" nobody asked you ", r" lern erst mal ",
-    )),
-    ("abusive", 0.85, _rx(
-        r" waste of (?:oxygen|space|skin|air|breath|time and oxygen) ", r" nobody (?:here )?(?:would|will|ll) (?:ever )?miss you ", r" nobody (?:here )?(?:likes|loves|wants|needs) you ", r" (?:more worth|worth more) than (?:you|your) ",
-        r" your brain (?:must|is|has) ", r" crawl back (?:under|into|to) ", r" (?:my|the|a) (?:dog|cat|toddler|grandmother|monkey) (?:writes|codes|could write|has|knows) [^ ]+(?: [^ ]+)? than you ", r" your (?:parents|mother|father|family|mom|mum|dad) (?:must|should|has to|have to|ought to|will) be ",
-        r" never touch a (?:keyboard|computer) ", r" (?:should not|shouldn t|shouldnt) be allowed near ", r" do (?:us|me|everyone|the world|humanity) (?:all )?a favou?r and (?:quit|leave|die|never|jump|disappear|resign|stop) ", r" quit crying ", r" stop wasting our time (?:you )?", r" you (?:disgust|sicken|repulse) (?:me|us|everyone) ",
-        r" you (?:are|re) (?:too stupid|so stupid|pathetic|worthless|disgusting|a joke|an embarrassment|a disgrace|nothing) ", r" the world (?:would be|is) better (?:off )?without you ", r" youre (?:pathetic|worthless|disgusting|a joke) ", r" learn to read you ", r" you (?:are|re) (?:the|a) (?:human|living|walking) (?:version|equivalent|embodiment|definition|waste) of ", r" (?:useless|worthless) and (?:unloved|unwanted|stupid|pathetic|ugly) ",
-        r" you (?:are|re) (?:just |so |all |utterly |completely |really |such a )?(?:useless|worthless|pathetic|disgusting|brainless|hopeless|stupid|dumb|ugly|incompetent|unloved)(?: and [^ ]+)? ?$",
-    )),
-    ("abusive", 0.9, _rx(
-        r" (?:i|we|someone|somebody) (?:will|ll|am going to|m going to|m gonna|gonna|would|d|ought to|should|could)(?: [^ ]+){0,2} (?:slap|punch|hit|hurt|kill|stab|shoot|strangle|choke|beat|break|destroy|smash|hunt|burn|bury|end) (?:you|your|u) ",
-        r" (?:teach you a lesson|find out where you live|know where you live|limp home|watch your back|come for you|make you pay|beat you up|break your (?:legs|neck|face|bones|fingers)) ",
-        r" (?:i|we) hope (?:that )?you (?:choke|die|rot|burn|suffer|bleed|get (?:hit|cancer|fired|sick)|never wake) ", r" wish (?:we|i|they) could(?: still)? (?:hit|slap|punch|beat|kick|hurt) ", r" you ll (?:be sorry|regret|pay for) ", r" (?:you|team|lot|all) can (?:all )?rot ",
-        r" (?:kill|hang|shoot|off|end|drown|delete|neck) (?:your ?self|urself) ", r" jump off (?:a|the) (?:bridge|roof|cliff|building) ", r" keep (?:talking|it up|going) and i ", r" if you (?:vanished|died|disappeared|were dead) ", r" ich (?:bring|mach|schlag)e? dich ", r" je vais te (?:tuer|frapper|casser) ", r" te voy a (?:matar|pegar|romper) ",
-        r" (?:creve|stirb|muerete) ",
-    )),
-    ("hateful", 0.95, _rx(
-        r" (?:are|is|all|sind|sont|son|were) (?:all |just |nothing but |like |de la |eine |la |lauter |alle )*(?:vermin|subhuman|subhumans|untermenschen|scum|cockroaches|rats|filth|animals|savages|ungeziefer|abschaum|vermine|escoria|racaille|parasites|liars and thieves|thieves and liars) ",
-        r" (?:haben|hat) (?:hier|in [^ ]+ [^ ]+) nichts zu suchen ", r" das ist alles (?:ungeziefer|abschaum|dreck) ", r" (?:breed|breeding|multiply) like (?:rats|rabbits|vermin) ", r" (?:son|es) (?:la |una )?escoria ", r" sobran en (?:este|esta|nuestro) ", r" de la vermine ",
-        r" never hire [^ ]+(?: [^ ]+)? they are ", r" (?:get rid of|wipe out|exterminate|deport|round up|lock up|gas|ban) (?:all )?(?:of )?(?:the |those |these )?(?:GRP|[^ ]+(?: and)? (?:they ruin|and ship them)) ", r" and ship them (?:off|back|home) ", r" go back to where you came from ", r" go back to your (?:own )?country ",
-        r" (?:has|have|is) no (?:room|place) for GRP ", r" no room for [^ ]+ (?:here|in this)? ?$", r" typical GRP ", r" filthy and dishonest ", r" (?:ruined|destroyed|infested|overrun) by (?:the )?GRP ", r" GRP (?:do not|don t|dont|will never) belong ", r" they let (?:the |all |those )?(?:GRP|[^ ]+) in ",
-        r" (?:not|never) (?:review|read|accept|merge|trust) (?:any )?code from GRP ", r" they are all (?:liars|thieves|criminals|stupid|the same) ", r" keep (?:the |those |all )?(?:GRP) (?:away|out) ", r" (?:driven|thrown|kicked|chased) out of (?:this|the|our) ", r" they ruin everything ",
-        r" GRP (?:are|is)(?: all)? (?:too |so )?(?:stupid|dirty|lazy|filthy|inferior|dishonest|criminals|disgusting|vermin) ", r" as always with that sort ", r" (?:every|each) single one of them ?$", r" GRP raus ", r" GRP (?:dehors|fuera) ", r" dehors les GRP ", r" (?:all|these|those|the) GRP (?:should|must|ought to) (?:be |all )?(?:shot|deported|banned|fired|die|leave|hang|hanged|gassed|beaten) ", r" GRP should (?:be |all )?(?:shot|deported|banned|fired|die|hang|hanged|gassed|beaten) ", r" (?:no|free of|rid of) GRP (?:allowed|here|in this|in our|on this) ", r" i hate (?:all )?(?:the )?GRP ", r" they (?:smell|stink) ", r" (?:refuse to|never|won t|not) [^ ]+ (?:anything|code|work)(?: [^ ]+){0,2} (?:with|from|by) GRP ", r" GRP (?:smell|stink|steal|lie|breed) ",
-    )),
-    ("sexual", 0.9, _rx(
-        r" SEX ", r" erection ", r" (?:want to|wanna|would love to|d love to|let me|going to|gonna|i ll|i will) (?:lick|kiss|touch|undress|spank|ride|taste|fondle|grope|bang|fuck|bend) (?:you|u|your|her|him)(?: [^ ]+){0,2} (?:all over|everywhere|over|naked|slowly|tonight|all night|lips|neck|body|ass|thighs) ", r" (?:sit on my (?:face|lap|desk)|take off your (?:clothes|shirt|pants|panties|bra)|strip for me|bend over(?: [^ ]+)? (?:desk|for me)|naked for me|thinking of you naked) ",
-        r" (?:moaned|moaning|moans) (?:as|while|when|softly|loudly|with|and|in) ", r" (?:bare|naked|her|soft|heaving) breasts ", r" hey sexy ", r" (?:wanna|want to|let s|lets|should we) (?:hook up|fuck|bang|make out|get naked|have sex|sleep together) ", r" (?:have|having|had|has|want|wants|wanted) (?:hot |wild |rough |oral |anal )?sex ",
-        r" (?:explicit|sex|dirty|steamy) (?:story|scene|tape|chat|talk|fantasy) ", r" what are you wearing ", r" (?:you|me|her|him|us) (?:all )?naked ", r" naked (?:on|in|with) (?:my|your|his|her|the bed|bed) ", r" (?:touch|lick|suck|spank|undress|fuck|ride|taste) (?:them|me|you|her|him|my|your|it)(?: [^ ]+){0,3} (?:tonight|naked|hard|slowly|all night|everywhere|bed|cock|dick|ass|pussy|body) ",
-        r" (?:sexy|hot) (?:babe|body|baby|ass|legs|girl|picture|photo)s? ", r" (?:begged|begging) (?:him|her|me|you) to (?:take|fuck|touch) ", r" (?:do to me|take me) (?:under|on|over|against|right) ", r" send (?:me )?(?:SEX|naked|a nude|your SEX|sexy) ", r" (?:pussy|cock|dick) (?:pic|pics|so|in|inside|hard|wet) ",
-        r" roleplay as my ", r" (?:ficken|geile? (?:titten|sau|maus)|nackt(?:bilder|fotos)|baise moi|photos? de toi nue?|te veux nue?|follar|follamos|desnuda para mi|fotos? desnud[oa]s?|tetas|seins nus|enviame fotos|schick mir nackt[^ ]*|zieh dich aus) ",
-    )),
-]
-
-#: Words between a trigger and the insult that it takes back: none that names somebody else, and no comma.
-_OTHER = r"(?:you|u|ur|your|yours|youre|yourself|he|she|him|his|her|they|them|their|these|those|this|that|people|du|dich|dir|dein|deine|ihr|euch|euer|sie|tu|te|toi|vous|votre|ces|eres|usted|vosotros|diese|dieser|dieses|INS|SOFT|,)"
-_FREE = rf"(?: (?!{_OTHER} )[^ ]+)"
-_BE = r"(?:are|re|is|s|was|were|am|m|be|been|bin|bist|ist|seid|sind|war|warst|suis|es|est|etes|sommes|soy|sois|son)"
-_NO = r"(?:not|never|no|nicht|kein|keine|pas|jamais|nunca)"
-_DEGREE = rf"(?: (?:so|such|really|just|also|still|always|only|even|quite|rather|pretty|now|here|all|being|been|be|like|called|indeed|too|ja|echt|wirklich|doch|auch|vraiment|tellement|trop|bien|tan|muy|realmente|{_NO}|[^ ]+ly)| , (?!{_OTHER} )[^ ]+(?: (?!{_OTHER} )[^ ]+)? ,)"
-_PREDICATE = rf"{_DEGREE}{{0,3}}(?: (?:a bit of an?|a|an|the|such an?|some|any|what an?|un|une|le|la|ein|eine|einen|der|die|una|el|kein|keine)(?:{_FREE}(?: and{_FREE})?)?| (?:complete|total|utter|real|big|stupid|useless))?"
-_X = rf"(?P<x>(?:INS|SOFT)(?: (?:or|and|nor|oder|und|noch|ou|et|ni|o|y)(?: an?| une?| eine?| una)?{_FREE}? (?:INS|SOFT))*)(?= )(?! like you )"
-#: Patterns over clauses with their commas; the insults in the group x are said of oneself, of a thing, or denied.
-_TAKEN_BACK = [
-    re.compile(x) for x in (
-        rf" (?:i|me|my|myself|ich|je|j|yo) (?:feel|felt|am|was|m|look|looked|seem|bin|war|suis|soy|must be|must have been|have been|ve been|will be|ll be)(?:{_FREE}{{0,3}} (?:like|being|as))?{_PREDICATE} {_X}",
-        rf"(?:^|,)(?: (?!(?:{_OTHER}) )[^ ]+)*? (?P<x>INS|SOFT) (?:i|that i|me|ich|je|yo) (?:was|am|feel|bin|war|suis|soy)(?= )", r" (?P<x>INS|SOFT) of me(?= )",
-        r" (?:this|that|the|these|those|dieser|diese|dieses|der|die|das|ce|cet|cette|le|la|este|esta|el|it)(?: [^ ,]+){0,2} (?:is|was|s|are|ist|war|est|es|can be) (?:a|an|such a|a real|a total|ein|eine|un|une|una|so ein) (?:[^ ,]+ )?(?P<x>INS|SOFT) to [^ ,]+(?= )",
-        r" (?P<x>INS|SOFT) (?:pointer|bug|test|code|build|function|api|config|machine|thing|typo)(?= )",
-        r" (?:bug|code|pointer|build|test|thing|api|problem)(?: [^ ,]+){0,1} (?:is|was|ist|est|es) (?:a|an|un|une|ein|una)? ?(?:real |total )?(?P<x>INS|SOFT)(?= )",
-        rf" (?:you|he|she|they|we|it|du|tu|vous|ihr|er|sie|usted)(?: n)?(?: {_BE})?(?: (?:aren|isn|wasn|weren) t| (?:arent|isnt|wasnt|werent)| {_NO}){_PREDICATE} {_X}",
-        rf" no (?:eres|es|soy|sois|son){_PREDICATE} {_X}",
-        rf" (?:you|he|she|they|we|nobody|no one)(?: [^ ,]+)?(?: {_NO}| n t| t){_FREE}{{0,3}} (?:be|being|been|were|like|call{_FREE}?|called{_FREE}?|calling{_FREE}?){_PREDICATE} {_X}",
-        rf" (?:nobody|no one|niemand|personne|nadie){_FREE}{{0,3}} {_X}",
-        rf" (?:nobody|no one|niemand|personne|nadie)(?: [^ ,]+){{0,2}} (?:say|says|said|saying|think|thinks|thought|call|calls|called|calling|claims?|claimed|believes?|sagt|denkt|dit|pense|dice|piensa)(?: ,)?(?: that| dass| que)?(?: (?:you|he|she|they|we|i|du|ihr|tu|vous))?(?: {_BE})?{_PREDICATE} {_X}",
-    )
-]
-_MENTION = _rx(
-    r" (?:word|words|term|terms|string|strings|phrase|phrases|sample|samples|example|examples|classifier|filter|filters|blocklist|denylist|wordlist|list|lexicon|dictionary|regex|pattern|rule|rules|label|labels|token|tokens|flagged|flags|flag|masked|mask|censored|quoted|reported|report|moderation|toxicity) ",
-    r" (?:wort|worter|begriff|ausdruck|filter|liste|ausgeblendet|gefiltert|gesperrt|regel|mot|mots|terme|expression|filtre|masque|liste|regle|palabra|palabras|termino|filtro|lista|regla|bloquea|oculta) ",
-)
-_LISTED = re.compile(r"(?: (?:INS|SOFT|SEX)(?: (?:and|or|und|oder|et|ou|y|o))?){3,} ")
-
-
-def clause_string(clause: str, commas: bool = False) -> str:
-    found = _MARKED.findall(clause) if commas else _WORD.findall(clause)
-    return " " + " ".join(w for t in found for w in ([","] if t in _COMMAS else _split(word(t)))) + " "
-
-
-def _without_taken_back(clause: str) -> str:
-    """The clause string without the insults that are said of oneself or of a thing, or denied."""
-    s = clause_string(clause, commas=True)
-    for p in _TAKEN_BACK:
-        s = p.sub(lambda m: m.group()[: m.start("x") - m.start()] + _INSULT.sub("x", m["x"]) + m.group()[m.end("x") - m.start() :], s)
-    return s.replace(" ,", "")
-
-
-def _split(w: str) -> list[str]:
-    if w in ("INS", "SOFT", "SEX", "GRP", "ID"):
-        return [w]
-    return [x for x in re.split(r"[^\w]+", w) if x]
-
-
+    return h if h in _ALL or h in _GROUPS else f
+
+
+_ACCEPTOR = Acceptor([r for _, r in RULES])
+_REPORTED, _DENIED, _LISTED = Rewriter(REPORTED), Rewriter(DENIED), Rewriter(LISTED)
+_KNOWN = set().union(*(labels(r) for r in [*(r for _, r in RULES), *REPORTED, *DENIED, *LISTED]))
+_OTHERS = {_fold(w) for w in lexicon.OTHERS}
+_COMMON = {_fold(w) for w in lexicon.COMMON} | {"CAP", "WORD", "FREE", "UNLIKE", "NOTWHO", "LY", "NEG", "PARTS_OF_YOU", BEGIN, END, ","}
+#: Without one of these labels in a clause no rule of the grammar can match.
+_TELLING = set().union(*(labels(r) for _, r in RULES)) - _COMMON
+_LABELS: dict[str, set[str]] = {}
+for _name, _list in [*lexicon.CLASSES.items(), ("INS", _STRONG), ("SOFT", _SOFT), ("SEX", _SEX)]:
+    for _w in _list:
+        _LABELS.setdefault(_fold(_w), set()).add(_name)
+
+_FIRST, _LAST, _COMMA = frozenset({BEGIN}), frozenset({END, "UNLIKE"}), frozenset({",", "UNLIKE"})
+_interned: dict[frozenset, frozenset] = {}
+
+
+def _symbol(w: str, cap: bool) -> frozenset:
+    got = set(_LABELS.get(w, ()))
+    if w in _KNOWN:
+        got.add(w)
+    elif cap and not got and w not in _COMMON and w != "ID":
+        got.add("CAP")
+    got.add("WORD")
+    if not got & {"INS", "SOFT"} and w not in _OTHERS:
+        got.add("FREE")
+    if w != "like":
+        got.add("UNLIKE")
+    if w not in ("who", "whoever", "which"):
+        got.add("NOTWHO")
+    if len(w) > 4 and w.endswith("ly"):
+        got.add("LY")
+    f = frozenset(got)
+    return _interned.setdefault(f, f)
+
+
+@functools.lru_cache(1 << 17)
+def symbols(token: str) -> tuple[frozenset, ...]:
+    """The symbols of a token; a contraction is several words."""
+    w = word(token)
+    cap = token[:1].isupper() and token[1:].islower()
+    return (_symbol(w, cap),) if w.isalnum() else tuple(_symbol(x, cap) for x in _NO_WORD.split(w) if x)
+
+
+@functools.lru_cache(1 << 17)
+def telling(token: str) -> bool:
+    return any(s & _TELLING for s in symbols(token))
+
+
+_NO_WORD = re.compile(r"[^\w]+")
 _HINT = re.compile(r"[^\W_]")
 
 
-def score_clause(clause: str) -> list[tuple[str, float]]:
-    """[(kind, weight)] of the patterns that the clause matches after what is quoted, listed, negated or said of
-    oneself or of a thing is taken back."""
-    s = clause_string(clause)
-    if len(s) < 4:
-        return []
-    found = [(k, w) for k, w, p in GRAMMAR if p.search(s)]
-    if not found:
-        return []
-    if _QUOTED.search(clause):
-        rest = _QUOTED.sub(" ", clause)
-        bare = clause_string(rest)
-        if _MENTION.search(bare):
-            found = [(k, w) for k, w, p in GRAMMAR if p.search(bare)]
-    if found and "abusive" in {k for k, _ in found}:
-        if _LISTED.search(s) and _MENTION.search(s):
-            without = re.sub(r" (?:INS|SOFT|SEX)(?= )", " x", s)
+def encode(clause: str) -> list[frozenset]:
+    """The clause as symbols between its begin and its end, commas included."""
+    out = [_FIRST]
+    for t in _MARKED.findall(clause):
+        if t in _COMMAS:
+            out.append(_COMMA)
         else:
-            without = _without_taken_back(clause)
-        if without != s:
-            found = [(k, w) for k, w, p in GRAMMAR if p.search(without)]
-    return found
+            out += symbols(t)
+    out.append(_LAST)
+    return out
+
+
+def _accepted(s: list[frozenset]) -> set[int]:
+    """Groups of rules that accept the clause."""
+    return {RULES[k][0] for k in _ACCEPTOR.scan(x for x in s if x is not _COMMA)}
+
+
+def score_clause(clause: str) -> tuple[list[tuple[str, float]], bool]:
+    """[(kind, weight)] of the groups of rules that the clause matches after what is quoted, listed, reported, denied or
+    said of oneself or of a thing was taken back; and whether anything was."""
+    tokens = _WORD.findall(clause)
+    if not any(map(telling, tokens)):
+        return [], False
+    s = encode(clause)
+    before = found = _accepted(s)
+    if found and _QUOTED.search(clause):
+        bare = encode(_QUOTED.sub(" ", clause))
+        if any(x & {"MENTION", "SAID", "WROTE"} for x in bare):
+            s, found = bare, _accepted(bare)
+    if found:
+        rest = _REPORTED(s)
+        if any("MENTION" in x for x in rest):
+            rest = _LISTED(rest)
+        rest = _DENIED(rest)
+        if rest != s:
+            found = _accepted(rest)
+    return [GRAMMAR[g][:2] for g in sorted(found)], len(found) < len(before)
 
 
 def score_text(text: str | None) -> tuple[float, str | None]:
     """(score from 0 to 1, kind with the greatest weight or None); 0 for null and blank texts."""
     if not text or not _HINT.search(text):
         return 0.0, None
+    text = normalise(text)
+    if not _BROKEN.search(text) and not any(map(telling, set(_WORD.findall(text)))):
+        return 0.0, None
     left, best = 1.0, (0.0, None)
-    for block in _blocks(normalise(text)):
+    for block in _blocks(text):
         for kind, weight in _score_block(block):
             left *= 1 - weight
             best = max(best, (weight, kind), key=lambda x: x[0])
     return round(1 - left, 6), best[1]
 
 
-def _score_lines(lines: list[str]) -> list[tuple[str, float]]:
-    return [x for s in lines for clause in _CLAUSE.split(s) if clause and len(clause) > 2 for part in _windows(clause) for x in score_clause(part)]
+def _score_lines(lines: list[str]) -> tuple[list[tuple[str, float]], bool]:
+    out, took = [], False
+    for s in lines:
+        for clause in _CLAUSE.split(s):
+            if clause and len(clause) > 2:
+                got, back = score_clause(clause)
+                out += got
+                took |= back
+    return out, took
 
 
 def _score_block(lines: list[str]) -> list[tuple[str, float]]:
     """Matches in soft-wrapped lines as one; where nothing was taken back, those of the single lines if they are more:
     some patterns end with the line."""
     if len(lines) == 1:
-        return _score_lines(lines)
+        return _score_lines(lines)[0]
     one = ""
     for s in lines:
         one = one + s if _HYPHEN.search(one) else f"{one} {s}"
-    both = _score_lines([one])
-    single = _score_lines(lines)
-    if len(single) <= len(both) or any(_takes_back(x) for c in _CLAUSE.split(one) if c for x in _windows(c)):
+    both, took = _score_lines([one])
+    if took:
         return both
-    return single
+    single = _score_lines(lines)[0]
+    return both if len(single) <= len(both) else single
 
 
-def _takes_back(clause: str) -> bool:
-    s = clause_string(clause)
-    return len(score_clause(clause)) < sum(p.search(s) is not None for _, _, p in GRAMMAR)
+_BROKEN = re.compile(r"[^\W\d_]-[\r\n\u2028\u2029]")
 
 
 def _blocks(text: str):
@@ -333,15 +291,6 @@ def _blocks(text: str):
         yield block
 
 
-def _windows(clause: str):
-    """Clauses without an end (minified code, tables) in overlapping stretches, so that the work stays linear."""
-    if len(clause) <= 2000:
-        yield clause
-        return
-    for a in range(0, len(clause), 1800):
-        yield clause[a : a + 2000]
-
-
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score, kind, flagged for every row of `docs`; nothing is shuffled, rows written twice stay twice."""
     kept = spread(docs.select(F.col(key).alias(key), F.col(text).alias("_text")))

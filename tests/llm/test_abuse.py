@@ -101,3 +101,40 @@ def test_agreement_with_raters(spark):
     got = {r["doc_id"]: r["flagged"] for r in A.score(spark.read.parquet(f"{d}/documents.parquet")).collect()}
     both = [(got[k], v) for k, v in sure.items() if k in got]
     assert len(both) > 10 and sum(a == b for a, b in both) / len(both) >= 0.95
+
+
+def test_every_rule_needs_a_telling_word():
+    """So a text without such words need not be read closely."""
+    assert all(A._ACCEPTOR.needs(k, lambda label: label not in A._TELLING) for k in range(len(A.RULES)))
+
+
+def test_sentences():
+    import abuse_sentences
+
+    bad = [(want, s) for want, s in abuse_sentences.sentences(abuse_sentences.KNOWN) if (A.score_text(s)[0] >= A.THRESHOLD) != want]
+    assert not bad
+
+
+def test_reported_speech_and_long_clauses():
+    case = lambda t: A.score_text(t)[0] >= A.THRESHOLD
+    assert not case("He said you are an idiot and I asked him to stop") and not case("My boss called me a moron")
+    assert case("Whoever wrote this is a worthless halfwit") and case("He said it works, you idiot")
+    one = A.score_text("you are an idiot")[0]
+    assert A.score_text("x " * 1850 + "you are an idiot " + "x " * 1850)[0] == one  # counted once, also in a long clause
+    assert case("you " + "x " * 3 + "idiot " + "y " * 100_000)
+
+
+def test_transducers_against_backtracking():
+    """The automaton accepts what a plain matcher does, on random clauses."""
+    import random
+
+    from corpusmill.llm.fst import Acceptor, Rewriter, _matches, parse
+
+    rules = [parse(x) for x in ("a b? c", "^ (a|b){1,3} $", "x ~{0,2} y", "a .{0,} b $", "(a (b|c)*)+ d", "c+ <a b>")]
+    acceptor, r = Acceptor(rules), random.Random(5)
+    sym = lambda w: frozenset({w, "NEG"} if w == "n" else {w})
+    for _ in range(3000):
+        s = [frozenset({"^"}), *(sym(r.choice("abcdxyn")) for _ in range(r.randint(0, 7))), frozenset({"$"})]
+        want = {k for k, rule in enumerate(rules) if any(next(_matches(rule, s, i, ()), None) for i in range(len(s)))}
+        assert acceptor.scan(s) == want
+    assert [sorted(x) for x in Rewriter(rules[5:])([sym("c"), sym("a"), sym("b"), sym("a")])][0] == ["c"]
