@@ -40,14 +40,19 @@ NOTICES = [
 
 VENDORED_DIRS = (
     "vendor", "vendors", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "3rd_party", "node_modules", "bower_components", "jspm_packages", "pods", "carthage",
-    "site-packages", "dist-packages", "external", "externals", "extern", "deps", "contrib", ".yarn", ".bundle", ".venv", "venv", "godeps", "elm-stuff", "_vendor",
+    "site-packages", "dist-packages", ".yarn", ".bundle", ".venv", "venv", "godeps", "elm-stuff", "_vendor",
 )
+#: Folders that hold third-party copies in some repositories and own code in others: the path alone does not tell.
+PERHAPS_VENDORED_DIRS = ("external", "externals", "extern", "deps", "contrib")
+#: Bodies with fewer characters than this, white space aside, are too common to tell a copy.
+SHORTEST_BODY = 80
 LOCKFILES = (
     "package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "gemfile.lock", "poetry.lock", "pipfile.lock", "cargo.lock", "go.sum", "podfile.lock", "packages.lock.json", "flake.lock", "mix.lock",
 )
 _MIN_NAME = re.compile(r"[.-]min\.(js|css|mjs|cjs)$|\.(bundle|chunk|prod)\.(js|css|mjs)$|(^|/)bundle\.[0-9a-f]{6,}\.js$|\.[0-9a-f]{8,}\.(js|css)$")
 _BANNER = re.compile(r"^\W*[!*]\s*(?:@license\s+)?[\w@./-]+\s+v?\d+(?:\.\d+)+\b")
 _VERSIONED_DIR = re.compile(r"(^|/)[a-z][\w-]*-\d+\.\d+(\.\d+)?/")
+_VERSION = re.compile(r"[-@]v?\d+(\.\d+)+.*$")
 _NAME_VERSION = re.compile(r"\b[a-z][\w-]*[ -]v?\d+\.\d+(?:\.\d+)?\b")
 _COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|<!--|--\s|;|\"\"\"|''')")
 _TOKEN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|(?<![\w.])-?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\b|[A-Za-z_$@][\w$]*")
@@ -237,12 +242,19 @@ def classify(path: str, text: str | None) -> tuple[str | None, str]:
         return "vendored", "banner"
     if below + min(g, 0) >= 2:  # a head that says the file is hand-written counts against it
         return "generated", "notice"
-    s = shape(text)
-    if s:
-        return s, "shape"
-    if by_path == "minified" and max(map(len, text.splitlines()), default=0) > LONG_LINE:
+    if by_path == "minified":
         return "minified", "path"
-    return None, ""
+    s = shape(text)
+    return (s, "shape") if s else (None, "")
+
+
+def library(path: str | None) -> str | None:
+    """Name of the folder under one that holds, or may hold, third-party copies, without a version; None elsewhere."""
+    segments = (path or "").lower().split("/")
+    for k in range(len(segments) - 3, -1, -1):  # the file itself is no library
+        if segments[k] in VENDORED_DIRS or segments[k] in PERHAPS_VENDORED_DIRS:
+            return _VERSION.sub("", segments[k + 1])
+    return None
 
 
 def body_fingerprint(text: str | None) -> str | None:
@@ -256,11 +268,11 @@ def body_fingerprint(text: str | None) -> str | None:
     while i < len(lines) and (not lines[i].strip() or _CONFLICT.match(lines[i]) or _COMMENT.match(lines[i]) and not lines[i].lstrip().startswith(('"""', "'''"))):
         i += 1
     body = "".join("".join(lines[i:]).split())
-    return xxhash.xxh3_128_hexdigest(body.encode()) if len(body) >= 200 else None
+    return xxhash.xxh3_128_hexdigest(body.encode()) if len(body) >= SHORTEST_BODY else None
 
 
 def classify_files(files: DataFrame) -> DataFrame:
-    """file_id, repo_path, file_path, kind, reason, body of every row; row by row, without a shuffle.
+    """file_id, repo_path, file_path, kind, reason, body, library of every row; row by row, without a shuffle.
 
     kind is null for hand-written files and for null or empty contents. Rows written twice stay twice.
     """
@@ -270,26 +282,28 @@ def classify_files(files: DataFrame) -> DataFrame:
         for b in batches:
             got = [classify(p, c) for p, c in zip(b["file_path"], b["content"])]
             yield pd.DataFrame(
-                {"file_id": b["file_id"], "repo_path": b["repo_path"], "file_path": b["file_path"], "kind": [k for k, _ in got], "reason": [r for _, r in got], "body": [body_fingerprint(c) for c in b["content"]]}
+                {"file_id": b["file_id"], "repo_path": b["repo_path"], "file_path": b["file_path"], "kind": [k for k, _ in got], "reason": [r for _, r in got], "body": [body_fingerprint(c) for c in b["content"]], "library": [None if c is None or not c.strip() else library(p) for p, c in zip(b["file_path"], b["content"])]}
             )
 
-    return kept.mapInPandas(run, "file_id bigint, repo_path string, file_path string, kind string, reason string, body string")
+    return kept.mapInPandas(run, "file_id bigint, repo_path string, file_path string, kind string, reason string, body string, library string")
 
 
 def not_hand_written(files: DataFrame) -> DataFrame:
     """file_id, repo_path, file_path, kind, reason of the files that are not hand-written, each file once.
 
-    Besides those that `classify` finds, a file whose body is the body of a vendored one is a copy of it. The vendored
-    bodies are joined by fingerprint; they are distinct, so a body with very many copies meets one row, and AQE splits
-    the side of the copies. Bodies too short for a fingerprint get a key of their own, so that they don't meet in one
-    partition. The contents are read once; the small verdicts are checkpointed and used twice.
+    Besides those that `classify` finds, a file whose body is the body of a vendored one is a copy of it, and so is a file
+    in a folder such as `external/name/` if `name` is a library that surely vendored files belong to. Bodies and names of
+    vendored files are joined; they are distinct, so one with very many copies meets one row, and AQE splits the side of
+    the copies. Rows without a key get one of their own, so that they don't meet in one partition. The contents are read
+    once; the small verdicts are checkpointed and used again.
     """
-    got = checkpoint(classify_files(files).withColumn("body", F.coalesce("body", F.concat(F.lit("~"), F.col("file_id").cast("string")))))
-    known = got.where((F.col("kind") == "vendored") & ~F.col("body").startswith("~")).select("body").distinct().withColumn("copy", F.lit(True))
-    both = got.join(known, "body", "left")
-    kind = F.coalesce("kind", F.when(F.col("copy"), "vendored"))
-    return (
-        both.withColumn("reason", F.when(F.col("kind").isNull() & F.col("copy"), "copy of a vendored file").otherwise(F.col("reason")))
-        .withColumn("kind", kind).where(F.col("kind").isNotNull())
-        .groupBy("file_id").agg(F.min(F.struct("repo_path", "file_path", "kind", "reason")).alias("r")).select("file_id", "r.*")
-    )
+    own = F.concat(F.lit("~"), F.coalesce(F.col("file_id").cast("string"), F.lit("")))
+    got = checkpoint(classify_files(files).withColumns({"body": F.coalesce("body", own), "library": F.coalesce("library", own)}))
+    sure = got.where(F.col("kind") == "vendored")
+    bodies = sure.where(~F.col("body").startswith("~")).select("body").distinct().withColumn("copy", F.lit("copy of a vendored file"))
+    names = sure.where(~F.col("library").startswith("~")).select("library").distinct().withColumn("named", F.lit("folder of a vendored library"))
+    decided = got.where(F.col("kind").isNotNull()).select("file_id", "repo_path", "file_path", "kind", "reason")
+    rest = got.where(F.col("kind").isNull()).join(bodies, "body", "left")
+    linked = rest.join(names, "library", "left").withColumn("reason", F.coalesce("copy", "named")).where(F.col("reason").isNotNull())
+    both = decided.unionByName(linked.select("file_id", "repo_path", "file_path", F.lit("vendored").alias("kind"), "reason"))
+    return both.groupBy("file_id").agg(F.min(F.struct("repo_path", "file_path", "kind", "reason")).alias("r")).select("file_id", "r.*")

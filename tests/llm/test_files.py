@@ -60,6 +60,25 @@ def test_place_of_the_notice(path, text, kind):
     assert H.classify(path, text)[0] == kind
 
 
+@pytest.mark.parametrize(
+    "path,text,kind",
+    [
+        ("src/deps/resolver.py", OWN, None), ("app/external/api.py", OWN, None), ("contrib/tool/run.py", OWN, None), ("deps/lib-1.2.3/a.py", OWN, "vendored"), ("lib/jquery.min.js", "function f(a) {\n  return a;\n}\n", "minified"),
+        ("a/b.py", "# licence\n" * 300 + NOTICE + OWN, "generated"), ("a/b.py", "# " + "x" * 9000 + "\n" + NOTICE + OWN, "generated"),
+    ],
+)
+def test_paths_and_long_heads(path, text, kind):
+    assert H.classify(path, text)[0] == kind
+
+
+def test_libraries(spark):
+    """Folders that may be third-party: so if the library is vendored elsewhere, or the body is a copy, also a short one."""
+    short = "class LongEnoughName:\n    def method_with_a_name(self):\n        return self.compute_something_else(1)\n"
+    rows = [(1, "r", "vendor/zlib-9/a.py", OWN), (2, "q", "external/zlib-9/b.py", "x = 1\n"), (3, "q", "external/own/b.py", "y = 1\n"), (4, "q", "src/external/c.py", "z = 1\n"), (5, "r", "vendor/k/s.py", short), (6, "q", "src/s.py", short), (7, "q", "external/zlib-9/e.py", " "), (None, "q", "src/own.py", "z = 2\n")]
+    df = spark.createDataFrame(rows, "file_id bigint, repo_path string, file_path string, content string")
+    assert {r["file_id"] for r in H.not_hand_written(df).collect()} == {1, 2, 5, 6}
+
+
 def test_copies(spark):
     body = "".join(f"def f_{c}(a):\n    return a\n" for c in "abcdefghijklmnopq")
     rows = [(1, "r", "vendor/l/a.py", "# lib v1.2.3\n" + body, "x"), (2, "r", "src/a.py", body, "x"), (2, "r", "src/a.py", body, "x"), (3, "r", "src/b.py", body + "x = 1\n", "x"), (4, None, None, None, "x"), (5, "r", "s.py", "", "x")]
@@ -115,3 +134,34 @@ def test_files(spark):
     rates = {(r["repo_path"], r["language"]): (r["n_files"], r["rate"]) for r in V.invalid_rates(repo, files).collect()}
     assert rates[("r", "python")] == (2, 0.5) and rates[("r", "go")] == (2, 0.5)
     assert V.invalid_files(repo.limit(0), files.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("language", ["python", "javascript", "ruby"])
+def test_json_under_other_names(language):
+    """Valid syntax there, so no case, but known as another language."""
+    for text in ('{"name": "x", "version": 1}\n', '[\n  {"a": 1.5, "b": ["c"]}\n]\n'):
+        verdict, found = V.judge(text, language)
+        assert found == "json" and verdict == "suspect" or text[0] == "{" and language != "python" and verdict == "wrong extension"
+    assert V.judge("x = [1, 2]\n", language) == ("valid", language) and V.judge("", language) == ("valid", language)
+
+
+def test_too_deep():
+    assert V.judge("{" * 200_000, "json") == ("corrupt", None) and V.judge("[" * 200_000 + "]" * 200_000, "json") == ("valid", "json")
+    assert V.judge("(" * 200_000, "python")[0] != "valid" and V.judge("x = " + "-" * 200_000 + "1", "python")[0] in ("unknown", "corrupt")
+
+
+def test_nested_json_parser_against_the_library():
+    import json
+    import random
+
+    r = random.Random(3)
+    for _ in range(4000):
+        t = "".join(r.choice(['{', '}', '[', ']', ',', ':', '"a"', '1', 'null', ' ']) for _ in range(r.randint(1, 9)))
+        if r.random() < 0.4:
+            t = json.dumps(r.choice([{"a": [1, {"b": None}], "c": "\\u1"}, [], {}, [[[]]], "x", -1.5e3]), indent=r.choice([None, 1]))
+        try:
+            json.loads(t)
+            want = True
+        except ValueError:
+            want = False
+        assert V.json_nested(t) == want, t
