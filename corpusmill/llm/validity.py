@@ -1,12 +1,15 @@
 """Source files that do not parse.
 
-A file's language is the one its extension stands for, or, without an extension, the declared one. It is parsed with
-that language's grammar first; if that succeeds no other parse can change the verdict. A file that fails is parsed
-against all other grammars, in the order in which its tokens suggest them: a successful foreign parse says that the
-extension is wrong, failure everywhere says that the file is corrupt.
+A file's language is the one its extension stands for, or, without an extension, the declared one. The languages are
+ranked by how many of the text's words are theirs, and the text is parsed against their grammars until those left cannot
+change the verdict: where its own language fails, in the order of the ranking until one succeeds - a successful foreign
+parse says that the extension is wrong, failure everywhere that the file is corrupt; where its own language succeeds,
+against those that rank clearly above it, so that a JSON object under the name of a script is known as such although it
+is valid syntax there (`suspect`; such a file is not invalid).
 
 Python's own parser serves for Python; the other grammars are in `syntax`. Only syntax counts. Byte-order marks and any
-line ends are fine, as are empty files and files of comments; NUL characters are not.
+line ends are fine, as are empty files and files of comments; NUL characters are not. Where a parser gives up because a
+text is nested too deeply, the verdict is 'unknown'.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import ast
 import json
 import re
 import warnings
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -40,7 +44,7 @@ _WORD = re.compile(r"[A-Za-z_]\w*|:=|=>|===")
 
 
 class _Python:
-    def valid(self, text: str) -> bool:
+    def valid(self, text: str) -> bool | None:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             try:
@@ -49,7 +53,48 @@ class _Python:
             except (SyntaxError, ValueError):
                 return False
             except (RecursionError, MemoryError):
-                return True  # too deep for the parser, which says nothing about the syntax
+                return None  # too deep for the parser, which says nothing about the syntax
+
+
+_JSON_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity))')
+
+
+def json_nested(text: str) -> bool:
+    """Whether a text is JSON, with a stack of its own: for texts too deep for the recursive parser."""
+    at, n, stack, want = 0, len(text.rstrip(" \t\n\r")), [], "value"  # what may come next
+    while at < n:
+        m = _JSON_TOKEN.match(text, at)
+        if m is None or want == "end":
+            return False
+        at = m.end()
+        mark, string, _ = m.groups()
+        if mark is None:
+            if want in ("key", "key or }"):
+                if string is None:
+                    return False
+                want = ":"
+            elif want in ("value", "value or ]"):
+                want = "next" if stack else "end"
+            else:
+                return False
+        elif mark in "{[":
+            if want not in ("value", "value or ]"):
+                return False
+            stack.append(mark)
+            want = "key or }" if mark == "{" else "value or ]"
+        elif mark in "}]":
+            if not stack or stack.pop() != {"}": "{", "]": "["}[mark] or want not in ("next", {"}": "key or }", "]": "value or ]"}[mark]):
+                return False
+            want = "next" if stack else "end"
+        elif mark == ",":
+            if want != "next":
+                return False
+            want = "key" if stack[-1] == "{" else "value"
+        else:
+            if want != ":":
+                return False
+            want = "value"
+    return want == "end"
 
 
 class _Json:
@@ -58,7 +103,7 @@ class _Json:
             json.loads(text)
             return True
         except RecursionError:
-            return True
+            return json_nested(text)
         except ValueError:
             return not text.strip()
 
@@ -79,29 +124,56 @@ def grammar(language: str):
     return _grammars[language]
 
 
+_WORD_OF: dict[str, list[str]] = {}
+for _k, _v in HINTS.items():
+    for _w in set(_v.split()):
+        _WORD_OF.setdefault(_w, []).append(_k)
+
+
+def scores(text: str) -> dict[str, int]:
+    """How many of a text's words are each language's. An object or list of strings and numbers speaks for JSON."""
+    out = dict.fromkeys(HINTS, 0)
+    for w, n in Counter(_WORD.findall(text)).items():
+        for k in _WORD_OF.get(w, ()):
+            out[k] += n
+    head = text.lstrip()
+    if head[:1] in ("{", "[") and _JSON_HEAD.match(head):
+        out["json"] = max(out.values()) + 3
+    return out
+
+
 def rank(text: str) -> list[str]:
     """Languages by how many of a text's words are theirs, the likeliest first."""
-    words = _WORD.findall(text)
-    score = {k: sum(1 for w in words if w in h) for k, h in ((k, set(v.split())) for k, v in HINTS.items())}
+    score = scores(text)
     return sorted(score, key=lambda k: (-score[k], k))
 
 
+#: A language contains another: what is valid in the second says nothing against the first.
+_CONTAINS = {("typescript", "javascript")}
+_JSON_HEAD = re.compile(r'\{\s*(?:"(?:[^"\\\n]|\\.)*"\s*:|\})|\[\s*(?:["{\[\d-]|true|false|null|\])')
+
+
 def judge(text: str | None, language: str | None) -> tuple[str, str | None]:
-    """(verdict, language found): 'valid', 'unknown' where the language has no grammar here or the content is null,
-    'wrong extension' with the language that does parse, 'corrupt'."""
+    """(verdict, language found): 'valid'; 'suspect' where the text is valid but another language ranks clearly above and
+    parses it too; 'wrong extension' with the language that does parse; 'corrupt'; 'unknown' where the language has no
+    grammar here, its parser gave up or the content is null."""
     if text is None or language is None:
         return "unknown", None
-    text = text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    text = text.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     if not text.strip():
         return "valid", language
     if "\0" in text:
         return "corrupt", None
-    if grammar(language).valid(text):
-        return "valid", language
-    for other in rank(text):
-        if other != language and grammar(other).valid(text):
-            return "wrong extension", other
-    return "corrupt", None
+    own = grammar(language).valid(text)
+    if own is None:
+        return "unknown", None
+    score = scores(text)
+    for other in sorted(score, key=lambda k: (-score[k], k)):
+        if own and score[other] <= 2 * score[language] + 2:
+            return "valid", language
+        if other != language and (language, other) not in _CONTAINS and grammar(other).valid(text):
+            return ("suspect" if own else "wrong extension"), other
+    return ("valid", language) if own else ("corrupt", None)
 
 
 def _language(by_extension, declared):
@@ -143,9 +215,10 @@ def invalid_files(repo_files: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def invalid_rates(repo_files: DataFrame, files: DataFrame) -> DataFrame:
-    """Per repository and language: files with a verdict, corrupt ones, wrong extensions, rate of both."""
+    """Per repository and language: files with a verdict, corrupt ones, wrong extensions, rate of both, suspect ones."""
     one = check_files(repo_files, files).where(F.col("verdict") != "unknown").groupBy("repo_path", "language", "file_id").agg(F.min("verdict").alias("v"))
     n = F.count("*")
     return one.groupBy("repo_path", "language").agg(
-        n.alias("n_files"), F.count_if(F.col("v") == "corrupt").alias("n_corrupt"), F.count_if(F.col("v") == "wrong extension").alias("n_wrong_extension"), (F.count_if(F.col("v") != "valid") / n).alias("rate")
+        n.alias("n_files"), F.count_if(F.col("v") == "corrupt").alias("n_corrupt"), F.count_if(F.col("v") == "wrong extension").alias("n_wrong_extension"), (F.count_if(F.col("v").isin("corrupt", "wrong extension")) / n).alias("rate"),
+        F.count_if(F.col("v") == "suspect").alias("n_suspect"),
     )
