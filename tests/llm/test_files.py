@@ -141,7 +141,7 @@ def test_json_under_other_names(language):
     """Valid syntax there, so no case, but known as another language."""
     for text in ('{"name": "x", "version": 1}\n', '[\n  {"a": 1.5, "b": ["c"]}\n]\n'):
         verdict, found = V.judge(text, language)
-        assert found == "json" and verdict == "suspect" or text[0] == "{" and language != "python" and verdict == "wrong extension"
+        assert found == "json" and (verdict == "suspect" or language != "python" and verdict == "wrong extension")
     assert V.judge("x = [1, 2]\n", language) == ("valid", language) and V.judge("", language) == ("valid", language)
 
 
