@@ -10,9 +10,9 @@ from . import abuse, bpe, handwritten, mix, pack, split, validity
 
 
 def _limits(spark, d, problem: str) -> dict[str, int]:
-    """The profile's sizes: a table of a few rows by design."""
-    rows = read(spark, d, "limit_profiles").where(F.col("problem") == problem).select("limit_name", "amount").limit(1000).collect()
-    return {r[0]: r[1] for r in rows}
+    """The profile's sizes, one row per name: of rows with one name the greatest amount counts."""
+    rows = read(spark, d, "limit_profiles").where((F.col("problem") == problem) & F.col("limit_name").isin("max_size", "overlap", "capacity"))
+    return {r[0]: r[1] for r in rows.groupBy("limit_name").agg(F.max("amount")).collect()}
 
 
 def p4_found(spark, d):
@@ -34,9 +34,9 @@ def p5_found(spark, d):
 
 
 def p5_pieces(spark, d):
-    """All pieces of all items."""
+    """All pieces of all items, by their offsets and lines."""
     p = _limits(spark, d, "p5")
-    return split.pieces(split.distinct_items(read(spark, d, "sample_data")), p["max_size"], p["overlap"])
+    return split.distinct_pieces(read(spark, d, "sample_data"), p["max_size"], p["overlap"])
 
 
 def p6_containers(spark, d):

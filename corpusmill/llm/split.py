@@ -1,28 +1,33 @@
 """Splitting oversized items at natural boundaries.
 
-An item's line starts, line ends and structural boundaries are prefix sums over its text, kept as sorted arrays. A cut
-is found by binary search: the last structural boundary under the limit (a line after a blank one, or an unindented
-line that opens something), if it fills at least half of the limit; else the last line start; else, inside a line that
-is itself too long, the last word boundary in the second half; else a hard cut. The next piece begins the given number
-of lines before the cut, or fewer where the limit would leave no room for anything new.
-
-Units are Unicode code points. Lines end with LF, CRLF or CR.
+A text is cut into tokens by the pre-tokeniser of `bpe` (class arrays, no regular expression), and further at line
+starts. The tokens' sizes - code points, or ids of the public tokenizer - are summed up to prefix sums, over which line
+starts and structural boundaries are sorted arrays. A cut is found by binary search: the last structural boundary under
+the limit (a line after a blank one, or an unindented line that opens something), if it fills at least half of the
+limit; else the last line start; else the last token. Tokens that are larger than the limit alone are cut hard before.
+The next piece begins the given number of lines before the cut, or fewer where the limit would leave no room for
+anything new.
+
+Lines end with LF, CRLF or CR.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .bpe import DEFAULT_VOCABULARY, class_table, merger, token_starts, vocabulary
+
 _EOL = re.compile(r"\r\n|\n|\r")
 _STRUCT = re.compile(r"[^\s)}\]>,;:|&+*/.=-]")
-_WORD = re.compile(r"\s+|(?<=[,;.!?)\]}])(?=\S)")
-_WIDE = re.compile("[̀-ͯ‍︀-️\U0001f3fb-\U0001f3ff]")
+_WIDE = re.compile("[\u0300-\u036f\u200d\ufe00-\ufe0f\U0001f3fb-\U0001f3ff]")
 
-SCHEMA = "id string, piece_no int, n_pieces int, start_line bigint, end_line bigint, start_char int, end_char int, shared_lines int, text string"
+SCHEMA = "id string, content_hash bigint, piece_no int, n_pieces int, start_line bigint, end_line bigint, start_char int, end_char int, shared_lines int, text string"
 
 
 def line_starts(text: str) -> list[int]:
@@ -42,97 +47,137 @@ def _structural(text: str, starts: list[int]) -> list[int]:
     return out
 
 
-def _inside(text: str, a: int, limit: int) -> int:
-    """Cut inside an overlong line: after the last white space or punctuation in the second half, else at the limit, one
-    or more code points earlier where that would part a line end or a combined character."""
-    best = 0
-    for m in _WORD.finditer(text, a + limit // 2, min(a + limit, len(text))):
-        best = m.end()
-    if a < best <= a + limit:
-        return best
-    cut = a + limit
-    while cut > a + 1 and cut < len(text) and (_WIDE.match(text, cut) or text[cut - 1 : cut + 1] == "\r\n"):
-        cut -= 1
-    return cut if cut > a + 1 else a + limit
-
-
-def split_offsets(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """[(start, end, shared lines)] of the pieces; a text within the limit is one piece, the empty text too."""
-    if limit < 1 or overlap < 0:
-        raise ValueError("limit must be positive and overlap not negative")
-    n = len(text)
-    if n <= limit:
-        return [(0, n, 0)]
-    starts = line_starts(text)
-    structural = _structural(text, starts)
+_classes: list[np.ndarray] = []
+
+
+def token_table(text: str, starts: list[int], limit: int, sizes: Callable | None) -> tuple[list[int], list[int]]:
+    """(offsets of tokens and the end, prefix sums of their sizes). A blank between words belongs to the word before it.
+    Tokens over the limit are cut: at the limit, one or more code points earlier where that would part a combined
+    character; where sizes are not code points, into pieces that cannot exceed it, as a code point has at most 4 ids."""
+    if not _classes:
+        _classes.append(class_table())
+    cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    at = token_starts(cp, np.zeros(1, dtype=np.int64), _classes[0])
+    inner = at[(cp[at] == 0x20) & (at + 1 < len(cp))]
+    at = np.union1d(np.setdiff1d(at, inner), inner + 1)
+    off = np.union1d(at, np.asarray(starts[:-1], dtype=np.int64)).tolist()
+    if off[0]:
+        off.insert(0, 0)
+    off.append(len(text))
+    size = sizes([text[a:b] for a, b in zip(off, off[1:])]) if sizes else np.diff(off).tolist()
+    if max(size) > limit:
+        new, new_size = [], []
+        for a, b, n in zip(off, off[1:], size):
+            step = limit if sizes is None else max(1, limit // 4)
+            while n > limit:
+                cut = a + step
+                while sizes is None and cut > a + 1 and _WIDE.match(text, cut):
+                    cut -= 1
+                cut = cut if cut > a + 1 else a + step
+                if cut >= b:
+                    break
+                new.append(a)
+                new_size.append(cut - a if sizes is None else sizes([text[a:cut]])[0])
+                a = cut
+                n = b - a if sizes is None else sizes([text[a:b]])[0]
+            new.append(a)
+            new_size.append(n)
+        off, size = [*new, len(text)], new_size
+    return off, [0, *np.cumsum(size).tolist()]
+
+
+def split_offsets(text: str, limit: int, overlap: int, sizes: Callable | None = None) -> list[tuple[int, int, int]]:
+    """[(start, end, shared lines)] of the pieces in code points; a text within the limit is one piece, the empty text too.
+
+    `sizes` gives the sizes of a list of tokens in the limit's unit; without it sizes are code points."""
+    if limit < 1 or overlap < 0 or sizes and limit < 4:
+        raise ValueError("limit must be positive (4 at least for token ids) and overlap not negative")
+    if not text or sizes is None and len(text) <= limit:
+        return [(0, len(text), 0)]
+    lines = line_starts(text)
+    off, total = token_table(text, lines, limit, sizes)
+    end = len(off) - 1
+    place = {o: i for i, o in enumerate(off)}
+    starts = [place[o] for o in lines]
+    structural = [place[o] for o in _structural(text, lines)]
     out, a, done, shared = [], 0, 0, 0
     while True:
-        if n - a <= limit:
-            out.append((a, n, shared))
+        if total[end] - total[a] <= limit:
+            out.append((off[a], off[end], shared))
             return out
-        top = a + limit
+        reach = bisect_right(total, total[a] + limit) - 1
         cut = 0
-        i = bisect_right(structural, top) - 1
-        if i >= 0 and structural[i] >= max(done + 1, a + limit // 2):
+        i = bisect_right(structural, reach) - 1
+        if i >= 0 and structural[i] > done and total[structural[i]] >= total[a] + limit // 2:
             cut = structural[i]
         if not cut:
-            i = bisect_right(starts, top) - 1
+            i = bisect_right(starts, reach) - 1
             if starts[i] > done:
                 cut = starts[i]
         if not cut:
             a, shared = done, 0
-            cut = _inside(text, a, limit)
-        out.append((a, cut, shared))
-        done = cut
+            cut = bisect_right(total, total[a] + limit) - 1
+        out.append((off[a], off[cut], shared))
+        first_of_piece, done = a, cut
         line = bisect_right(starts, cut) - 1  # the line that holds the cut, or begins there
-        unit = starts[line + 1] if line + 1 < len(starts) else n  # the least that the next piece should add
-        first = line - overlap if starts[line] == cut else line - overlap + 1
+        inside = starts[line] != cut
+        unit = starts[line + 1] if line + 1 < len(starts) else end  # the least that the next piece should add
         a, shared = cut, 0
-        for j in range(max(first, 0), line + (starts[line] != cut)):
-            room = unit - starts[j] <= limit if unit - cut <= limit else cut - starts[j] <= limit // 2
-            if room and starts[j] > out[-1][0]:
-                a, shared = starts[j], line - j + (starts[line] != cut)
+        for j in range(max(line - overlap + inside, 0), line + inside):
+            room = total[unit] - total[starts[j]] <= limit if total[unit] - total[cut] <= limit else total[cut] - total[starts[j]] <= limit // 2
+            if room and starts[j] > first_of_piece:
+                a, shared = starts[j], line - j + inside
                 break
 
 
-def split_rows(rows: pd.DataFrame, limit: int, overlap: int, with_text: bool) -> pd.DataFrame:
+def split_rows(rows: pd.DataFrame, limit: int, overlap: int, with_text: bool, sizes: Callable | None = None) -> pd.DataFrame:
     out = []
-    for id_, text, first in zip(rows["id"], rows["content"], rows["start_line"]):
+    for id_, text, first, h in zip(rows["id"], rows["content"], rows["start_line"], rows["content_hash"]):
         base = 1 if pd.isna(first) else int(first)
         starts = line_starts(text)
-        pieces = split_offsets(text, limit, overlap)
+        pieces = split_offsets(text, limit, overlap, sizes)
         for k, (a, b, shared) in enumerate(pieces):
             la, lb = bisect_right(starts, a) - 1, max(bisect_left(starts, b) - 1, 0)
-            out.append((id_, k, len(pieces), base + la, base + lb, a, b, shared, text[a:b] if with_text else None))
-    return pd.DataFrame(out, columns=["id", "piece_no", "n_pieces", "start_line", "end_line", "start_char", "end_char", "shared_lines", "text"])
-
-
-def distinct_items(items: DataFrame) -> DataFrame:
-    """One row per id: id, content, start_line. Of rows with one id the longest content wins, then the lowest line."""
-    return items.groupBy("id").agg(F.max(F.struct(F.length("content").alias("n"), F.col("content"), (-F.col("start_line")).alias("s"))).alias("m")).select(
-        "id", F.col("m.content").alias("content"), (-F.col("m.s")).alias("start_line")
-    )
+            out.append((id_, h, k, len(pieces), base + la, base + lb, a, b, shared, text[a:b] if with_text else None))
+    return pd.DataFrame(out, columns=["id", "content_hash", "piece_no", "n_pieces", "start_line", "end_line", "start_char", "end_char", "shared_lines", "text"])
 
 
-def pieces(items: DataFrame, limit: int, overlap: int, with_text: bool = True) -> DataFrame:
-    """Pieces of every item with non-null content: id, piece_no (from 0), n_pieces, its lines, its code points
-    [start_char, end_char), the lines shared with the piece before, and its text (null if not `with_text`).
+def pieces(items: DataFrame, limit: int, overlap: int, with_text: bool = True, unit: str = "characters", path: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """Pieces of every item with non-null content: id, content_hash (XXH64 of the item's content), piece_no (from 0),
+    n_pieces, its lines, its code points [start_char, end_char), the lines shared with the piece before, and its text
+    (null if not `with_text`). The limit counts characters (code points) or, with unit 'tokens', ids of the vocabulary.
 
-    Items within the limit never leave the JVM; only oversized ones go through Arrow. Nothing is shuffled. A row
-    written twice gives its pieces twice: use `distinct_items` first. Null contents have no pieces, an empty content is
-    one empty piece, a null start_line counts from 1. Other columns are not carried.
+    Items that are surely within the limit never leave the JVM; only others go through Arrow. Nothing is shuffled. A row
+    written twice gives its pieces twice; `distinct_pieces` keeps one of them. Null contents have no pieces, an empty
+    content is one empty piece, a null start_line counts from 1. Other columns are not carried.
     """
-    it = items.where(F.col("content").isNotNull()).select(F.col("id").cast("string").alias("id"), "content", F.col("start_line").cast("bigint").alias("start_line"))
+    if unit not in ("characters", "tokens"):
+        raise ValueError(f"unknown unit {unit!r}")
+    data = vocabulary(path) if unit == "tokens" else None
+    it = items.where(F.col("content").isNotNull()).select(
+        F.col("id").cast("string").alias("id"), "content", F.col("start_line").cast("bigint").alias("start_line"), F.xxhash64("content").alias("content_hash")
+    )
     first = F.coalesce("start_line", F.lit(1).cast("bigint"))
     eols = F.regexp_count("content", F.lit(r"\r\n|\n|\r")) - F.when(F.col("content").rlike(r"[\r\n]\z"), 1).otherwise(0)
-    whole = it.where(F.length("content") <= limit).select(
-        "id", F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), first.alias("start_line"), (first + eols).alias("end_line"),
+    size = F.length("content") if unit == "characters" else F.octet_length("content")
+    whole = it.where(size <= limit).select(
+        "id", "content_hash", F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), first.alias("start_line"), (first + eols).alias("end_line"),
         F.lit(0).alias("start_char"), F.length("content").alias("end_char"), F.lit(0).alias("shared_lines"),
         (F.col("content") if with_text else F.lit(None).cast("string")).alias("text"),
     )
 
     def cut(batches):
+        sizes = None
+        if data is not None:
+            m = merger(data)
+            sizes = lambda tokens: [len(m.piece(t)) for t in tokens]
         for b in batches:
-            yield split_rows(b, limit, overlap, with_text)
+            yield split_rows(b, limit, overlap, with_text, sizes)
+
+    return whole.unionByName(it.where(size > limit).mapInPandas(cut, SCHEMA))
+
 
-    return whole.unionByName(it.where(F.length("content") > limit).mapInPandas(cut, SCHEMA))
+def distinct_pieces(items: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """Pieces by their offsets and lines, those of rows written twice once; different contents under one id are told apart
+    by content_hash. Only these small rows are shuffled, no text: a piece's text is its stretch of the item's content."""
+    return pieces(items, limit, overlap, with_text=False).drop("text").distinct()

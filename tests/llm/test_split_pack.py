@@ -3,7 +3,7 @@
 import random
 
 from hypothesis import given, settings, strategies as st
-from corpusmill.llm import pack, split
+from corpusmill.llm import bpe, pack, split
 
 TEXT = st.text(alphabet=st.sampled_from(list("ab é漢\n\n\r \t.}{") + ["́", "\U0001f469", "‍", "\u2028"]), max_size=400)
 
@@ -26,6 +26,19 @@ def test_offsets(text, limit, overlap):
     assert "".join(text[max(a, d) : b] for (a, b, _), d in zip(pieces, [0, *(p[1] for p in pieces)])) == text
 
 
+@settings(max_examples=150, deadline=None)
+@given(TEXT, st.integers(4, 40), st.integers(0, 3))
+def test_offsets_in_token_ids(text, limit, overlap):
+    m = bpe.merger(bpe.vocabulary())
+    sizes = lambda tokens: [len(m.piece(t)) for t in tokens]
+    done = 0
+    for a, b, _ in split.split_offsets(text, limit, overlap, sizes):
+        assert a <= done and (b > done or not text)
+        assert len(m.encode([text[a:b]])[0]) <= limit or any(len(m.piece(t)) > limit for t in text.split())
+        done = b
+    assert done == len(text)
+
+
 def test_natural_boundaries():
     text = "".join(f"def f{i}():\n    return {i}\n\n" for i in range(40))
     for a, b, _ in split.split_offsets(text, 200, 0):
@@ -39,7 +52,11 @@ def test_pieces(spark):
     long = "\n".join(f"row {i}" for i in range(300))
     rows = [("a", long, 10, 1), ("a", long, 10, 1), ("b", None, 1, 1), ("c", "", None, 1), ("d", "x\ny\n", None, 1), (None, "z" * 300, 5, 1), ("e", "e" * 100, 1, 1), ("f", "f" * 101, 1, 1)]
     df = spark.createDataFrame(rows, "id string, content string, start_line int, n_pieces int")
-    got = split.pieces(split.distinct_items(df), 100, 2).collect()
+    got = {tuple(r): r for r in split.pieces(df, 100, 2).collect()}.values()
+    same = split.distinct_pieces(df, 100, 2).collect()
+    assert sorted(map(str, (tuple(r) for r in same))) == sorted(str(tuple(r)[:-1]) for r in got)
+    two = spark.createDataFrame([("a", "x" * 150, 1), ("a", "y" * 150, 1), ("a", "y" * 150, 1)], "id string, content string, start_line int")
+    assert split.distinct_pieces(two, 100, 0).count() == 4
     by = {}
     for r in sorted(got, key=lambda r: r["piece_no"]):
         by.setdefault(r["id"], []).append(r)
