@@ -8,9 +8,6 @@ of every size are used evenly, and its tokens come out very near their target.
 
 from __future__ import annotations
 
-import math
-import random
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.operators.prefix import range_parts, with_carry
@@ -18,8 +15,8 @@ from corpusmill.session import checkpoint
 
 from .bpe import DEFAULT_VOCABULARY, count_tokens
 
-#: The table of targets is read to the driver; more rows than this are refused.
-MAX_SOURCES = 10_000
+#: Targets are joined by broadcast up to this many, beyond by a shuffled join.
+BROADCAST_SOURCES = 10_000
 
 
 def normal_source(source: Column) -> Column:
@@ -27,36 +24,41 @@ def normal_source(source: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(source), r"[^\p{L}\p{N}]+", "_"), r"^_+|_+$", "")
 
 
-def plan_copies(targets: list, sizes: dict[str, int], total: float | None = None) -> dict[str, tuple]:
-    """source -> (weight among the sources with tokens, target tokens, expected copies per document).
+def one_per_source(targets: DataFrame) -> DataFrame:
+    """source (one spelling), weight, max_repeats; of rows with one source the greatest weight holds."""
+    t = targets.select(normal_source(F.col("source")).alias("source"), F.struct(F.col("weight").cast("double").alias("weight"), F.col("max_repeats").cast("int").alias("max_repeats")).alias("t"))
+    return t.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("t").alias("t")).select("source", "t.*")
+
+
+def plan_copies(targets: DataFrame, sizes: DataFrame, total: float | None = None) -> DataFrame:
+    """source, weight_present (among the sources with tokens), target_tokens, expected copies per document, of sources
+    (source, weight, max_repeats) with tokens (source, n).
 
     Weights of sources without tokens, or that may not be used, go to the others in proportion. Without a `total` the
     mixture is as large as the repeat limits allow with every weight exact; with one, a source that reaches its limit
     stays short and the shortfall shows in the report.
     """
-    live = {s: (w, m) for s, w, m in targets if w and w > 0 and (m is None or m > 0) and sizes.get(s)}
-    whole = sum(w for w, _ in live.values())
-    if not live:
-        return {}
-    if total is None:
-        total = min((sizes[s] * m / (w / whole) for s, (w, m) in live.items() if m is not None), default=float(sum(sizes[s] for s in live)))
-    out = {}
-    for s, (w, m) in live.items():
-        want = total * w / whole
-        copies = want / sizes[s]
-        if m is not None and copies > m - 1e-9:
-            copies = float(m)
-        elif abs(copies - round(copies)) < 1e-9:
-            copies = float(round(copies))
-        out[s] = (w / whole, want, copies)
-    return out
+    m = F.col("max_repeats")
+    live = targets.join(sizes, "source").where((F.col("weight") > 0) & (m.isNull() | (m > 0)) & (F.col("n") > 0))
+    live = live.crossJoin(F.broadcast(live.agg(F.sum("weight").alias("_whole")))).withColumn("weight_present", F.col("weight") / F.col("_whole"))
+    most = live.agg(F.coalesce(F.min(F.col("n") * m / F.col("weight_present")), F.sum("n").cast("double")).alias("_total"))
+    want = live.crossJoin(F.broadcast(most)).withColumn("target_tokens", (F.col("_total") if total is None else F.lit(float(total))) * F.col("weight_present"))
+    copies = F.col("target_tokens") / F.col("n")
+    near = F.round(copies)
+    expected = F.when(copies > m - 1e-9, m.cast("double")).when(F.abs(copies - near) < 1e-9, near).otherwise(copies)
+    return want.select("source", "weight_present", "target_tokens", expected.alias("expected"))
+
+
+def _small(per_source: DataFrame) -> DataFrame:
+    """The table of one row per source, marked for broadcast if it is small enough."""
+    return F.broadcast(per_source) if per_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else per_source
 
 
 def sized_documents(docs: DataFrame, targets: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """doc_id, source (one spelling), n_tokens of the documents whose source has a target; checkpointed, since the
     sizes are needed for the totals and again for the sums."""
     t = targets.select(normal_source(F.col("source")).alias("source")).distinct()
-    d = docs.select("doc_id", normal_source(F.col("source")).alias("source"), "text").join(F.broadcast(t), "source", "left_semi")
+    d = docs.select("doc_id", normal_source(F.col("source")).alias("source"), "text").join(_small(t), "source", "left_semi")
     return checkpoint(count_tokens(d, ["doc_id", "source"], "text", path))
 
 
@@ -65,39 +67,28 @@ def mix(docs: DataFrame, targets: DataFrame, path: str = DEFAULT_VOCABULARY, tot
     ones; documents without tokens are never used. shares: one row per target with what was wanted and reached.
 
     A source with a third of all rows is spread over range partitions; a partition's count carries over to the next.
-    If a target is listed twice its first row by weight holds.
+    If a target is listed twice its greatest weight holds.
     """
-    spark = docs.sparkSession
-    rows = targets.select(normal_source(F.col("source")).alias("s"), F.col("weight").cast("double"), F.col("max_repeats").cast("int")).where(F.col("s").isNotNull()).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} targets")
-    listed = {}
-    for r in sorted(rows, key=lambda r: (r[0], -(r[1] or 0))):
-        listed.setdefault(r[0], (r[0], r[1], r[2]))
+    listed = one_per_source(targets)
     sized = sized_documents(docs, targets, path)
-    sizes = {r[0]: r[1] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    planned = plan_copies(list(listed.values()), sizes, total)
-    offset = {s: random.Random(f"{seed}:{s}").random() for s in planned}
-    plan = spark.createDataFrame([(s, *p, offset[s]) for s, p in planned.items()], "source string, weight_present double, target_tokens double, expected double, offset double")
+    plan = plan_copies(listed, sized.groupBy("source").agg(F.sum("n_tokens").alias("n")), total)
+    offset = F.xxhash64(F.lit(seed), F.col("source")).bitwiseAND((1 << 53) - 1) / float(1 << 53)
+    plan = checkpoint(plan.withColumn("offset", offset))
     parts = range_parts(sized.where(F.col("n_tokens") > 0), ["source", "n_tokens", "doc_id"])
     parts = with_carry(parts, ["source"], F.count("*"), F.sum)
     w = Window.partitionBy("source", "_part").orderBy("n_tokens", "doc_id")
     rank = F.row_number().over(w) + F.coalesce("_carry", F.lit(0))
     reach = lambda k: F.floor(F.col("expected") * k + F.col("offset"))
     used = (
-        parts.withColumn("rank", rank).join(F.broadcast(plan), "source", "left")
+        parts.withColumn("rank", rank).join(_small(plan), "source", "left")
         .select("doc_id", "source", "n_tokens", F.coalesce(reach(F.col("rank")) - reach(F.col("rank") - 1), F.lit(0)).cast("int").alias("copies"))
     )
     used = used.unionByName(sized.where(F.col("n_tokens") == 0).select("doc_id", "source", "n_tokens", F.lit(0).alias("copies")))
-    goal = spark.createDataFrame(
-        [(s, w, m, *(planned.get(s) or (0.0, 0.0, 0.0))[:2]) for s, w, m in listed.values()],
-        "source string, weight double, max_repeats int, weight_present double, target_tokens double",
-    )
+    goal = listed.join(plan.select("source", "weight_present", "target_tokens"), "source", "left").na.fill(0.0, ["weight_present", "target_tokens"])
     per = used.groupBy("source").agg(
         F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens_available"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_used"), F.max("copies").alias("most_repeats")
     )
-    shares = goal.join(F.broadcast(per), "source", "left").na.fill(0, ["n_docs", "tokens_available", "tokens_used", "most_repeats"])
-    all_ = F.sum("tokens_used").over(Window.partitionBy())
-    shares = shares.withColumn("share", F.when(all_ > 0, F.col("tokens_used") / all_).otherwise(F.lit(0.0)))
-    assert all(math.isfinite(p[2]) for p in planned.values())
+    shares = goal.join(per, "source", "left").na.fill(0, ["n_docs", "tokens_available", "tokens_used", "most_repeats"])
+    shares = shares.crossJoin(F.broadcast(per.agg(F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("_all"))))
+    shares = shares.withColumn("share", F.when(F.col("_all") > 0, F.col("tokens_used") / F.col("_all")).otherwise(F.lit(0.0))).drop("_all")
     return used, shares

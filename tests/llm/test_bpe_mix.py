@@ -65,12 +65,16 @@ def test_encode_decode(spark):
     assert all(n[r["doc_id"]] == len(r["ids"]) for r in got)
 
 
-def test_plan():
-    p = mix.plan_copies([("a", 0.5, 1), ("b", 0.5, 4), ("none", 0.3, 2)], {"a": 100, "b": 50, "x": 9})
-    assert p["a"][2] == 1.0 and p["b"][2] == 2.0 and "none" not in p
-    p = mix.plan_copies([("a", 0.5, 1), ("b", 0.5, 4)], {"a": 100, "b": 50}, total=1000)
-    assert p["a"][2] == 1.0 and p["b"][2] == 4.0
-    assert mix.plan_copies([("a", 1.0, 1)], {}) == {}
+def test_plan(spark):
+    def plan(targets, sizes, total=None):
+        t = spark.createDataFrame(targets, "source string, weight double, max_repeats int")
+        n = spark.createDataFrame(list(sizes.items()), "source string, n bigint")
+        return {r["source"]: r["expected"] for r in mix.plan_copies(t, n, total).collect()}
+
+    assert plan([("a", 0.5, 1), ("b", 0.5, 4), ("none", 0.3, 2)], {"a": 100, "b": 50, "x": 9}) == {"a": 1.0, "b": 2.0}
+    assert plan([("a", 0.5, 1), ("b", 0.5, 4)], {"a": 100, "b": 50}, total=1000) == {"a": 1.0, "b": 4.0}
+    assert plan([("a", 0.5, None), ("b", 0.5, None)], {"a": 100, "b": 50}) == {"a": 0.75, "b": 1.5}
+    assert plan([("a", 1.0, 1)], {}) == {}
 
 
 def test_mix(spark):
