@@ -12,29 +12,77 @@ from corpusmill.functions.paths import base_name, extension
 # fixed values: search types and the properties they look in
 PROPERTIES = {"class": ["classes"], "function": ["functions"], "file": ["searchable_file_path", "searchable_file_name"]}
 
-# fixed values: language of a suffix, and of files known by their whole name
+# fixed values: language in the symbol index by whole name, compound suffix or suffix
+SPECIAL_FILES = {
+    "Dockerfile": "docker", "Makefile": "makefile", ".bashrc": "bash", ".zshrc": "bash", ".gitignore": "gitignore", "CMakeLists.txt": "cmake", "requirements.txt": "python-requirements", "package.json": "npm-config", "Pipfile": "python-pipenv",
+}
 SUFFIXES = {
-    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".kt": "kotlin", ".go": "go", ".rb": "ruby", ".rs": "rust", ".c": "c", ".h": "c", ".cpp": "cpp", ".cs": "c_sharp",
-    ".php": "php", ".swift": "swift", ".scala": "scala", ".sh": "bash", ".sql": "sql", ".html": "html", ".css": "css", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".md": "markdown",
+    ".py": "python", ".js": "javascript", ".ts": "typescript", ".tsx": "typescript", ".jsx": "javascript", ".java": "java", ".c": "c", ".cpp": "cpp", ".cc": "cpp", ".h": "cpp", ".hpp": "cpp", ".go": "go", ".rb": "ruby", ".php": "php",
+    ".rs": "rust", ".swift": "swift", ".kt": "kotlin", ".m": "objective-c", ".sh": "bash", ".bash": "bash", ".zsh": "bash", ".yml": "yaml", ".yaml": "yaml", ".json": "json", ".toml": "toml", ".ini": "ini", ".cfg": "ini", ".sql": "sql",
+    ".html": "html", ".css": "css", ".scss": "scss", ".md": "markdown", ".rst": "restructuredtext", ".spec.ts": "typescript", ".test.js": "javascript", ".tar.gz": "archive", ".tgz": "archive",
+}
+# fixed values: language whose parser reads a file, by lower-cased name or suffix
+PARSED_NAMES = {"dockerfile": "dockerfile", "makefile": "make", "gnumakefile": "make", "cmakelists.txt": "cmake"}
+PARSED_SUFFIXES = {
+    "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "tsx", "mts": "typescript", "cts": "typescript", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp",
+    "cxx": "cpp", "hpp": "cpp", "go": "go", "rs": "rust", "rb": "ruby", "html": "html", "kt": "kotlin", "json": "json", "swift": "swift",
 }
-NAMES = {"dockerfile": "dockerfile", "makefile": "make", "gemfile": "ruby", "rakefile": "ruby", "jenkinsfile": "groovy"}
-CODE = {"python", "javascript", "typescript", "java", "kotlin", "go", "ruby", "rust", "c", "cpp", "c_sharp", "php", "swift", "scala", "bash", "sql"}
+# fixed values: kinds of files by suffix
+CODE_SUFFIXES = [
+    ".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".cpp", ".c", ".h", ".hpp", ".go", ".rs", ".rb", ".php", ".swift", ".kt", ".scala", ".css", ".html", ".htm", ".sql", ".lua", ".dart", ".r", ".elm", ".zig", ".sh", ".bash",
+]
+TEXT_SUFFIXES = [".md", ".txt", ".rst", ".tex", ".org", ".adoc", ".textile"]
+CONFIG_SUFFIXES = [".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".env", ".xml", ".properties", ".conf", ".config"]
+BINARY_SUFFIXES = [
+    ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".webp", ".svg", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".rar", ".7z", ".tar", ".gz", ".bz2", ".exe", ".dll", ".so", ".dylib", ".bin", ".pyc", ".pyo",
+    ".class", ".jar", ".war", ".mp3", ".mp4", ".avi", ".mov", ".wmv",
+]
+IGNORED_PARTS = ["__pycache__", ".git", "node_modules", ".venv", "venv"]
+CODE_LOOK, CONFIG_LOOK = r"\b(class|def|function|import)\b", r"(?m)^[\w-]+\s*[:=]"
+MAX_SUMMARISED_BYTES, SUMMARY_FROM_LINES = 50 * 1024 * 1024, 1000
 
 
 def _lookup(table: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
+def all_suffixes(path: Column) -> Column:
+    """All suffixes of the base name together, lower-cased; leading dots begin no suffix."""
+    return F.lower(F.regexp_extract(base_name(path), r"^\.*[^.]+((?:\.[^.]+)+)$", 1))
+
+
 def guess_language(path: Column) -> Column:
-    """By the whole name, else by the suffix, else 'unknown'."""
-    return F.coalesce(_lookup(NAMES, F.lower(base_name(path))), _lookup(SUFFIXES, extension(path)), F.lit("unknown"))
+    """Of the symbol index: by the whole name as it is written, else by all suffixes together, else by the last one, else
+    'unknown'."""
+    return F.coalesce(_lookup(SPECIAL_FILES, base_name(path)), _lookup(SUFFIXES, all_suffixes(path)), _lookup(SUFFIXES, extension(path)), F.lit("unknown"))
+
+
+def parser_language(path: Column) -> Column:
+    """Language whose parser reads the file, by its lower-cased name, else by what follows the last dot; else null."""
+    low = F.lower(path)
+    return F.coalesce(_lookup(PARSED_NAMES, base_name(low)), _lookup(PARSED_SUFFIXES, F.when(low.contains("."), F.substring_index(low, ".", -1))))
 
 
 def file_type(path: Column, head: Column) -> Column:
-    """'code', 'text' or 'other' by suffix, else by what the first characters look like."""
-    lang = guess_language(path)
-    looks = head.rlike(r"(?m)^\s*(?:def |class |function |import |from |package |#include|public |func )")
-    return F.when(lang.isin(*sorted(CODE)), "code").when(lang.isin("markdown", "html"), "text").when(lang != "unknown", "other").when(looks, "code").otherwise("other")
+    """'code', 'text', 'config' or 'unknown' by the suffix or name, else by what the first characters look like."""
+    ext, name = extension(path), F.lower(base_name(path))
+    by_look = F.when(head.rlike(CODE_LOOK), "code").when(head.rlike(CONFIG_LOOK), "config").otherwise("unknown")
+    return (
+        F.when(ext.isin(CODE_SUFFIXES) | name.isin("dockerfile", "makefile"), "code").when(ext.isin(TEXT_SUFFIXES), "text")
+        .when(ext.isin(CONFIG_SUFFIXES) | name.startswith(".env"), "config").when(head != "", by_look).otherwise("unknown")
+    )
+
+
+def ignored(path: Column) -> Column:
+    """Files in an ignored folder, or with the suffix of a binary format."""
+    return any_part_in(path, IGNORED_PARTS) | extension(path).isin(BINARY_SUFFIXES)
+
+
+def summary_kind(path: Column, head: Column, size: Column) -> Column:
+    """How a file is summarised: 'code', 'text', or 'sampling' for other kinds; 'not supported' for ignored files and 'too
+    large' above the limit."""
+    kind = file_type(path, head)
+    return F.when(ignored(path), "not supported").when(size > MAX_SUMMARISED_BYTES, "too large").when(kind.isin("code", "text"), kind).otherwise("sampling")
 
 
 def any_part_in(path: Column, names: list[str]) -> Column:

@@ -224,30 +224,51 @@ def skipped_ranges(spark, d):
     return N.skipped(texts(spark, d), ["file_id"], "content", 60)
 
 
-@query(f"WITH {TEXTS} SELECT file_id, CASE WHEN regexp_matches(file_path, '\\.(py|js|ts|java|kt|go|rb)$') THEN 'code' ELSE 'other' END AS kind, len(string_split(content, chr(10))) > 1000 AS summarize FROM tx WHERE regexp_matches(file_path, '\\.[a-z]+$')")
-def summarize_dispatch(spark, d):
-    return _dispatch(texts(spark, d).where(F.col("file_path").rlike(r"\.[a-z]+$")))
+def in_sql(values: list[str]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-@query()
-def summarize_dispatch_all(spark, d):
-    """The dispatch of every file; those without a suffix are judged by their content, which the SQL above leaves out."""
-    return _dispatch(texts(spark, d))
+def case_sql(expr: str, table: dict[str, str]) -> str:
+    return f"CASE {expr} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
 
+BASE = "regexp_extract(file_path, '[^/]*$')"
+_EXT, _ALL_EXT = f"lower(regexp_extract({BASE}, '^.+(\\.[^.]*)$', 1))", f"lower(regexp_extract({BASE}, '^\\.*[^.]+((\\.[^.]+)+)$', 1))"
+_TYPE = f"""CASE WHEN {_EXT} IN {in_sql(L.CODE_SUFFIXES)} OR lower({BASE}) IN ('dockerfile', 'makefile') THEN 'code' WHEN {_EXT} IN {in_sql(L.TEXT_SUFFIXES)} THEN 'text'
+WHEN {_EXT} IN {in_sql(L.CONFIG_SUFFIXES)} OR starts_with(lower({BASE}), '.env') THEN 'config' WHEN content[:1000] = '' THEN 'unknown'
+WHEN regexp_matches(content[:1000], '{L.CODE_LOOK}') THEN 'code' WHEN regexp_matches(content[:1000], '{L.CONFIG_LOOK}') THEN 'config' ELSE 'unknown' END"""
+_IGNORED = f"(len(list_intersect(string_split(file_path, '/'), [{in_sql(L.IGNORED_PARTS)[1:-1]}])) > 0 OR {_EXT} IN {in_sql(L.BINARY_SUFFIXES)})"
+PARSED = f"coalesce({case_sql(f'lower({BASE})', L.PARSED_NAMES)}, {case_sql("CASE WHEN contains(file_path, '.') THEN lower(regexp_extract(file_path, '[^.]*$')) END", L.PARSED_SUFFIXES)})"
 
-def _dispatch(x):
-    return x.select("file_id", L.file_type(F.col("file_path"), F.left("content", F.lit(1000))).alias("kind"), (F.size(T.lines(F.col("content"))) > 1000).alias("summarize"))
 
+@query(f"WITH {TEXTS} SELECT file_id, {_TYPE} AS kind FROM tx")
+def detect_file_type(spark, d):
+    return texts(spark, d).select("file_id", L.file_type(F.col("file_path"), F.left("content", F.lit(1000))).alias("kind"))
 
-@query(f"WITH {TEXTS} SELECT file_id FROM tx WHERE len(string_split(content, chr(10))) > 100")
+
+@query(
+    f"""WITH {TEXTS}, k AS (SELECT file_id, {_TYPE} AS kind, {_IGNORED} AS ign, size_bytes, len(string_split(content, chr(10))) > 1000 AS long FROM tx)
+SELECT file_id, CASE WHEN ign THEN 'not supported' WHEN size_bytes > 52428800 THEN 'too large' WHEN kind IN ('code', 'text') THEN kind ELSE 'sampling' END AS kind, long AS "summarize" FROM k"""
+)
+def summarize_dispatch(spark, d):
+    """How every file is summarised, those without a suffix by their content, and whether it is long enough to be."""
+    x, c = texts(spark, d), F.col("content")
+    return x.select("file_id", L.summary_kind(F.col("file_path"), F.left(c, F.lit(1000)), F.col("size_bytes")).alias("kind"), (F.size(T.lines(c)) > L.SUMMARY_FROM_LINES).alias("summarize"))
+
+
+@query(f"WITH {TEXTS} SELECT file_id FROM tx WHERE len(string_split(content, chr(10))) > 1000")
 def should_summarize(spark, d):
-    return texts(spark, d).where(F.size(T.lines(F.col("content"))) > 100).select("file_id")
+    return texts(spark, d).where(F.size(T.lines(F.col("content"))) > L.SUMMARY_FROM_LINES).select("file_id")
 
 
-@query("SELECT regexp_extract(file_path, '\\.[a-z]+$') AS ext, count(*) AS n, max(CASE regexp_extract(file_path, '\\.[a-z]+$') WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.java' THEN 'java' WHEN '.kt' THEN 'kotlin' WHEN '.go' THEN 'go' WHEN '.rb' THEN 'ruby' ELSE 'unknown' END) AS language FROM repo_files GROUP BY 1")
+@query(f"SELECT DISTINCT file_path, coalesce({case_sql(BASE, L.SPECIAL_FILES)}, {case_sql(_ALL_EXT, L.SUFFIXES)}, {case_sql(_EXT, L.SUFFIXES)}, 'unknown') AS language FROM repo_files")
 def guess_language(spark, d):
-    x = read(spark, d, "repo_files")
-    return x.groupBy(F.regexp_extract("file_path", r"\.[a-z]+$", 0).alias("ext")).agg(F.count("*").alias("n"), F.max(L.guess_language(F.col("file_path"))).alias("language"))
+    return read(spark, d, "repo_files").select("file_path", L.guess_language(F.col("file_path")).alias("language")).distinct()
+
+
+@query(f"SELECT DISTINCT file_path, {PARSED} AS language FROM repo_files")
+def language_by_suffix(spark, d):
+    return read(spark, d, "repo_files").select("file_path", L.parser_language(F.col("file_path")).alias("language")).distinct()
 
 
 _IMP = f"""WITH {LN}, k AS (SELECT file_id, i, CASE WHEN regexp_matches(l, '^\\s*(import|from|require|package)\\b') THEN 1 WHEN trim(translate(l, E'\\t\\r', '  ')) = '' OR regexp_matches(trim(translate(l, E'\\t\\r', '  ')), '^(#|//|/\\*|\\*|--)') THEN 0 ELSE 2 END AS k FROM ln),
@@ -263,7 +284,8 @@ _DECL = r"^\s*(export\s+|public\s+|private\s+|protected\s+|internal\s+|static\s+
 
 
 @query(f"WITH {LN} SELECT file_id, i, CASE WHEN regexp_extract(l, '{_DECL}', 2) IN ('class', 'interface') THEN 'class' ELSE 'function' END AS kind, regexp_extract(l, '{_DECL}', 4) AS name FROM ln WHERE regexp_matches(l, '{_DECL}')")
-def extract_symbols(spark, d):
+def declared_lines(spark, d):
+    """Classes and functions by their first line, whatever the language: what a pattern sees."""
     return N.declarations(texts(spark, d), ["file_id"], "content")
 
 
@@ -271,7 +293,7 @@ def extract_symbols(spark, d):
 def symbol_parents(spark, d):
     """The nearest class declared before each symbol."""
     w = Window.partitionBy("file_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return extract_symbols(spark, d).select("file_id", "i", "name", F.last(F.when(F.col("kind") == "class", F.col("name")), ignorenulls=True).over(w).alias("parent"))
+    return declared_lines(spark, d).select("file_id", "i", "name", F.last(F.when(F.col("kind") == "class", F.col("name")), ignorenulls=True).over(w).alias("parent"))
 
 
 @query(f"WITH {LN}, dc AS (SELECT file_id, i FROM ln WHERE regexp_matches(l, '{_DECL}')), t AS (SELECT file_id, i, trim(translate(l, E'\\t\\r', '  ')) AS t FROM ln), s AS (SELECT file_id, i FROM t WHERE NOT (t = '' OR regexp_matches(t, '^(#|//|/\\*|\\*|--|@)'))) SELECT file_id, i, coalesce((SELECT max(s.i) FROM s WHERE s.file_id = dc.file_id AND s.i < dc.i), 0) + 1 AS start FROM dc")

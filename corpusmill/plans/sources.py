@@ -7,99 +7,97 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from corpusmill.functions import lang as L
-from corpusmill.operators import chunking as C, edits as E
+from corpusmill.operators import chunking as C, edits as E, store as S, trees as T
 from corpusmill.session import read, scratch
 
 from .general import ORACLE as GENERAL
-from .tables import texts
+from .lines import PARSED, case_sql
+from .tables import CUT, SYMBOLS, TEXTS, symbols, texts, versions
 
+_NAME = "regexp_extract(replace(file_path, '\\', '/'), '[^/]*$')"
 _P1 = GENERAL["p1_found"]
 ORACLE = {"incremental_index": f"SELECT * FROM ({_P1}) WHERE run_id = (SELECT max(run_id) FROM ({_P1}))"}
 
 
+def _sources(spark, d):
+    return texts(spark, d).withColumn("lang", L.parser_language(F.col("file_path")))
+
+
 def chunk_source(spark, d):
     """Sources by their language's strategy."""
-    x = texts(spark, d).withColumn("lang", L.guess_language(F.col("file_path")))
-    return C.chunk_source(x, "file_id", "content", "lang")
+    return C.chunk_source(_sources(spark, d), "file_id", "content", "lang")
 
 
 def strategy_factory(spark, d):
     """Which strategy each language of the corpus gets, and for how many files."""
-    lang = L.guess_language(F.col("file_path"))
-    tree = F.when(lang.isin(*C.PARSERS), "tree").otherwise("lines")
-    return texts(spark, d).groupBy(lang.alias("language"), tree.alias("strategy")).agg(F.count("*").alias("n_files"))
+    lang = F.col("lang")
+    how = F.when(lang.isin(*C.GRAMMARS), C.strategy_of("java")).when(lang.isin(*C.PARSERS), "legacy").otherwise("lines")
+    return _sources(spark, d).groupBy(lang.alias("language"), how.alias("strategy")).agg(F.count("*").alias("n_files"))
+
+
+ORACLE["strategy_factory"] = f"""WITH {TEXTS}, l AS (SELECT {PARSED} AS language FROM tx)
+SELECT language, CASE WHEN language IN ('python', 'javascript', 'typescript', 'tsx', 'java', 'kotlin', 'ruby', 'swift') THEN 'structure' ELSE 'lines' END AS strategy, count(*) AS n_files FROM l GROUP BY ALL"""
 
 
 def grammars(spark, d):
     """Node types by language and role."""
-    rows = [(lang, role, t) for lang, g in C.GRAMMARS.items() for role, ts in g.items() for t in sorted(ts)]
+    rows = [(lang, role, t) for lang, g in C.GRAMMARS.items() for role, ts in g.roles().items() for t in sorted(ts)]
     return spark.createDataFrame(rows, "language string, role string, node_type string")
 
 
 def _per_text(df, key, text, fn, schema):
-    """fn(text) -> rows, for every non-null text, in its task."""
-    names = [c.split()[0] for c in schema.split(", ")]
-    kept = df.select(F.col(key).alias(key), F.col(text).alias("_t")).where(F.col("_t").isNotNull())
+    return C.per_text(df, key, text, None, lambda t, _: fn(t), schema)
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame([(k, *r) for k, t in zip(b[key], b["_t"]) for r in fn(t)], columns=[key, *names])
 
-    return kept.mapInPandas(run, f"`{key}` bigint, {schema}")
+def _per_tree(spark, d, fn, schema):
+    """fn(tree, grammar, text) -> rows, of every source that has a tree."""
+
+    def run(t, lang):
+        root = C.tree_of(t, lang) if lang in C.GRAMMARS else None
+        return fn(root, C.GRAMMARS[lang], t) if root else []
+
+    return C.per_text(_sources(spark, d), "file_id", "content", "lang", run, schema)
 
 
 def chunk_metadata_ast(spark, d):
-    """Spans along the trees of the Python sources, before merging."""
+    """Spans along the trees of the sources, before merging."""
 
-    def spans(t):
-        try:
-            return [(s.start, s.end, s.size, len(s.hierarchy)) for s in C.tree_spans(C.python_tree(t), C.GRAMMARS["python"], 1200)]
-        except (SyntaxError, ValueError, RecursionError):
-            return []
+    def spans(root, g, t):
+        return [(s.start[0] + 1, s.end[0] + 1, s.size, len(s.hierarchy), s.dechunk, s.import_only) for s in C.tree_spans(root, g, 1200, t.split("\n")).spans]
 
-    return _per_text(texts(spark, d).where(F.col("file_path").endswith(".py")), "file_id", "content", spans, "start int, end int, size int, depth int")
+    return _per_tree(spark, d, spans, "start int, end int, size int, depth int, dechunk boolean, import_only boolean")
 
 
 def dechunk_merge(spark, d):
     """The same spans after merging."""
 
-    def spans(t):
-        try:
-            return [(s.start, s.end, s.size) for s in C.merge_spans(C.tree_spans(C.python_tree(t), C.GRAMMARS["python"], 1200), 1200)]
-        except (SyntaxError, ValueError, RecursionError):
-            return []
+    def spans(root, g, t):
+        return [(s.start[0] + 1, s.end[0] + 1, s.size) for s in C.merge_spans(C.tree_spans(root, g, 1200, t.split("\n")).spans, 1200)]
 
-    return _per_text(texts(spark, d).where(F.col("file_path").endswith(".py")), "file_id", "content", spans, "start int, end int, size int")
+    return _per_tree(spark, d, spans, "start int, end int, size int")
 
 
 def breakable_hierarchy(spark, d):
-    """Classes and functions of each Python source."""
+    """All that is named in each source, in the order of the text."""
 
-    def names(t):
-        try:
-            c, f = C.symbols_under(C.python_tree(t), C.GRAMMARS["python"])
-            return [(len(c), len(f))]
-        except (SyntaxError, ValueError, RecursionError):
-            return []
+    def names(root, g, t):
+        return [(i, k, n) for i, (k, n) in enumerate(C.mentions(root, g))]
 
-    return _per_text(texts(spark, d).where(F.col("file_path").endswith(".py")), "file_id", "content", names, "n_classes int, n_functions int")
+    return _per_tree(spark, d, names, "ord int, kind string, name string")
 
 
 def legacy_coalesce(spark, d):
-    """Paragraphs of each source joined to spans of enough substance."""
+    """Byte spans of the structure-blind strategy, joined to spans of enough substance."""
 
-    def spans(t):
-        lines = t.split("\n")
-        cuts = [0, *[i + 1 for i, x in enumerate(lines) if not x.strip()], len(lines)]
-        return C.coalesce_spans([(a + 1, b) for a, b in zip(cuts, cuts[1:]) if b > a], lines)
+    def spans(root, g, t):
+        return C.coalesced(C.byte_spans(root, 1200), t.encode("utf-8", "surrogatepass"))
 
-    return _per_text(texts(spark, d), "file_id", "content", spans, "start int, end int")
+    return _per_tree(spark, d, spans, "start_byte bigint, end_byte bigint")
 
 
 def chunk_legacy(spark, d):
-    """Coalesced paragraphs with their sizes in code points."""
-    j = legacy_coalesce(spark, d).join(texts(spark, d).select("file_id", "content"), "file_id")
-    return j.select("file_id", "start", "end", F.length(F.array_join(F.slice(F.split("content", "\n"), F.col("start"), F.col("end") - F.col("start") + 1), "\n")).alias("n_chars"))
+    """Chunks of the structure-blind strategy."""
+    return C.chunk_source(_sources(spark, d), "file_id", "content", "lang", by_structure=False).select("file_id", "start", "end")
 
 
 def chunk_pr_diff(spark, d):
@@ -163,59 +161,67 @@ def hunk_before_after(spark, d):
 
 
 def node_classifiers(spark, d):
-    """Statements of each Python source by role."""
+    """Nodes of each source by role."""
 
-    def roles(t):
-        try:
-            g, todo, n = C.GRAMMARS["python"], [C.python_tree(t)], {"class": 0, "function": 0, "import": 0}
-        except (SyntaxError, ValueError, RecursionError):
-            return []
+    def roles(root, g, t):
+        n, todo = dict.fromkeys(("class", "function", "namespace", "breakable"), 0), [root]
         while todo:
             x = todo.pop()
-            for role, types in g.items():
-                n[role] += x.type in types
+            n["class"] += T.is_class(x, g)
+            n["function"] += T.is_function(x, g)
+            n["namespace"] += T.is_namespace(x, g)
+            n["breakable"] += T.is_breakable(x, g)
             todo += x.children
         return list(n.items())
 
-    return _per_text(texts(spark, d).where(F.col("file_path").endswith(".py")), "file_id", "content", roles, "role string, n int")
+    return _per_tree(spark, d, roles, "role string, n int")
 
 
-def symbol_name(spark, d):
-    """Named nodes of each Python source with their first line; nodes without a name are 'unnamed'."""
+def extract_symbols(spark, d):
+    """Classes, functions and blocks of imports of each source, with the class around a function."""
+    return C.per_text(_sources(spark, d), "file_id", "content", "lang", C.symbols_of, C.SYMBOL)
 
-    def names(t):
-        try:
-            todo, out = [C.python_tree(t)], []
-        except (SyntaxError, ValueError, RecursionError):
-            return []
-        while todo:
-            x = todo.pop()
-            if x.type in C.GRAMMARS["python"]["class"] | C.GRAMMARS["python"]["function"]:
-                out.append((x.start, x.name or "unnamed"))
-            todo += x.children
-        return out
 
-    return _per_text(texts(spark, d).where(F.col("file_path").endswith(".py")), "file_id", "content", names, "line int, name string")
+def symbol_name(spark, d):
+    """Names of the symbols by their first line; nodes without a name are 'unnamed'."""
+    return extract_symbols(spark, d).where("category in ('class', 'function')").select("file_id", F.col("start_line").alias("line"), F.col("node_name").alias("name"))
 
 
 def summarize_code_ast(spark, d):
-    """First lines of the classes, functions and imports of each Python source."""
-
-    def shown(t):
-        try:
-            todo = [C.python_tree(t)]
-        except (SyntaxError, ValueError, RecursionError):
-            return []
-        lines, keep = t.split("\n"), set().union(*C.GRAMMARS["python"].values())
-        found = {}
-        while todo:
-            x = todo.pop()
-            if x.type in keep and x.start <= len(lines):
-                found[x.start] = f"{x.start}: {lines[x.start - 1]}"
-            todo += x.children
-        return [(k, found[k]) for k in sorted(found)]
-
-    return _per_text(texts(spark, d).where(F.col("file_path").endswith(".py")), "file_id", "content", shown, "line int, shown string")
+    """Signatures of classes and functions, and imports, of each source with a tree."""
+    return C.per_text(_sources(spark, d), "file_id", "content", "lang", lambda t, lang: C.outline(t, lang) or [], "line int, shown string")
+
+
+def categorize_symbol(spark, d):
+    """Category of each stored symbol by its node type in its file's language; the wrapper around decorators has none."""
+    rows = [(lang, t, kind) for kind, table in (("class", C.SYMBOL_CLASSES), ("function", C.SYMBOL_FUNCTIONS), ("import", C.SYMBOL_IMPORTS)) for lang, ts in table.items() for t in ts]
+    table = spark.createDataFrame(rows, "language string, node_type string, kind string")
+    lang = read(spark, d, "files").groupBy(F.col("id").alias("file_id")).agg(F.max(L.guess_language(F.translate("file_path", "\\", "/"))).alias("language"))
+    sy = symbols(spark, d).join(lang, "file_id").join(F.broadcast(table), ["language", "node_type"], "left")
+    kind = F.when(F.col("node_type") == "import_block", "import").otherwise(F.col("kind"))
+    return sy.groupBy("language", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+_KINDS = ", ".join(f"('{lang}', '{t}', '{kind}')" for kind, table in (("class", C.SYMBOL_CLASSES), ("function", C.SYMBOL_FUNCTIONS), ("import", C.SYMBOL_IMPORTS)) for lang, ts in table.items() for t in sorted(ts))
+ORACLE["categorize_symbol"] = f"""WITH {SYMBOLS}, f AS (SELECT id, max(coalesce({case_sql(_NAME, L.SPECIAL_FILES)}, {case_sql(f"lower(regexp_extract({_NAME}, '^[.]*[^.]+(([.][^.]+)+)$', 1))", L.SUFFIXES)},
+  {case_sql(f"lower(regexp_extract({_NAME}, '^.+([.][^.]*)$', 1))", L.SUFFIXES)}, 'unknown')) AS language FROM files GROUP BY 1),
+k AS (SELECT language, CASE WHEN sy.node_type = 'import_block' THEN 'import' ELSE t.kind END AS kind FROM sy JOIN f ON f.id = sy.file_id LEFT JOIN (VALUES {_KINDS}) t(l, nt, kind) ON t.l = language AND t.nt = sy.node_type)
+SELECT language, kind, count(*) AS n FROM k GROUP BY ALL"""
+
+
+def sync_repo_state(spark, d):
+    """The symbol store brought from an earlier state of the feed to the present one: files that went or changed are
+    deleted with their symbols, new and changed ones are inserted and their texts cut up. What the store then holds."""
+    now, before = versions(spark, d), versions(spark, d, CUT)
+    keys = ["repo_path", "file_path"]
+    moved = S.diff(now, before, keys, "file_hash")
+    gone = before.join(moved.where("action <> 'insert'"), keys, "left_semi").select("id")
+    taken = now.join(moved.where("action <> 'delete'"), keys, "left_semi").select("id").distinct()
+    old = symbols(spark, d).join(before.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    _, kept = S.cascade_delete(before.select("id"), old, gone, "file_id")
+    new = extract_symbols(spark, d).join(taken.withColumnRenamed("id", "file_id"), "file_id", "left_semi").where(F.col("category").isNotNull())
+    both = kept.select("file_id", "node_name", "category").withColumn("origin", F.lit("kept")).unionByName(new.select("file_id", "node_name", "category").withColumn("origin", F.lit("new")))
+    return both.groupBy("origin", "category").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("n_files"))
 
 
 def parse_search_replace(spark, d):
@@ -290,8 +296,6 @@ def incremental_index(spark, d):
 
 def schema_version_gate(spark, d):
     """A store of files and chunks of another version, or forced, is made anew; one of the right version stays."""
-    from corpusmill.operators import store as S
-
     rows, folder = [], scratch(spark)
     try:
         for tbl in ("files", "chunks"):
@@ -306,6 +310,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_source, strategy_factory, grammars, chunk_metadata_ast, dechunk_merge, breakable_hierarchy, legacy_coalesce, chunk_legacy, chunk_pr_diff, token_bin_pack, apply_search_replace, apply_udiff, apply_line_numbered, hunk_before_after,
-        node_classifiers, symbol_name, summarize_code_ast, parse_search_replace, locate_span, flexible_search_replace, parse_udiff_hunks, apply_hunk, diff_dispatch, incremental_index, schema_version_gate,
+        node_classifiers, extract_symbols, categorize_symbol, sync_repo_state, symbol_name, summarize_code_ast, parse_search_replace, locate_span, flexible_search_replace, parse_udiff_hunks, apply_hunk, diff_dispatch, incremental_index, schema_version_gate,
     )
 }

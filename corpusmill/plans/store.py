@@ -265,9 +265,9 @@ def is_file_chunkable(spark, d):
     return texts(spark, d).where(L.chunkable(F.col("file_path"), F.col("size_bytes"), SKIP_DIRS, SKIP_EXTS)).select("file_id")
 
 
-@query(f"WITH {TEXTS} SELECT file_id FROM tx WHERE regexp_matches(file_path, '(^|/)({_SKIP})(/|$)')")
+@query(f"WITH {TEXTS} SELECT file_id FROM tx WHERE regexp_matches(file_path, '(^|/)({'|'.join(x.replace('.', '[.]') for x in L.IGNORED_PARTS)})(/|$)') OR regexp_matches(lower(file_path), '[^/](\\.({'|'.join(x[1:] for x in L.BINARY_SUFFIXES)}))$')")
 def should_ignore_file(spark, d):
-    return texts(spark, d).where(L.any_part_in(F.col("file_path"), SKIP_DIRS)).select("file_id")
+    return texts(spark, d).where(L.ignored(F.col("file_path"))).select("file_id")
 
 
 @query(f"WITH {TEXTS}, {CUR} SELECT tx.file_id FROM tx WHERE (file_path, file_hash) IN (SELECT file_path, file_hash FROM cur)")
@@ -398,11 +398,6 @@ def diff_repo_and_db(spark, d):
     return S.diff(versions(spark, d), versions(spark, d, CUT), ["repo_path", "file_path"], "file_hash")
 
 
-@query(f"SELECT action, count(*) AS n FROM ({_DIFF}) GROUP BY 1")
-def sync_repo_state(spark, d):
-    return diff_repo_and_db(spark, d).groupBy("action").agg(F.count("*").alias("n"))
-
-
 @query(f"SELECT count(*) FILTER (action IN ('insert', 'update')) AS inserted, count(*) FILTER (action IN ('delete', 'update')) AS deleted FROM ({_DIFF})")
 def sync_counters(spark, d):
     a = F.col("action")
@@ -504,11 +499,6 @@ def progress_fraction(spark, d):
     return day.select("day", "n", F.round(F.sum("n").over(w) / F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), 9).alias("done"))
 
 
-@query(f"WITH {SYMBOLS}, o AS (SELECT id, CASE WHEN category = 'import' THEN 'import' WHEN contains(node_type, 'class') OR contains(node_type, 'interface') THEN 'class' WHEN contains(node_type, 'func') OR contains(node_type, 'method') THEN 'function' END AS kind FROM sy) SELECT kind, count(*) AS n FROM o GROUP BY 1")
-def categorize_symbol(spark, d):
-    return symbols(spark, d).select(L.symbol_kind(F.col("category"), F.col("node_type")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
-
-
 # sets, sorts, limits
 @query(f"WITH {SAMPLES} SELECT id FROM ck UNION ALL SELECT CAST(file_id AS VARCHAR) FROM repo_files")
 def union_all_lists(spark, d):

@@ -82,9 +82,16 @@ def test_llm_reranker_refuses_what_it_cannot_show(spark):
     assert len(shown) == 1000 and shown == sorted(shown)
 
 
-def test_dispatch_of_files_without_suffix(spark, monkeypatch):
-    x = spark.createDataFrame([(1, "a.py", "x"), (2, "Makefile", "all:\n"), (3, "bin/run", "#!/bin/sh\n")], "file_id bigint, file_path string, content string")
-    monkeypatch.setattr(lines, "texts", lambda s, d: x)
-    got = {r["file_id"]: r["kind"] for r in lines.summarize_dispatch_all(spark, "").collect()}
-    want = {r[0]: r[1] for r in x.select("file_id", lines.L.file_type(F.col("file_path"), F.col("content"))).collect()}
-    assert got == want and set(got) == {1, 2, 3}
+def test_languages_and_kinds(spark):
+    rows = [
+        ("a/b.spec.ts", "typescript", "typescript", "code"), ("x.h", "cpp", "c", "code"), ("Dockerfile", "docker", "dockerfile", "code"), ("dockerfile", "unknown", "dockerfile", "code"), ("package.json", "npm-config", "json", "config"),
+        ("a.b.TSX", "typescript", "tsx", "code"), (".bashrc", "bash", None, "unknown"), ("x.tar.gz", "archive", None, "unknown"), ("README", "unknown", None, "unknown"), ("m.d/run", "unknown", None, "unknown"), (".env.local", "unknown", None, "config"),
+        ("notes.md", "markdown", None, "text"), ("x.mjs", "unknown", "javascript", "unknown"),
+    ]
+    df = spark.createDataFrame(rows, "p string, guess string, parsed string, kind string")
+    L = lines.L
+    got = df.select("p", L.guess_language(F.col("p")), L.parser_language(F.col("p")), L.file_type(F.col("p"), F.lit(""))).collect()
+    assert list(map(tuple, got)) == rows
+    look = spark.createDataFrame([("run", "#!/bin/sh\n", "sampling"), ("run", "import x\n", "code"), ("conf", "key: 1\n", "sampling"), ("a/node_modules/x.py", "x", "not supported"), ("x.PNG", "x", "not supported"), ("d/x.txt", "x", "text")], "p string, t string, want string")
+    assert all(r[0] == r[1] for r in look.select(L.summary_kind(F.col("p"), F.col("t"), F.lit(9)), "want").collect())
+    assert spark.range(1).select(L.summary_kind(F.lit("a.py"), F.lit(""), F.lit(60 << 20))).first()[0] == "too large"
