@@ -50,7 +50,7 @@ def _structural(text: str, starts: list[int]) -> list[int]:
 _classes: list[np.ndarray] = []
 
 
-def token_table(text: str, starts: list[int], limit: int, sizes: Callable | None) -> tuple[list[int], list[int]]:
+def token_table(text: str, starts: list[int], limit: int, sizes: Callable | None) -> tuple[np.ndarray, np.ndarray]:
     """(offsets of tokens and the end, prefix sums of their sizes). A blank between words belongs to the word before it.
     Tokens over the limit are cut: at the limit, one or more code points earlier where that would part a combined
     character; where sizes are not code points, into pieces that cannot exceed it, as a code point has at most 4 ids."""
@@ -58,16 +58,15 @@ def token_table(text: str, starts: list[int], limit: int, sizes: Callable | None
         _classes.append(class_table())
     cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     at = token_starts(cp, np.zeros(1, dtype=np.int64), _classes[0])
-    inner = at[(cp[at] == 0x20) & (at + 1 < len(cp))]
-    at = np.union1d(np.setdiff1d(at, inner), inner + 1)
-    off = np.union1d(at, np.asarray(starts[:-1], dtype=np.int64)).tolist()
-    if off[0]:
-        off.insert(0, 0)
-    off.append(len(text))
-    size = sizes([text[a:b] for a, b in zip(off, off[1:])]) if sizes else np.diff(off).tolist()
-    if max(size) > limit:
+    begins = np.zeros(len(cp) + 2, dtype=bool)
+    begins[at + ((cp[at] == 0x20) & (at + 1 < len(cp)))] = True
+    begins[starts[:-1]] = True
+    begins[0] = begins[len(cp)] = True
+    off = np.flatnonzero(begins)
+    size = np.asarray(sizes([text[a:b] for a, b in zip(off.tolist(), off[1:].tolist())])) if sizes else np.diff(off)
+    if size.max() > limit:
         new, new_size = [], []
-        for a, b, n in zip(off, off[1:], size):
+        for a, b, n in zip(off.tolist(), off[1:].tolist(), size.tolist()):
             step = limit if sizes is None else max(1, limit // 4)
             while n > limit:
                 cut = a + step
@@ -82,11 +81,11 @@ def token_table(text: str, starts: list[int], limit: int, sizes: Callable | None
                 n = b - a if sizes is None else sizes([text[a:b]])[0]
             new.append(a)
             new_size.append(n)
-        off, size = [*new, len(text)], new_size
-    return off, [0, *np.cumsum(size).tolist()]
+        off, size = np.asarray([*new, len(text)]), np.asarray(new_size)
+    return off, np.concatenate([[0], np.cumsum(size)])
 
 
-def split_offsets(text: str, limit: int, overlap: int, sizes: Callable | None = None) -> list[tuple[int, int, int]]:
+def split_offsets(text: str, limit: int, overlap: int, sizes: Callable | None = None, lines: list[int] | None = None) -> list[tuple[int, int, int]]:
     """[(start, end, shared lines)] of the pieces in code points; a text within the limit is one piece, the empty text too.
 
     `sizes` gives the sizes of a list of tokens in the limit's unit; without it sizes are code points."""
@@ -94,18 +93,18 @@ def split_offsets(text: str, limit: int, overlap: int, sizes: Callable | None =
         raise ValueError("limit must be positive (4 at least for token ids) and overlap not negative")
     if not text or sizes is None and len(text) <= limit:
         return [(0, len(text), 0)]
-    lines = line_starts(text)
+    lines = lines or line_starts(text)
     off, total = token_table(text, lines, limit, sizes)
     end = len(off) - 1
-    place = {o: i for i, o in enumerate(off)}
-    starts = [place[o] for o in lines]
-    structural = [place[o] for o in _structural(text, lines)]
+    starts = np.searchsorted(off, lines).tolist()
+    structural = np.searchsorted(off, _structural(text, lines)).tolist()
+    last = lambda bound: int(np.searchsorted(total, bound, side="right")) - 1
     out, a, done, shared = [], 0, 0, 0
     while True:
         if total[end] - total[a] <= limit:
-            out.append((off[a], off[end], shared))
+            out.append((int(off[a]), int(off[end]), shared))
             return out
-        reach = bisect_right(total, total[a] + limit) - 1
+        reach = last(total[a] + limit)
         cut = 0
         i = bisect_right(structural, reach) - 1
         if i >= 0 and structural[i] > done and total[structural[i]] >= total[a] + limit // 2:
@@ -116,8 +115,8 @@ def split_offsets(text: str, limit: int, overlap: int, sizes: Callable | None =
                 cut = starts[i]
         if not cut:
             a, shared = done, 0
-            cut = bisect_right(total, total[a] + limit) - 1
-        out.append((off[a], off[cut], shared))
+            cut = last(total[a] + limit)
+        out.append((int(off[a]), int(off[cut]), shared))
         first_of_piece, done = a, cut
         line = bisect_right(starts, cut) - 1  # the line that holds the cut, or begins there
         inside = starts[line] != cut
@@ -135,7 +134,7 @@ def split_rows(rows: pd.DataFrame, limit: int, overlap: int, with_text: bool, si
     for id_, text, first, h in zip(rows["id"], rows["content"], rows["start_line"], rows["content_hash"]):
         base = 1 if pd.isna(first) else int(first)
         starts = line_starts(text)
-        pieces = split_offsets(text, limit, overlap, sizes)
+        pieces = split_offsets(text, limit, overlap, sizes, starts)
         for k, (a, b, shared) in enumerate(pieces):
             la, lb = bisect_right(starts, a) - 1, max(bisect_left(starts, b) - 1, 0)
             out.append((id_, h, k, len(pieces), base + la, base + lb, a, b, shared, text[a:b] if with_text else None))
