@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from corpusmill.functions import text as T
 from corpusmill.session import read
-from corpusmill.streaming import events as E
+from corpusmill.streaming import events as E, providers as P
+from corpusmill.streaming.fold import ordered_fold
 
 QUERIES, ORACLE = {}, {}
 
@@ -20,7 +22,6 @@ def query(sql: str | None = None):
     return add
 
 
-# events: click starts a block, view is a delta, purchase ends it, error stops a stream, signup is a tool call
 _O = ["ts", "event_id"]
 
 
@@ -28,77 +29,131 @@ def events(spark, d):
     return read(spark, d, "events")
 
 
-_FOLD = """WITH e AS (SELECT *, sum(CAST(event_type = 'click' AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS block FROM events),
-o AS (SELECT *, coalesce(max(CAST(event_type = 'purchase' AS INT)) OVER (PARTITION BY user_id, block ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM e WHERE block > 0)
-SELECT user_id, CAST(block AS BIGINT) AS block, count(*) FILTER (event_type = 'view') AS n_deltas, round(sum(CASE WHEN event_type = 'view' THEN value END), 6) AS total FROM o WHERE over = 0 GROUP BY ALL HAVING bool_or(event_type = 'purchase')"""
+# provider streams: every document as an answer that comes in pieces, in each provider's own payloads
+_PIECES = "transform(sequence(0, cast(ceil(length(text) / 40.0) AS int) - 1), i -> substring(text, i * 40 + 1, 40))"
+_J = "to_json(named_struct({}))"
+_TYPED = lambda kind, rest="": _J.format(f"'type', '{kind}'" + (", " + rest if rest else ""))
+_STOP = _TYPED("content_block_stop")
+_WHEN = lambda cond, *xs: f"CASE WHEN {cond} THEN array({', '.join(xs)}) ELSE cast(array() AS array<string>) END"
+_DELTA = lambda kind, key, value: _TYPED("content_block_delta", f"'delta', named_struct('type', '{kind}', '{key}', {value})")
+_CHUNK = lambda delta, finish="null": _J.format(f"'choices', array(named_struct('delta', {delta}, 'finish_reason', {finish}))")
+_CALL = lambda extra, args: f"named_struct('tool_calls', array(named_struct({extra}'function', named_struct({args}))))"
+RAW = {
+    "messages": [
+        _WHEN("doc_id % 5 = 0", _TYPED("content_block_start", "'content_block', named_struct('type', 'thinking')"), _DELTA("thinking_delta", "thinking", "concat('plan ', doc_id)"), _DELTA("signature_delta", "signature", "'s'"), _STOP),
+        f"array({_TYPED('content_block_start', "'content_block', named_struct('type', 'text')")})", f"transform({_PIECES}, p -> {_DELTA('text_delta', 'text', 'p')})", f"array({_STOP})",
+        _WHEN("doc_id % 3 = 0", _TYPED("content_block_start", "'content_block', named_struct('type', 'tool_use', 'name', 'lookup', 'id', concat('u', doc_id))")),
+        _WHEN("doc_id % 3 = 0 AND doc_id % 6 <> 0", _DELTA("input_json_delta", "partial_json", "'{\"n\":'"), _DELTA("input_json_delta", "partial_json", "concat(length(text), '}')")), _WHEN("doc_id % 3 = 0", _STOP),
+        f"array({_TYPED('message_stop', "'amazon-bedrock-invocationMetrics', named_struct('inputTokenCount', doc_id, 'outputTokenCount', length(text), 'cacheReadInputTokenCount', doc_id % 7)")}, '{{\"type\":\"ping\"}}', 'no json')",
+    ],
+    "responses": [
+        f"array({_TYPED('response.created')}, {_TYPED('response.output_item.added', "'item', named_struct('type', 'message')")})", f"transform({_PIECES}, p -> {_TYPED('response.output_text.delta', "'delta', p")})", f"array({_TYPED('response.output_text.done')})",
+        _WHEN("doc_id % 3 = 0", _TYPED("response.output_item.added", "'item', named_struct('type', 'function_call', 'name', 'lookup', 'call_id', concat('u', doc_id))"), _TYPED("response.function_call_arguments.delta", "'delta', '{\"n\":'"), _TYPED("response.function_call_arguments.delta", "'delta', concat(length(text), '}')"), _TYPED("response.function_call_arguments.done")),
+        f"array({_TYPED('response.completed', "'response', named_struct('usage', named_struct('input_tokens', doc_id, 'output_tokens', length(text), 'input_tokens_details', named_struct('cached_tokens', doc_id % 7)))")})",
+    ],
+    "candidates": [
+        f"transform({_PIECES}, p -> {_J.format("'candidates', array(named_struct('content', named_struct('parts', array(named_struct('text', p)))))")})",
+        _WHEN("doc_id % 3 = 0", _J.format("'candidates', array(named_struct('content', named_struct('parts', array(named_struct('function_call', named_struct('name', 'lookup', 'id', concat('u', doc_id), 'args', concat('n=', length(text))))))))")),
+        f"array({_J.format("'candidates', array(named_struct('finish_reason', CASE WHEN doc_id % 15 = 0 THEN 'MALFORMED_FUNCTION_CALL' ELSE 'STOP' END, 'finish_message', 'bad')), 'usage_metadata', named_struct('prompt_token_count', doc_id, 'candidates_token_count', length(text), 'cached_content_token_count', doc_id % 7)")})",
+    ],
+    "choices": [
+        _WHEN("doc_id % 5 = 0", _CHUNK("named_struct('reasoning', concat('plan ', doc_id))"), _CHUNK("named_struct('reasoning_details', array(named_struct('type', 'reasoning.encrypted')))")),
+        f"transform({_PIECES}, p -> {_CHUNK("named_struct('content', p)")})",
+        _WHEN("doc_id % 3 = 0", _CHUNK(_CALL("'id', concat('u', doc_id), ", "'name', 'lookup', 'arguments', '{\"n\":'")), _CHUNK(_CALL("", "'arguments', concat(length(text), '}')")), _CHUNK("named_struct('content', 'not heard')")),
+        _WHEN("doc_id % 2 = 0", _CHUNK("named_struct('content', '')", "'stop'")),
+        f"array({_J.format("'usage', named_struct('prompt_tokens', doc_id, 'completion_tokens', length(text), 'prompt_tokens_details', named_struct('cached_tokens', doc_id % 7))")})",
+    ],
+}
 
 
-@query(_FOLD)
-def ev_fold_blocks(spark, d):
-    t = F.col("event_type")
-    x = E.fold_blocks(events(spark, d), "user_id", _O, t == "click", t == "view", t == "purchase", "value")
-    return x.select("user_id", "block", "n_deltas", F.round("total", 6).alias("total"))
+def raw_stream(spark, d, provider):
+    """stream, seq, payload."""
+    x = read(spark, d, "documents").where("text <> ''")
+    return x.select(F.col("doc_id").alias("stream"), F.posexplode(F.expr(f"concat({', '.join(RAW[provider])})")).alias("seq", "payload"))
 
 
-@query("""WITH e AS (SELECT *, coalesce(CAST(lag(event_type) OVER w <> event_type AS INT), 1) AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e),
-k AS (SELECT *, (row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1) // 3 AS k FROM r) SELECT user_id, min(event_id) AS first, any_value(event_type) AS event_type, count(*) AS n FROM k GROUP BY user_id, run, k""")
-def ev_microbatch_combine(spark, d):
-    return E.combine_deltas(events(spark, d), "user_id", _O, "event_type", 3)
+def normal_events(spark, d, provider):
+    return ordered_fold(raw_stream(spark, d, provider), "stream", ["seq"], P.MACHINES[provider], P.EVENT, "ord")
 
 
-@query("SELECT user_id, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1")
-def ev_usage_accumulate(spark, d):
-    return events(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+def _joined(rows, order, text):
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda t: t[text]), "")
 
 
-@query("SELECT event_id, user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND (x.ts, x.event_id) <= (e.ts, e.event_id))")
-def ev_cancellation(spark, d):
-    return E.until_cancelled(events(spark, d), "user_id", _O, F.col("event_type") == "error").select("event_id", "user_id")
+def _kinds(spark, d, provider):
+    e = normal_events(spark, d, provider)
+    return e.groupBy("stream", "kind").agg(F.count("*").alias("n"), F.md5(_joined(e, "ord", "text")).alias("digest"), F.sum("input").alias("input"), F.sum("output").alias("output"), F.sum("cache_read").alias("cache_read"))
 
 
-def _norm_sql(pairs: dict) -> str:
-    return "SELECT kind, count(*) AS n FROM (SELECT CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs.items()) + " END AS kind FROM events) WHERE kind IS NOT NULL GROUP BY 1"
+_DOC = "x AS (SELECT doc_id, text, length(text) AS l, CAST(ceil(length(text) / 40.0) AS BIGINT) AS pieces FROM documents WHERE text <> '')"
+_ROW = "SELECT doc_id AS stream, '{}' AS kind, {} AS n, md5({}) AS digest, NULL AS input, NULL AS output, NULL AS cache_read FROM x WHERE {}"
 
 
-_ANTHROPIC = {"click": "block_start", "view": "block_delta", "purchase": "block_end", "error": "usage"}
-_OPENAI = {"click": "block_start", "view": "block_delta", "error": "usage", "signup": "stream_end"}
+def _kinds_sql(think="doc_id % 5 = 0", calls=(), net=True, extra=()):
+    """What must come out, said of the documents themselves."""
+    rows = [("text_start", "1", "''", "true"), ("text_delta", "pieces", "text", "true"), ("text_end", "1", "''", "true"), ("tool_start", "1", "''", "doc_id % 3 = 0"), ("tool_end", "1", "''", "doc_id % 3 = 0"), *calls, *extra]
+    rows += [("thinking_start", "1", "''", think), ("thinking_delta", "1", "'plan ' || doc_id", think)]
+    use = f"SELECT doc_id, 'usage', 1, md5(''), doc_id{' - doc_id % 7' if net else ''}, l, doc_id % 7 FROM x"
+    return f"WITH {_DOC} " + " UNION ALL ".join([_ROW.format(*r) for r in rows] + [use])
 
 
-def _normal(spark, d, names):
-    return E.normalise(events(spark, d), "event_type", names).groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+_CUT_CALL = ("tool_delta", "2", "'{\"n\":' || l || '}'", "doc_id % 3 = 0")
 
 
-@query(_norm_sql(_ANTHROPIC))
+@query(_kinds_sql(calls=[("tool_delta", "2", "'{\"n\":' || l || '}'", "doc_id % 3 = 0 AND doc_id % 6 <> 0"), ("tool_delta", "1", "'{}'", "doc_id % 6 = 0")], net=False, extra=[("thinking_end", "1", "'s'", "doc_id % 5 = 0")]))
 def ev_normalize_anthropic(spark, d):
-    return _normal(spark, d, _ANTHROPIC)
+    return _kinds(spark, d, "messages")
 
 
-@query(_norm_sql(_OPENAI))
+@query(_kinds_sql(think="false", calls=[_CUT_CALL]))
 def ev_normalize_openai(spark, d):
-    return _normal(spark, d, _OPENAI)
+    return _kinds(spark, d, "responses")
 
 
-@query("""WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT user_id, count(*) FILTER (p IS NOT NULL) AS n_closed, count(*) AS n_opened FROM e WHERE p IS DISTINCT FROM event_type GROUP BY 1""")
+@query(_kinds_sql(think="false", calls=[("tool_delta", "1", "'{\"value\": \"n=' || l || '\"}'", "doc_id % 3 = 0")], extra=[("malformed", "1", "'bad'", "doc_id % 15 = 0")]))
 def ev_normalize_google(spark, d):
-    """Part-level streams: a change of type closes the running block and opens another."""
-    p = F.lag("event_type").over(Window.partitionBy("user_id").orderBy(*_O))
-    e = events(spark, d).withColumn("p", p).where(F.col("p").isNull() | (F.col("p") != F.col("event_type")))
-    return e.groupBy("user_id").agg(F.count("p").alias("n_closed"), F.count("*").alias("n_opened"))
+    return _kinds(spark, d, "candidates")
 
 
-@query("""WITH e AS (SELECT *, coalesce(max(CAST(event_type = 'signup' AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tool FROM events) SELECT event_id FROM e WHERE NOT (tool = 1 AND event_type IN ('view', 'click'))""")
+@query(_kinds_sql(calls=[_CUT_CALL], extra=[("thinking_end", "1", "''", "doc_id % 5 = 0")]))
 def ev_normalize_openrouter(spark, d):
-    """After the first tool call of a stream its text events are ignored."""
-    w = Window.partitionBy("user_id").orderBy(*_O).rowsBetween(Window.unboundedPreceding, -1)
-    tool = F.coalesce(F.max((F.col("event_type") == "signup").cast("int")).over(w), F.lit(0))
-    return events(spark, d).withColumn("tool", tool).where(~((F.col("tool") == 1) & F.col("event_type").isin("view", "click"))).select("event_id")
+    return _kinds(spark, d, "choices")
+
+
+@query(f"""WITH {_DOC}, b AS (SELECT *, CAST(doc_id % 5 = 0 AS INT) AS t FROM x) SELECT doc_id AS stream, 1 AS block, 'thinking' AS kind, md5('plan ' || doc_id) AS digest, NULL AS tool_name, NULL AS tool_use_id, NULL AS tool_input FROM b WHERE t = 1
+UNION ALL SELECT doc_id, t + 1, 'text', md5(text), NULL, NULL, NULL FROM b
+UNION ALL SELECT doc_id, t + 2, 'tool', NULL, 'lookup', 'u' || doc_id, CASE WHEN doc_id % 6 = 0 THEN '{{}}' ELSE '{{"n":' || l || '}}' END FROM b WHERE doc_id % 3 = 0""")
+def ev_fold_blocks(spark, d):
+    """Content blocks of every answer, with whole texts and arguments."""
+    b = ordered_fold(normal_events(spark, d, "messages"), "stream", ["ord"], P.Blocks, P.BLOCK)
+    return b.select("stream", "block", "kind", F.md5("text").alias("digest"), "tool_name", "tool_use_id", "tool_input")
+
+
+@query(f"WITH {_DOC}, g AS (SELECT doc_id, text, pieces, unnest(range(0, pieces, 3)) AS i FROM x) SELECT doc_id AS stream, 'text_delta' AS kind, least(3, pieces - i) AS n, md5(substr(text, i * 40 + 1, 120)) AS digest FROM g")
+def ev_microbatch_combine(spark, d):
+    """Up to three text deltas in one."""
+    c = E.combine_deltas(normal_events(spark, d, "responses"), "stream", "ord", "kind", "text", 3)
+    return c.where("kind = 'text_delta'").select("stream", "kind", "n", F.md5("text").alias("digest"))
+
+
+@query(f"WITH {_DOC} SELECT doc_id AS stream, doc_id - doc_id % 7 AS input, l AS output, doc_id % 7 AS cache_read FROM x")
+def ev_usage_accumulate(spark, d):
+    e = normal_events(spark, d, "choices").groupBy("stream")
+    return e.agg(F.sum("input").alias("input"), F.sum("output").alias("output"), F.sum("cache_read").alias("cache_read"))
+
+
+@query("SELECT event_id, user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND (x.ts, x.event_id) <= (e.ts, e.event_id))")
+def ev_cancellation(spark, d):
+    return E.until_cancelled(events(spark, d), "user_id", _O, F.col("event_type") == "error").select("event_id", "user_id")
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '(?s)`([^`]*)`')) AS n FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id AS stream, len(regexp_extract_all(text, '(?s)`([^`]*)`')) AS n_tags, md5(array_to_string(regexp_extract_all(text, '(?s)`([^`]*)`', 1), '')) AS inside, md5(regexp_replace(text, '(?s)`([^`]*)`', '', 'g')) AS outside FROM documents WHERE text <> '' AND NOT contains(text, '<')")
 def ev_xml_tags(spark, d):
-    """Contents of tags in whole texts; the stored texts mark with backticks, which become tags first."""
-    t = F.regexp_replace("text", r"`([^`]*)`", "<c>$1</c>")
-    return read(spark, d, "documents").where("text is not null").select("doc_id", F.size(E.tagged(t, "c")).alias("n"))
+    """What lies in and outside tags, of texts that come in pieces of forty characters; backticks become tags first."""
+    x = read(spark, d, "documents").where("text <> '' and not contains(text, '<')").select("doc_id", F.regexp_replace("text", r"`([^`]*)`", "<c>$1</c>").alias("text"))
+    pieces = x.select(F.col("doc_id").alias("stream"), F.posexplode(F.expr(_PIECES)).alias("seq", "text"))
+    t = ordered_fold(pieces, "stream", ["seq"], lambda: P.Tags({"c"}), P.Tags.SCHEMA)
+    return t.select("stream", "n_tags", F.md5("inside").alias("inside"), F.md5("outside").alias("outside"))
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
@@ -107,11 +162,19 @@ def windowed_counts(spark, d):
     return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-@query("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events WHERE props IS NOT NULL")
+@query(f"""WITH {_DOC} SELECT doc_id AS id, 1 AS pos, 'text' AS kind, md5(text) AS digest, NULL AS tool_name, NULL AS input_n, doc_id AS used_input, l AS used_output FROM x
+UNION ALL SELECT doc_id, 2, 'tool_use', NULL, 'lookup', l, doc_id, l FROM x WHERE doc_id % 3 = 0""")
 def nonstream_parse(spark, d):
-    """JSON payloads into typed fields."""
-    x = events(spark, d).where("props is not null").select("event_id", F.from_json("props", "k bigint").alias("p"))
-    return x.select("event_id", F.col("p.k").alias("k"))
+    """Whole answers as JSON into typed blocks and usage."""
+    x = read(spark, d, "documents").where("text <> ''")
+    block = "named_struct('type', {}, 'text', {}, 'name', {}, 'id', {}, 'input', {})"
+    blocks = f"array({block.format("'text'", 'text', 'null', 'null', 'null')})"
+    both = f"array({block.format("'text'", 'text', 'null', 'null', 'null')}, {block.format("'tool_use'", 'null', "'lookup'", "concat('u', doc_id)", "named_struct('n', length(text))")})"
+    body = f"CASE WHEN doc_id % 3 = 0 THEN to_json(named_struct('content', {both}, 'usage', named_struct('input_tokens', doc_id, 'output_tokens', length(text)))) ELSE to_json(named_struct('content', {blocks}, 'usage', named_struct('input_tokens', doc_id, 'output_tokens', length(text)))) END"
+    schema = "content array<struct<type: string, text: string, name: string, id: string, input: struct<n: int>>>, usage struct<input_tokens: bigint, output_tokens: bigint>"
+    p = x.select(F.col("doc_id").alias("id"), F.from_json(F.expr(body), schema).alias("p"))
+    p = p.select("id", F.posexplode("p.content").alias("pos", "b"), F.col("p.usage").alias("u"))
+    return p.select("id", (F.col("pos") + 1).alias("pos"), F.col("b.type").alias("kind"), F.md5("b.text").alias("digest"), F.col("b.name").alias("tool_name"), F.col("b.input.n").alias("input_n"), F.col("u.input_tokens").alias("used_input"), F.col("u.output_tokens").alias("used_output"))
 
 
 # conversations: documents in order of time within a repository
@@ -129,6 +192,11 @@ def _turns():
     return Window.partitionBy("session").orderBy("created_at", "id")
 
 
+def _query_before():
+    """Id of the last user turn before."""
+    return F.last(F.when(F.col("actor") == "USER", F.col("id")), ignorenulls=True).over(_turns().rowsBetween(Window.unboundedPreceding, -1))
+
+
 _WS = "OVER (PARTITION BY session ORDER BY created_at NULLS FIRST, id)"
 
 
@@ -143,17 +211,23 @@ def thread_history(spark, d):
     return threads(spark, d).where("source = 'chat_turn'").select("id", F.row_number().over(_turns()).alias("turn"))
 
 
-@query(f"WITH {_TH} SELECT id, md5(coalesce(lag(text) {_WS}, '') || coalesce(text, '')) AS digest FROM th")
+@query(r"""SELECT doc_id AS id, md5(CASE WHEN doc_id % 4 = 0 THEN 'cached: ' ELSE '' END || coalesce(text, '')) AS digest, CASE WHEN doc_id IN (SELECT file_id % 5000 FROM repo_files) THEN 2 ELSE 1 END AS n_blocks FROM documents""")
 def query_text(spark, d):
-    return threads(spark, d).select("id", F.md5(F.concat(F.coalesce(F.lag("text").over(_turns()), F.lit("")), F.coalesce("text", F.lit("")))).alias("digest"))
+    """The cached part of a message before its own, and a block for its attachment if there is one."""
+    a = read(spark, d, "repo_files").select((F.col("file_id") % 5000).alias("id"), F.lit(True).alias("attached")).distinct()
+    t = threads(spark, d).select("id", F.concat(F.when(F.col("id") % 4 == 0, "cached: ").otherwise(""), F.coalesce("text", F.lit(""))).alias("full")).join(a, "id", "left")
+    blocks = F.array(F.struct(F.lit("text").alias("kind"), F.col("full").alias("text")))
+    blocks = F.when(F.col("attached"), F.array_append(blocks, F.struct(F.lit("file").alias("kind"), F.col("id").cast("string").alias("text")))).otherwise(blocks)
+    return t.select("id", F.md5(F.get(blocks, 0)["text"]).alias("digest"), F.size(blocks).alias("n_blocks"))
 
 
-@query(f"WITH {_TH}, c AS (SELECT id, list(id) OVER (PARTITION BY session ORDER BY created_at NULLS FIRST, id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS chain FROM th) SELECT id, array_to_string(CASE WHEN list_contains(chain, id) THEN chain ELSE list_append(coalesce(chain, []), id) END, ',') AS chain FROM c")
+@query(f"WITH {_TH}, c AS (SELECT id, list(id) OVER (PARTITION BY session ORDER BY created_at NULLS FIRST, id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS chain, last_value(CASE WHEN actor = 'USER' THEN id END IGNORE NULLS) OVER (PARTITION BY session ORDER BY created_at NULLS FIRST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM th) SELECT id, array_to_string(CASE WHEN q IS NULL OR list_contains(coalesce(chain, []), q) THEN coalesce(chain, []) ELSE list_append(chain, q) END, ',') AS chain FROM c")
 def conversation_chain(spark, d):
-    """Ids of the last five turns and one's own."""
+    """Ids of the last five turns, and of the query that a turn answers if it is none of these."""
     prev = F.collect_list("id").over(_turns().rowsBetween(-5, -1))
-    c = threads(spark, d).select("id", prev.alias("chain"))
-    return c.select("id", F.array_join(F.transform(F.when(F.array_contains("chain", F.col("id")), F.col("chain")).otherwise(F.array_append("chain", F.col("id"))), lambda x: x.cast("string")), ",").alias("chain"))
+    c = threads(spark, d).select("id", prev.alias("chain"), _query_before().alias("q"))
+    chain = F.when(F.col("q").isNull() | F.array_contains("chain", F.col("q")), F.col("chain")).otherwise(F.array_append("chain", F.col("q")))
+    return c.select("id", F.array_join(F.transform(chain, lambda x: x.cast("string")), ",").alias("chain"))
 
 
 @query(f"WITH {_TH} SELECT id, CASE actor WHEN 'USER' THEN 'user' ELSE 'model' END AS role FROM th")
@@ -161,37 +235,55 @@ def role_map(spark, d):
     return threads(spark, d).select("id", F.when(F.col("actor") == "USER", "user").otherwise("model").alias("role"))
 
 
-@query(r"SELECT doc_id AS id FROM documents WHERE regexp_matches(text, '[^ \t\n\r]')")
+# messages: the paragraphs of a document are the blocks of a message, those that begin with a fence or an indent are tool calls
+_BLOCKS = """bl AS (SELECT doc_id AS id, list_transform(string_split(text, chr(10) || chr(10)), lambda b, i: {'tool': starts_with(b, '```') OR starts_with(b, '    '), 'ord': i, 'text': b}) AS blocks FROM documents WHERE text IS NOT NULL)"""
+
+
+def messages(spark, d):
+    """id, actor, session, blocks: array of (tool, ord, text)."""
+    b = F.transform(F.split("text", "\n\n"), lambda b, i: F.struct((b.startswith("```") | b.startswith("    ")).alias("tool"), (i + 1).alias("ord"), b.alias("text")))
+    return threads(spark, d).where("text is not null").select("id", "actor", "session", "created_at", b.alias("blocks"))
+
+
+_SOLID = "list_filter(blocks, lambda b: b.tool OR regexp_matches(b.text, '[^ \\t\\n\\r]'))"
+
+
+def _solid():
+    return F.filter("blocks", lambda b: b["tool"] | b["text"].rlike(r"[^ \t\n\r]"))
+
+
+@query(f"WITH {_BLOCKS} SELECT id, len({_SOLID}) AS n_blocks FROM bl WHERE len({_SOLID}) > 0")
 def drop_blank_text(spark, d):
-    return threads(spark, d).where(F.col("text").rlike(r"[^ \t\n\r]")).select("id")
+    """Blank text blocks are dropped; a message without blocks is none."""
+    return messages(spark, d).select("id", F.size(_solid()).alias("n_blocks")).where("n_blocks > 0")
 
 
-@query(f"WITH {_TH} SELECT id, row_number() OVER (PARTITION BY session ORDER BY source = 'tool_output', created_at NULLS FIRST, id) AS pos FROM th WHERE source IS NOT NULL")
+@query(f"WITH {_BLOCKS} SELECT id, array_to_string(list_transform(list_concat(list_filter(blocks, lambda b: NOT b.tool), list_filter(blocks, lambda b: b.tool)), lambda b: b.ord), ',') AS ords FROM bl")
 def text_first_sort(spark, d):
-    w = Window.partitionBy("session").orderBy(F.col("source") == "tool_output", "created_at", "id")
-    return threads(spark, d).where("source is not null").select("id", F.row_number().over(w).alias("pos"))
+    """Text blocks of a message before its tool blocks, each in their order."""
+    return messages(spark, d).select("id", F.array_join(F.transform(F.array_sort("blocks"), lambda b: b["ord"].cast("string")), ",").alias("ords"))
 
 
-_TOOL = f"""WITH {_TH}, t AS (SELECT *, row_number() OVER (PARTITION BY session, k ORDER BY created_at NULLS FIRST, id) AS n FROM (SELECT *, CASE source WHEN 'chat_turn' THEN 'q' WHEN 'tool_output' THEN 'r' END AS k FROM th) WHERE k IS NOT NULL)"""
+# requests and responses of tools: chat turns ask, tool outputs answer; the key of a call repeats after a while
+_CALLS = f"""{_TH}, t AS (SELECT id, session, created_at, CASE source WHEN 'chat_turn' THEN 'request' WHEN 'tool_output' THEN 'response' END AS kind, 'u' || (id % 7) AS tool_use_id FROM th WHERE session IS NOT NULL)"""
 
 
-@query(f"{_TOOL} SELECT q.id AS request, r.id AS response FROM t q JOIN t r ON q.session = r.session AND q.n = r.n AND q.k = 'q' AND r.k = 'r'")
-def tool_pairing_fifo(spark, d):
-    """The n-th request of a session with its n-th response."""
-    k = F.when(F.col("source") == "chat_turn", "q").when(F.col("source") == "tool_output", "r")
-    t = threads(spark, d).withColumn("k", k).where("k is not null")
-    t = t.withColumn("n", F.row_number().over(Window.partitionBy("session", "k").orderBy("created_at", "id")))
-    q, r = t.where("k = 'q'").select("session", "n", F.col("id").alias("request")), t.where("k = 'r'").select("session", "n", F.col("id").alias("response"))
-    return q.join(r, ["session", "n"]).select("request", "response")
+def calls(spark, d):
+    t = threads(spark, d).where("session is not null")
+    kind = F.when(F.col("source") == "chat_turn", "request").when(F.col("source") == "tool_output", "response")
+    return t.select("id", "session", "created_at", kind.alias("kind"), F.concat(F.lit("u"), (F.col("id") % 7).cast("string")).alias("tool_use_id")).where("kind is not null")
 
 
-@query(f"{_TOOL} SELECT r.id AS response, max(q.id) AS request FROM t r JOIN t q ON q.session = r.session AND q.k = 'q' AND r.k = 'r' AND q.data_hash = r.data_hash GROUP BY 1 UNION ALL SELECT id, NULL FROM t r WHERE k = 'r' AND NOT EXISTS (SELECT 1 FROM t q WHERE q.k = 'q' AND q.session = r.session AND q.data_hash = r.data_hash)")
+@query()
 def join_tool_request_response(spark, d):
-    """Responses with the request of the same content key, if there is one."""
-    t = threads(spark, d)
-    r = t.where("source = 'tool_output'").select("session", "data_hash", F.col("id").alias("response"))
-    q = t.where("source = 'chat_turn'").groupBy("session", "data_hash").agg(F.max("id").alias("request"))
-    return r.join(q, ["session", "data_hash"], "left").select("response", "request")
+    """Every response with the request that it takes from the line of its session, if there is one."""
+    return ordered_fold(calls(spark, d), "session", ["created_at", "id"], P.Pairing, P.Pairing.SCHEMA).select("response", "request")
+
+
+@query()
+def tool_pairing_fifo(spark, d):
+    """The pairs alone: requests that were passed over, and responses without one, do not come out."""
+    return join_tool_request_response(spark, d).where("request is not null")
 
 
 @query(f"WITH {_TH}, g AS (SELECT *, sum(CAST(source IS DISTINCT FROM 'tool_output' AS INT)) {_WS} AS grp FROM th) SELECT session, CAST(grp AS BIGINT) AS grp, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at NULLS FIRST, id) AS ids FROM g WHERE source = 'tool_output' GROUP BY 1, 2")
@@ -202,16 +294,27 @@ def parallel_tool_grouping(spark, d):
     return g.select("session", "grp", "n", F.array_join(F.transform("a", lambda x: x["id"].cast("string")), ",").alias("ids"))
 
 
-@query(f"WITH {_TH} SELECT session, actor, md5(string_agg(text, chr(10) || chr(10) ORDER BY created_at NULLS FIRST, id)) AS digest FROM th WHERE text IS NOT NULL GROUP BY ALL")
+@query(f"WITH {_BLOCKS}, a AS (SELECT DISTINCT file_id % 5000 AS id FROM repo_files WHERE ends_with(file_path, '.py')) SELECT id, md5(array_to_string(list_transform(list_filter(blocks, lambda b: NOT b.tool), lambda b: b.text), chr(10) || chr(10))) AS digest, CASE WHEN a.id IS NULL THEN 0 ELSE 1 END AS n_images FROM bl LEFT JOIN a USING (id)")
 def user_multipart(spark, d):
-    g = threads(spark, d).where("text is not null").groupBy("session", "actor").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "text"))).alias("a"))
-    return g.select("session", "actor", F.md5(F.array_join(F.transform("a", lambda x: x["text"]), "\n\n")).alias("digest"))
+    """The texts of a message as one part, joined by blank lines, and its images after them."""
+    images = attachments(spark, d).where(F.col("file_type").startswith("image/")).select("id").distinct().withColumn("n_images", F.lit(1))
+    texts_ = F.array_join(F.transform(F.filter("blocks", lambda b: ~b["tool"]), lambda b: b["text"]), "\n\n")
+    return messages(spark, d).join(images, "id", "left").select("id", F.md5(texts_).alias("digest"), F.coalesce("n_images", F.lit(0)).alias("n_images"))
+
+
+def attachments(spark, d):
+    """id, file_type: files stand for what is attached to the document of the same number."""
+    kind = F.when(F.col("file_path").endswith(".py"), "image/png").otherwise("text/plain")
+    return read(spark, d, "repo_files").select((F.col("file_id") % 5000).alias("id"), kind.alias("file_type"))
 
 
-@query(f"WITH {_TH}, p AS (SELECT id, text, lag(source) {_WS} AS prev FROM th) SELECT id FROM p WHERE NOT (coalesce(trim(text), '') = '' AND coalesce(prev, '') = 'tool_output')")
+@query(f"WITH {_TH}, m AS (SELECT *, actor = 'ASSISTANT' AND source IS NOT DISTINCT FROM 'tool_output' AS calls FROM th), p AS (SELECT *, lag(actor = 'ASSISTANT' AND calls) {_WS} AS prev FROM m) SELECT id FROM p WHERE NOT (actor = 'ASSISTANT' AND NOT regexp_matches(coalesce(text, ''), '[^ \\t\\n\\r]') AND coalesce(prev, false))")
 def filter_empty_after_tools(spark, d):
-    p = threads(spark, d).withColumn("prev", F.lag("source").over(_turns()))
-    return p.where(~((F.coalesce(F.trim("text"), F.lit("")) == "") & (F.coalesce("prev", F.lit("")) == "tool_output"))).select("id")
+    """A blank message of the assistant is dropped if the one before, as it was given, is the assistant's with tool calls."""
+    m = threads(spark, d).withColumn("calls", (F.col("actor") == "ASSISTANT") & F.col("source").eqNullSafe("tool_output"))
+    p = m.withColumn("prev", F.lag("calls").over(_turns()))
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^ \t\n\r]")
+    return p.where(~((F.col("actor") == "ASSISTANT") & blank & F.coalesce("prev", F.lit(False)))).select("id")
 
 
 @query(f"WITH {_TH} SELECT session, string_agg(DISTINCT source, ',' ORDER BY source) AS tools FROM th WHERE source IS NOT NULL GROUP BY 1")
@@ -219,10 +322,13 @@ def tools_sorted(spark, d):
     return threads(spark, d).where("source is not null").groupBy("session").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("tools"))
 
 
-@query(f"WITH {_TH} SELECT id, row_number() OVER (PARTITION BY session ORDER BY created_at DESC, id DESC) = 1 AS cached FROM th")
+@query(f"WITH {_BLOCKS}, {_TH}, l AS (SELECT th.id, len(blocks) AS last_block, row_number() OVER (PARTITION BY session ORDER BY th.created_at DESC, th.id DESC) = 1 AS last_message FROM th JOIN bl USING (id)) SELECT id, last_block, last_message FROM l")
 def cache_breakpoint(spark, d):
-    w = Window.partitionBy("session").orderBy(F.desc("created_at"), F.desc("id"))
-    return threads(spark, d).select("id", (F.row_number().over(w) == 1).alias("cached"))
+    """Where a prompt may be kept: the last block of every turn, and the last message of its conversation."""
+    m = messages(spark, d)
+    last = m.groupBy("session").agg(F.max(F.struct("created_at", "id")).alias("m")).select(F.col("session").alias("_s"), F.col("m.id").alias("_last"))
+    j = m.join(last, F.col("session").eqNullSafe(F.col("_s")))
+    return j.select("id", F.size("blocks").alias("last_block"), (F.col("id") == F.col("_last")).alias("last_message"))
 
 
 @query("SELECT doc_id AS id, ['eu', 'us', 'ap'][doc_id % 3 + 1] AS region FROM documents")
@@ -231,9 +337,10 @@ def session_region_route(spark, d):
     return threads(spark, d).select("id", F.element_at(r, (F.pmod("id", F.lit(3)) + 1).cast("int")).alias("region"))
 
 
-@query(f"WITH {_TH} SELECT th.id FROM th JOIN (SELECT DISTINCT file_id FROM repo_files WHERE ends_with(file_path, '.ts')) a ON a.file_id = th.id")
+@query(f"WITH {_TH} SELECT th.id FROM th JOIN (SELECT DISTINCT file_id % 5000 AS id FROM repo_files WHERE ends_with(file_path, '.py')) a ON a.id = th.id")
 def attachment_filter(spark, d):
-    a = read(spark, d, "repo_files").where(F.col("file_path").endswith(".ts")).select(F.col("file_id").alias("id")).distinct()
+    """Turns whose attachment is there and is an image."""
+    a = attachments(spark, d).where(F.col("file_type").startswith("image/")).select("id").distinct()
     return threads(spark, d).join(a, "id", "left_semi").select("id")
 
 
@@ -252,16 +359,23 @@ def join_conversation_hashes(spark, d):
     return t.select("id", "data_hash").join(s, "data_hash").select("id", "stored", (F.col("stored") == F.col("id")).alias("inserted"))
 
 
-@query(f"WITH {_TH} SELECT id, lag(id) {_WS} AS query_id, md5(session || data_hash) AS row_hash FROM th WHERE actor = 'ASSISTANT'")
+@query(f"WITH {_TH}, q AS (SELECT *, last_value(CASE WHEN actor = 'USER' THEN id END IGNORE NULLS) OVER (PARTITION BY session ORDER BY created_at NULLS FIRST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS query_id FROM th) SELECT id, query_id, '[{{\"kind\":\"text\",\"text\":\"' || md5(coalesce(text, '')) || '\"}}]' AS payload FROM q WHERE actor = 'ASSISTANT'")
 def store_response(spark, d):
-    """Response rows with the id of the turn before and a hash of their own."""
-    t = threads(spark, d).where("actor = 'ASSISTANT'")
-    return t.select("id", F.lag("id").over(_turns()).alias("query_id"), F.md5(F.concat("session", "data_hash")).alias("row_hash"))
+    """Response rows with the user's query that they answer - the last before them, over all turns - and the JSON of their
+    blocks, which is what is hashed."""
+    t = threads(spark, d).withColumn("query_id", _query_before()).where("actor = 'ASSISTANT'")
+    payload = F.to_json(F.array(F.struct(F.lit("text").alias("kind"), F.md5(F.coalesce("text", F.lit(""))).alias("text"))))
+    stored = t.select("id", "query_id", payload.alias("payload"), T.xxh64_hex(payload).alias("data_hash"))
+    return stored.select("id", "query_id", "payload")
 
 
-@query(f"WITH {_TH} SELECT id, md5(session || data_hash) AS row_hash FROM th WHERE actor = 'USER'")
+@query(f"WITH {_TH} SELECT id, md5(CASE WHEN id % 4 = 0 THEN 'cached: ' ELSE '' END || coalesce(text, '')) AS digest FROM th WHERE actor = 'USER'")
 def store_query(spark, d):
-    return threads(spark, d).where("actor = 'USER'").select("id", F.md5(F.concat("session", "data_hash")).alias("row_hash"))
+    """Query rows: the whole message, the cached part before its own, is what is hashed."""
+    q = threads(spark, d).where("actor = 'USER'")
+    full = F.concat(F.when(F.col("id") % 4 == 0, "cached: ").otherwise(""), F.coalesce("text", F.lit("")))
+    stored = q.select("id", full.alias("text"), T.xxh64_hex(full).alias("data_hash"))
+    return stored.select("id", F.md5("text").alias("digest"))
 
 
 @query()

@@ -8,20 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# fixed values: how providers name their events, in one vocabulary
-NORMAL = {
-    "message_start": "stream_start", "content_block_start": "block_start", "content_block_delta": "block_delta", "content_block_stop": "block_end", "message_delta": "usage", "message_stop": "stream_end",
-    "response.created": "stream_start", "response.output_item.added": "block_start", "response.output_text.delta": "block_delta", "response.function_call_arguments.delta": "block_delta", "response.output_item.done": "block_end",
-    "response.completed": "usage",
-}
-
-
-def normalise(events: DataFrame, kind: str, names: dict[str, str] | None = None) -> DataFrame:
-    """Events with `kind` in the common vocabulary; unknown kinds are dropped. Stateless, so it serves streams as is."""
-    table = F.create_map(*[F.lit(x) for kv in (names or NORMAL).items() for x in kv])
-    return events.withColumn(kind, F.element_at(table, F.col(kind))).where(F.col(kind).isNotNull())
-
-
 def fold_blocks(events: DataFrame, stream: str, order: list[str], start: Column, delta: Column, end: Column, value: str) -> DataFrame:
     """stream, block, n_deltas, total: one row per block that was started and ended. A new start drops the open block;
     deltas and ends without an open block are ignored; an unended block is lost."""
@@ -33,13 +19,16 @@ def fold_blocks(events: DataFrame, stream: str, order: list[str], start: Column,
     return g.where(F.col("_done") == 1).drop("_done")
 
 
-def combine_deltas(events: DataFrame, stream: str, order: list[str], kind: str, size: int) -> DataFrame:
-    """stream, first, kind, n: runs of consecutive events of one kind in batches of at most `size`."""
-    w = Window.partitionBy(stream).orderBy(*order)
-    e = events.withColumn("_new", F.coalesce((F.lag(kind).over(w) != F.col(kind)).cast("int"), F.lit(1)))
+def combine_deltas(events: DataFrame, stream: str, order: str, kind: str, text: str, size: int) -> DataFrame:
+    """stream, first, kind, n, text: consecutive deltas of one kind in batches of at most `size`, their texts joined; other
+    events stay alone. A batch is at most `size` rows, so nothing unbounded is collected."""
+    w = Window.partitionBy(stream).orderBy(order)
+    whole = ~F.col(kind).endswith("_delta")
+    e = events.withColumn("_new", F.when(whole | (F.coalesce(F.lag(kind).over(w), F.lit("")) != F.col(kind)), 1).otherwise(0))
     e = e.withColumn("_run", F.sum("_new").over(w))
-    e = e.withColumn("_k", F.floor((F.row_number().over(Window.partitionBy(stream, "_run").orderBy(*order)) - 1) / size))
-    return e.groupBy(stream, "_run", "_k").agg(F.min(order[-1]).alias("first"), F.first(kind).alias(kind), F.count("*").alias("n")).drop("_run", "_k")
+    e = e.withColumn("_k", F.floor((F.row_number().over(Window.partitionBy(stream, "_run").orderBy(order)) - 1) / size))
+    g = e.groupBy(stream, "_run", "_k").agg(F.min(order).alias("first"), F.first(kind).alias(kind), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(order, text))).alias("_t"))
+    return g.select(stream, "first", kind, "n", F.array_join(F.transform("_t", lambda t: t[text]), "").alias(text))
 
 
 def until_cancelled(events: DataFrame, stream: str, order: list[str], stop: Column) -> DataFrame:
@@ -77,7 +66,7 @@ class TagParser:
     """Incremental extraction of `<tag>text</tag>` from pieces of text, also where a tag is cut by a piece's end."""
 
     def __init__(self, tags: set[str]):
-        self.tags, self.rest, self.open = tags, "", None
+        self.tags, self.rest, self.open, self.closed = tags, "", None, 0
 
     def feed(self, piece: str) -> list[tuple[str | None, str]]:
         """[(tag or None for text outside, text)]; text that may be the begin of a tag is held back."""
@@ -95,6 +84,7 @@ class TagParser:
             end = self.rest.find(">")
             wanted = [f"</{self.open}>"] if self.open else [f"<{t}>" for t in self.tags]
             if end >= 0 and self.rest[: end + 1] in wanted:
+                self.closed += self.open is not None
                 self.open = None if self.open else self.rest[1:end]
                 self.rest = self.rest[end + 1 :]
             elif any(w.startswith(self.rest) for w in wanted):
