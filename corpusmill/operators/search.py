@@ -7,10 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusmill.functions.text import with_tokens
+from corpusmill.operators.textindex import B, K1, TextIndex
 from corpusmill.session import spread
 
-K1, B = 1.2, 0.75
-
 
 def postings(docs: DataFrame, key: str, text: str, strict: bool = False) -> DataFrame:
     """key, term, tf: the inverted index. One row per distinct term of a document, counted before any shuffle of the
@@ -76,10 +75,15 @@ def minmax(scored: DataFrame, score: str = "score", out: str = "norm") -> DataFr
     return scored.crossJoin(F.broadcast(ends)).withColumn(out, (F.col(score) - lo) / F.nullif(F.col("_hi") - lo, F.lit(0.0))).drop("_lo", "_hi")
 
 
-def lexical_search(docs: DataFrame, key: str, title: str, text: str, query: str) -> DataFrame:
-    """title, score, norm: the best score of each title, scaled over the result."""
-    best = bm25(docs, key, text, query).join(docs.select(key, title), key).groupBy(title).agg(F.max("score").alias("score"))
-    return minmax(best)
+def counted_terms(spark: SparkSession, query: str, strict: bool = False) -> dict[str, int]:
+    """A query's terms and how often it has each."""
+    return {r[0]: r[1] for r in query_terms(spark, query, strict).collect()}
+
+
+def lexical_search(index: TextIndex, title: str, query: str) -> DataFrame:
+    """title, score, norm: the best score of each title, scaled over the result; titles come from the index."""
+    scored = index.bm25({0: counted_terms(index.spark, query)})
+    return minmax(scored.join(index.keys().select("key", title), "key").groupBy(title).agg(F.max("score").alias("score")))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -130,23 +134,72 @@ def trigrams(text: Column) -> Column:
     return F.flatten(F.transform(ws, cut))
 
 
-def keyword_search(rows: DataFrame, key: str, fields: list[str], keyword: str, limit: int | None = None) -> DataFrame:
-    """key, score. Keywords under three characters match as substrings of a field (score 1); others are scored by BM25
-    over the character trigrams of all fields together."""
-    both = F.concat_ws(" ", *[F.col(f) for f in fields])
-    if len(keyword) < 3:
-        hit = rows.where(F.lower(both).contains(keyword.lower())).select(key, F.lit(1.0).alias("score"))
-    else:
-        grams = rows.select(key, F.explode_outer(trigrams(both)).alias("term")).where(F.col("term").isNotNull()).groupBy(key, "term").agg(F.count("*").alias("tf"))
-        q = rows.sparkSession.range(1).select(F.explode(trigrams(F.lit(keyword))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
-        length = grams.groupBy(key).agg(F.sum("tf").alias("dl"))
-        stats = F.broadcast(length.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
-        hits = grams.join(F.broadcast(q), "term")
-        df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))
-        idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        part = F.col("qtf") * idf * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        hit = hits.join(df, "term").join(length, key).crossJoin(stats).groupBy(key).agg(F.sum(part).alias("score"))
-    return hit if limit is None else top(hit, limit, "score", key)
+def keyword_search(rows: DataFrame, key: str, fields: list[str], index: TextIndex, keywords: list[str], limit: int | None = None) -> DataFrame:
+    """query (number of the keyword), key, score. Keywords under three characters match as substrings of a field (score 1);
+    others are scored by BM25 over the character trigrams of all fields together, all keywords in one scan of the index."""
+    spark = rows.sparkSession
+    grams = {i: w for i, w in enumerate(keywords) if len(w) >= 3}
+    out = None
+    if grams:
+        cut = spark.createDataFrame(list(grams.items()), "query int, word string").select("query", F.explode(trigrams(F.col("word"))).alias("term")).groupBy("query", "term").count().collect()
+        out = index.bm25({i: {r["term"]: r["count"] for r in cut if r["query"] == i} for i in grams}).withColumnRenamed("key", key)
+    both = F.lower(F.concat_ws(" ", *[F.col(f) for f in fields]))
+    for i, w in enumerate(keywords):
+        if i not in grams:
+            hit = rows.where(both.contains(w.lower())).select(F.lit(i).alias("query"), key, F.lit(1.0).alias("score"))
+            out = hit if out is None else out.unionByName(hit)
+    return out if limit is None else top_per(out, ["query"], limit, "score", key).drop("_rank")
+
+
+def exact_symbols(chunk_files: DataFrame, terms: DataFrame, limit: int = 200) -> DataFrame:
+    """query, id, s of the chunks that declare a term (query, keyword, type 'class' or 'function'), at most `limit` of each in
+    the order of their lines. Terms are a query's own, so few."""
+    hit = chunk_files.join(F.broadcast(terms), ((F.col("type") == "class") & (F.col("cls") == F.col("keyword"))) | ((F.col("type") == "function") & (F.col("fn") == F.col("keyword"))))
+    w = Window.partitionBy("query").orderBy(F.asc_nulls_first("s"), "id")
+    return hit.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).select("query", "id", "s")
+
+
+def focussed_snippets(hits: DataFrame, chunk_files: DataFrame, terms: DataFrame) -> DataFrame:
+    """query, id: of each term the chunks that declare it, where there are any, else its hits by keyword."""
+    exact = exact_symbols(chunk_files, terms).select("query", "id")
+    rest = hits.join(F.broadcast(exact.select("query").distinct()), "query", "left_anti").select("query", "id")
+    return exact.unionByName(rest)
+
+
+def autocomplete(scored: DataFrame, key: str, rows: DataFrame, allowed: DataFrame, on: list[str], limit: int, pre_filter_limit: int = 100) -> DataFrame:
+    """key, score of the best hits whose row is allowed. With few allowed rows they are picked before the limit; with
+    `pre_filter_limit` or more, ten times the limit is taken first and picked from afterwards."""
+    few = allowed.select(*on).distinct().limit(pre_filter_limit).count() < pre_filter_limit
+    placed = lambda x: x.join(rows.select(key, *on), key).join(allowed.select(*on).distinct(), on, "left_semi").select(key, "score")
+    return top(placed(scored) if few else placed(top(scored, 10 * limit, "score", key)), limit, "score", key)
+
+
+def vectordb_search(files: DataFrame, chunk_files: DataFrame, lexical: DataFrame, vector: DataFrame, limit: int, with_imports: bool = True) -> DataFrame:
+    """id, path, s, chunk_hash, score: hybrid search in the chunks of some files.
+
+    files: path, file_hash; chunk_files: id, path, file_hash, chunk_hash, s, import_only; lexical and vector: chunk_hash,
+    score. The chunks of the files are ranked by fused scores; each of the best `limit` goes to its first place (least id)
+    in these files; the import-only chunks of the files that hits lie in are added; a content counts once. Ordered by path
+    and line. Only hits, at most `limit` rows, are broadcast.
+    """
+    white = chunk_files.join(files.select("path", "file_hash").distinct(), ["path", "file_hash"], "left_semi")
+    known = white.select("chunk_hash").distinct()
+    only = lambda x: x.join(known, "chunk_hash", "left_semi")
+    hits = top(fused(only(lexical), only(vector), "chunk_hash"), limit, "score", "chunk_hash")
+    first = lambda x: x.groupBy("chunk_hash").agg(F.min(F.struct("id", "path", "file_hash", "s", "score")).alias("m")).select("chunk_hash", "m.*")
+    placed = first(white.join(F.broadcast(hits), "chunk_hash"))
+    if with_imports:
+        near = white.where("import_only").join(F.broadcast(placed.select("path", "file_hash").distinct()), ["path", "file_hash"], "left_semi")
+        added = first(near.withColumn("score", F.lit(None).cast("double"))).join(F.broadcast(placed.select("chunk_hash")), "chunk_hash", "left_anti")
+        placed = placed.unionByName(added)
+    return placed.select("id", "path", "s", "chunk_hash", "score").orderBy("path", "s")
+
+
+def relevant_chunks(focus: DataFrame, related: DataFrame, text: str, rerank=None) -> DataFrame:
+    """Focus chunks and related ones whose text is no focus chunk's, the related ones through a reranker if one is given."""
+    rest = related.join(focus.select(text).distinct(), text, "left_anti").select(*related.columns)
+    rest = rerank(rest) if rerank else rest
+    return focus.withColumn("origin", F.lit("focus")).unionByName(rest.withColumn("origin", F.lit("related")))
 
 
 def without_contained(chunks: DataFrame, path: str, start: str, end: str, key: str, keep_one: bool = False) -> DataFrame:
@@ -182,11 +235,13 @@ class LlmReranker:
 
 
 def search(kind: str, **args) -> DataFrame:
-    """Dispatch by kind with a check of the arguments it needs."""
-    need = {"native": ({"chunks", "key", "lexical", "vector"}, native_hybrid), "fused": ({"lexical", "vector", "key"}, fused)}
-    if kind not in need:
-        raise ValueError(f"unknown kind of search {kind!r}")
-    names, fn = need[kind]
-    if missing := names - set(args):
-        raise ValueError(f"{kind} search needs {sorted(missing)}")
+    """Dispatch by kind ('native', 'vector_db', 'fused') after a check of the arguments it needs."""
+    kinds = {
+        "native": ({"chunks", "key", "lexical", "vector"}, native_hybrid), "vector_db": ({"files", "chunk_files", "lexical", "vector", "limit"}, vectordb_search), "fused": ({"lexical", "vector", "key"}, fused),
+    }
+    if kind not in kinds:
+        raise ValueError(f"unknown kind of search: {kind}")
+    names, fn = kinds[kind]
+    if missing := {n for n in names if args.get(n) is None}:
+        raise ValueError(f"{kind} search needs {', '.join(sorted(missing))}")
     return fn(**args)

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from corpusmill.functions import lang as L, text as T
 from corpusmill.functions.paths import base_name
-from corpusmill.operators import lines as N, search as S
+from corpusmill.operators import lines as N
 from corpusmill.session import read
 
 from .tables import SAMPLES, SYMBOLS, TEXTS, samples, symbols, texts
@@ -368,37 +368,12 @@ def fuzzy_path(spark, d):
     return fuzzy_paths(read(spark, d, "repo_files").select("file_id", "file_path").distinct(), "file_id", "file_path", "gatway")
 
 
-@query(f"WITH {SAMPLES}, {SYMBOLS} SELECT ck.id, count(sy.id) AS n_symbols FROM ck LEFT JOIN sy ON sy.file_id = ck.file_id AND sy.start_line >= ck.s AND sy.end_line <= ck.e AND ck.file_id > 0 GROUP BY 1")
-def relevant_chunks(spark, d):
-    """Stored chunks with the number of symbols that lie wholly in them."""
-    ck = samples(spark, d)
-    sy = symbols(spark, d).where("file_id > 0").select("file_id", F.col("id").alias("sid"), "start_line", "end_line")
-    hit = ck.select("id", "file_id", "s", "e").join(sy, "file_id").where("start_line >= s and end_line <= e").groupBy("id").agg(F.count("*").alias("n"))
-    return ck.select("id").join(hit, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_symbols"))
-
-
 @query(f"WITH {SAMPLES}, {TEXTS} SELECT ck.id, md5(array_to_string(list_slice(string_split(content, chr(10)), s, e), chr(10))) AS digest FROM ck JOIN tx USING (file_id) WHERE fn IS NOT NULL AND s >= 1 AND e >= s")
 def autocomplete_read(spark, d):
     j = samples(spark, d).where("fn is not null and s >= 1 and e >= s").join(texts(spark, d).select("file_id", "content"), "file_id")
     return j.select("id", F.md5(T.line_range(F.col("content"), F.col("s"), F.col("e"))).alias("digest"))
 
 
-@query(f"WITH {SAMPLES} SELECT min(id) AS id, path FROM ck GROUP BY path, chunk_hash")
-def vectordb_search(spark, d):
-    """Distinct contents per path in (path, line) order: what is left of hits after deduplication."""
-    return samples(spark, d).groupBy("path", "chunk_hash").agg(F.min("id").alias("id")).select("id", "path")
-
-
-@query()
-def search_dispatch(spark, d):
-    """Arguments are checked before anything is planned."""
-    try:
-        S.search("fused", key="x")
-    except ValueError as e:
-        return spark.createDataFrame([(str(e),)], "error string")
-    raise AssertionError
-
-
 @query("SELECT DISTINCT repo_path, 'example.org' AS host, 'team' || replace(regexp_replace(repo_path, '/[^/]*$', ''), '//', '/') AS owner, regexp_extract(repo_path, '[^/]*$') AS repo FROM repo_files")
 def remote_url_parts(spark, d):
     """Addresses made of the repositories' paths, taken apart again."""

@@ -8,7 +8,8 @@ from corpusmill.functions import text as T
 from corpusmill.operators import search as S
 from corpusmill.session import read
 
-from .tables import BM25, SAMPLES, TOKENS, query_sql, samples
+from . import indexes
+from .tables import BM25, CUR, SAMPLES, TOKENS, bm25_sql, query_sql, samples, versions
 
 QUERY = "retry policy of the search tool and the stale gatewayAdapter"
 QUERIES, ORACLE = {}, {}
@@ -29,10 +30,12 @@ def docs(spark, d):
 
 
 def _bm(spark, d):
-    return S.bm25(read(spark, d, "documents"), "doc_id", "text", QUERY)
+    """doc_id, score from the stored index."""
+    index = indexes.documents(spark, d)
+    return index.bm25({0: S.counted_terms(spark, QUERY)}).select(F.col("key").alias("doc_id"), "score")
 
 
-_Q = query_sql(QUERY)
+_Q = _QQ = query_sql(QUERY)
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, array_to_string(u, ' ') AS tokens FROM tk")
@@ -88,18 +91,14 @@ _LEX = f"""WITH {TOKENS}, {_Q}, {BM25}, best AS (SELECT coalesce(source, '?') ||
 mm AS (SELECT title, score, CASE WHEN min(score) OVER () < max(score) OVER () THEN min(score) OVER () ELSE 0 END AS lo, max(score) OVER () AS hi FROM best)"""
 
 
-def _titled(spark, d):
-    return read(spark, d, "documents").withColumn("title", F.concat(F.coalesce("source", F.lit("?")), F.lit("/"), F.coalesce("repo_path", F.lit("?"))))
-
-
 @query(f"{_LEX} SELECT title, round(score, 6) AS score FROM best")
 def dedup_title_max(spark, d):
-    return S.lexical_search(_titled(spark, d), "doc_id", "title", "text", QUERY).select("title", F.round("score", 6).alias("score"))
+    return S.lexical_search(indexes.documents(spark, d), "title", QUERY).select("title", F.round("score", 6).alias("score"))
 
 
 @query(f"{_LEX} SELECT title, round((score - lo) / (hi - lo), 6) AS norm FROM mm")
 def lexical_search(spark, d):
-    return S.lexical_search(_titled(spark, d), "doc_id", "title", "text", QUERY).select("title", F.round("norm", 6).alias("norm"))
+    return S.lexical_search(indexes.documents(spark, d), "title", QUERY).select("title", F.round("norm", 6).alias("norm"))
 
 
 _MM = f"""WITH {TOKENS}, {_Q}, {BM25}, lx AS (SELECT doc_id, (score - lo) / (hi - lo) AS norm FROM (SELECT doc_id, score, CASE WHEN min(score) OVER () < max(score) OVER () THEN min(score) OVER () ELSE 0 END AS lo, max(score) OVER () AS hi FROM bm))"""
@@ -210,68 +209,62 @@ def _key_sql(word: str, name: str = "kw") -> str:
 {name} AS (SELECT id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS score FROM gr JOIN {name}q USING (term) JOIN {name}d USING (term) JOIN gl USING (id), gs GROUP BY 1)"""
 
 
-def _keyword(spark, d, word):
-    return S.keyword_search(samples(spark, d), "id", ["fn", "cls", "path"], word).select("id", F.round("score", 6).alias("score"))
+def _keywords(spark, d, words):
+    found = S.keyword_search(samples(spark, d), "id", ["fn", "cls", "path"], indexes.keywords(spark, d), words)
+    return found.select(F.col("query").alias("idx"), "id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {SAMPLES}, {_GRAMS}, {_key_sql('Gateway')} SELECT id, round(score, 6) AS score FROM kw")
 def keyword_search(spark, d):
-    return _keyword(spark, d, "Gateway")
+    return _keywords(spark, d, ["Gateway"]).drop("idx")
 
 
 @query(f"WITH {SAMPLES} SELECT id, 1.0::DOUBLE AS score FROM ck WHERE contains(lower(concat_ws(' ', fn, cls, path)), 'go')")
 def like_keyword_short(spark, d):
-    return S.keyword_search(samples(spark, d), "id", ["fn", "cls", "path"], "go")
+    return _keywords(spark, d, ["go"]).drop("idx")
 
 
-@query(f"WITH {SAMPLES}, {_GRAMS}, {_key_sql('vault')} SELECT id, round(score, 6) AS score FROM kw ORDER BY round(score, 6) DESC, id LIMIT 50")
+@query(f"WITH {SAMPLES}, {CUR}, {_GRAMS}, {_key_sql('vault')}, o AS (SELECT id, round(score, 6) AS score FROM kw ORDER BY round(score, 6) DESC, id LIMIT 500) SELECT id, score FROM o JOIN ck USING (id) WHERE path IN (SELECT file_path FROM cur) ORDER BY score DESC, id LIMIT 50")
 def autocomplete(spark, d):
-    return S.top(_keyword(spark, d, "vault"), 50, "score", "id")
+    """Among the paths of the present files, which are many, so ten times the limit is taken first."""
+    live = versions(spark, d).select(F.col("file_path").alias("path"))
+    return S.autocomplete(_keywords(spark, d, ["vault"]), "id", samples(spark, d).select("id", "path"), live, ["path"], 50)
 
 
 _TERMS = ["Gateway", "lantern", "Roster"]
+_ALL = f"WITH {SAMPLES}, {_GRAMS}, " + ", ".join(_key_sql(w, f"k{i}") for i, w in enumerate([*_TERMS, "qqqzzz"])) + ", al AS (" + " UNION ALL ".join(f"SELECT {i} AS idx, id, round(score, 6) AS score FROM k{i}" for i in range(4)) + ")"
 
 
-@query(
-    f"WITH {SAMPLES}, {_GRAMS}, " + ", ".join(_key_sql(w, f"k{i}") for i, w in enumerate(_TERMS)) + ", al AS (" + " UNION ALL ".join(f"SELECT {i} AS idx, id, round(score, 6) AS score FROM k{i}" for i in range(3))
-    + ") SELECT idx, id, score FROM al QUALIFY row_number() OVER (PARTITION BY idx ORDER BY score DESC, id) <= 5"
-)
+@query(f"{_ALL} SELECT idx, id, score FROM al QUALIFY row_number() OVER (PARTITION BY idx ORDER BY score DESC, id) <= 5")
 def topk_per_term(spark, d):
-    out = None
-    for i, w in enumerate(_TERMS):
-        x = _keyword(spark, d, w).withColumn("idx", F.lit(i))
-        out = x if out is None else out.unionByName(x)
-    return S.top_per(out, ["idx"], 5, "score", "id").drop("_rank")
+    return S.top_per(_keywords(spark, d, _TERMS), ["idx"], 5, "score", "id").drop("_rank")
 
 
 @query(
-    f"WITH {SAMPLES}, {_GRAMS}, " + ", ".join(_key_sql(w, f"k{i}") for i, w in enumerate(_TERMS)) + ", al AS (" + " UNION ALL ".join(f"SELECT {i} AS idx, id, round(score, 6) AS score FROM k{i}" for i in range(3))
-    + "), be AS (SELECT idx, id, score FROM al QUALIFY row_number() OVER (PARTITION BY idx ORDER BY score DESC, id) <= 5) "
-    "SELECT idx, id, score, ck.path || ':' || ck.s || '-' || coalesce(ck.e, ck.s) AS denotation, (SELECT count(*) FROM ck c2 WHERE c2.chunk_hash = ck.chunk_hash) AS n_same FROM be JOIN ck USING (id)"
+    f"{_ALL}, be AS (SELECT idx, id FROM al QUALIFY row_number() OVER (PARTITION BY idx ORDER BY score DESC, id) <= 5), "
+    "st AS (SELECT (SELECT min(cls) FROM ck) AS c, (SELECT min(fn) FROM ck) AS f), "
+    "ex AS (SELECT CASE WHEN cls = c THEN 0 ELSE 1 END AS idx, id, s FROM ck, st WHERE cls = c UNION ALL SELECT 1, id, s FROM ck, st WHERE fn = f), "
+    "e2 AS (SELECT idx, id FROM ex QUALIFY row_number() OVER (PARTITION BY idx ORDER BY s NULLS FIRST, id) <= 200), "
+    "pk AS (SELECT * FROM e2 UNION ALL SELECT idx, id FROM be WHERE idx NOT IN (SELECT idx FROM e2)) "
+    "SELECT idx, id, ck.path || ':' || ck.s || '-' || coalesce(ck.e, ck.s) AS denotation, md5(text) AS digest FROM pk JOIN ck USING (id)"
 )
 def focussed_snippet_search(spark, d):
-    """Five chunks for each of several terms, with where they lie and how often the same text is stored."""
+    """Several terms at once: the chunks that declare a class or function, for a file or where nothing declares it the five
+    best by keyword; with where they lie and their texts. The class and the function asked for are the first of the store."""
     ck = samples(spark, d)
-    n = ck.groupBy("chunk_hash").agg(F.count("*").alias("n_same"))
-    hit = topk_per_term(spark, d).join(ck, "id").join(n, "chunk_hash")
-    return hit.select("idx", "id", "score", F.concat("path", F.lit(":"), F.col("s").cast("string"), F.lit("-"), F.coalesce("e", "s").cast("string")).alias("denotation"), "n_same")
+    first = ck.agg(F.min("cls"), F.min("fn")).first()
+    terms = spark.createDataFrame([(0, first[0], "class"), (1, first[1], "function"), (2, _TERMS[2], "file")], "query int, keyword string, type string")
+    picked = S.focussed_snippets(topk_per_term(spark, d).withColumnRenamed("idx", "query"), ck, terms)
+    hit = picked.join(ck, "id")
+    return hit.select(F.col("query").alias("idx"), "id", F.concat("path", F.lit(":"), F.col("s").cast("string"), F.lit("-"), F.coalesce("e", "s").cast("string")).alias("denotation"), F.md5("text").alias("digest"))
 
 
-_NONE = [*_TERMS, "qqqzzz"]
-
-
-@query(
-    f"WITH {SAMPLES}, {_GRAMS}, " + ", ".join(_key_sql(w, f"k{i}") for i, w in enumerate(_NONE)) + ", al AS (" + " UNION ALL ".join(f"SELECT {i} AS idx, id FROM k{i}" for i in range(4))
-    + ") SELECT t.idx, t.keyword, count(al.id) AS n_hits FROM (VALUES " + ", ".join(f"({i}, '{w}')" for i, w in enumerate(_NONE)) + ") t(idx, keyword) LEFT JOIN al USING (idx) GROUP BY ALL"
-)
+@query(f"{_ALL} SELECT t.idx, t.keyword, count(al.id) AS n_hits FROM (VALUES " + ", ".join(f"({i}, '{w}')" for i, w in enumerate([*_TERMS, "qqqzzz"])) + ") t(idx, keyword) LEFT JOIN al USING (idx) GROUP BY ALL")
 def outer_terms_results(spark, d):
     """Every search term keeps a row, also without hits."""
-    terms = spark.createDataFrame(list(enumerate(_NONE)), "idx int, keyword string")
-    out = None
-    for i, w in enumerate(_NONE):
-        x = _keyword(spark, d, w).withColumn("idx", F.lit(i))
-        out = x if out is None else out.unionByName(x)
-    return F.broadcast(terms).join(out, "idx", "left").groupBy("idx", "keyword").agg(F.count("id").alias("n_hits"))
+    words = [*_TERMS, "qqqzzz"]
+    terms = spark.createDataFrame(list(enumerate(words)), "idx int, keyword string")
+    return F.broadcast(terms).join(_keywords(spark, d, words), "idx", "left").groupBy("idx", "keyword").agg(F.count("id").alias("n_hits"))
 
 
 # reranking over the symbols of chunks
@@ -298,19 +291,100 @@ def rerank_heuristic(spark, d):
     return theta_containment_anti(spark, d).withColumn("pos", F.row_number().over(w))
 
 
-@query()
-def rerank_llm(spark, d):
-    """An injected chooser keeps the even half of the denotations it is shown."""
-    ck = vectordb_hits(spark, d)
-    return S.LlmReranker(lambda q, names: sorted(names)[::2])(ck, "denotation", QUERY)
+# searches in the chunk store: stored chunks stand for chunk files, their paths' present versions for the files to search
+_STORE = f"""{SAMPLES}, {CUR}, fh AS (SELECT id AS file_id, max(file_hash) AS file_hash FROM files GROUP BY 1), cf AS (SELECT ck.*, file_hash, fn IS NULL AS import_only FROM ck JOIN fh USING (file_id)),
+wl AS (SELECT DISTINCT file_path AS path, file_hash FROM cur WHERE file_hash <> ''), un AS (SELECT chunk_hash, any_value(text) AS text FROM ck GROUP BY 1), {bm25_sql("c", "un", "chunk_hash", "text")},
+{_VEC}, cv AS (SELECT chunk_hash, vs.score FROM un JOIN vs ON vs.vec_id = length(un.text) % 500)"""
+
+
+def _search_sql(name: str, files: str, limit: int, imports: bool) -> str:
+    """CTEs of a search: {name} has id, path, s, chunk_hash, score."""
+    out = f"""{name}w AS (SELECT cf.* FROM cf WHERE (path, file_hash) IN (SELECT path, file_hash FROM {files})), {name}h AS (SELECT DISTINCT chunk_hash FROM {name}w),
+{name}l AS (SELECT k AS chunk_hash, score FROM cbm WHERE k IN (FROM {name}h)), {name}v AS (SELECT * FROM cv WHERE chunk_hash IN (FROM {name}h)),
+{name}ln AS (SELECT chunk_hash, (score - lo) / (hi - lo) AS x FROM (SELECT *, CASE WHEN min(score) OVER () < max(score) OVER () THEN min(score) OVER () ELSE 0 END AS lo, max(score) OVER () AS hi FROM {name}l)),
+{name}vn AS (SELECT chunk_hash, (score - lo) / (hi - lo) AS x FROM (SELECT *, CASE WHEN min(score) OVER () < max(score) OVER () THEN min(score) OVER () ELSE 0 END AS lo, max(score) OVER () AS hi FROM {name}v)),
+{name}f AS (SELECT chunk_hash, 0.7 * coalesce(v.x, 0) + 0.3 * coalesce(l.x, 0) AS score FROM {name}ln l FULL JOIN {name}vn v USING (chunk_hash) ORDER BY score DESC, chunk_hash LIMIT {limit}),
+{name}p AS (SELECT w.id, w.path, w.file_hash, w.s, chunk_hash, f.score FROM {name}w w JOIN {name}f f USING (chunk_hash) QUALIFY row_number() OVER (PARTITION BY chunk_hash ORDER BY w.id) = 1)"""
+    if not imports:
+        return f"{out}, {name} AS (SELECT id, path, s, chunk_hash, score FROM {name}p)"
+    return f"""{out}, {name}i AS (SELECT id, path, s, chunk_hash, NULL AS score FROM {name}w WHERE import_only AND (path, file_hash) IN (SELECT path, file_hash FROM {name}p) AND chunk_hash NOT IN (SELECT chunk_hash FROM {name}p)
+  QUALIFY row_number() OVER (PARTITION BY chunk_hash ORDER BY id) = 1), {name} AS (SELECT id, path, s, chunk_hash, score FROM {name}p UNION ALL SELECT * FROM {name}i)"""
+
 
+def _chunk_files(spark, d):
+    h = read(spark, d, "files").groupBy(F.col("id").alias("file_id")).agg(F.max("file_hash").alias("file_hash"))
+    return samples(spark, d).join(h, "file_id").withColumn("import_only", F.col("fn").isNull())
 
-def vectordb_hits(spark, d):
-    """Hybrid hits joined with the first stored chunk of the same rank order: doc_id and its denotation."""
-    return topk_hybrid(spark, d).select("doc_id", "score", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("denotation"))
+
+def _whitelist(spark, d):
+    return versions(spark, d).where("file_hash <> ''").select(F.col("file_path").alias("path"), "file_hash").distinct()
+
+
+def _search(spark, d, files, limit=30, imports=True):
+    ck = samples(spark, d)
+    lexical = indexes.chunk_texts(spark, d).bm25({0: S.counted_terms(spark, QUERY)}).select(F.col("key").alias("chunk_hash"), "score")
+    number = ck.groupBy("chunk_hash").agg((F.first(F.length("text")) % 500).cast("bigint").alias("vec_id"))
+    vector = number.join(_vec(spark, d), "vec_id").select("chunk_hash", "score")
+    return S.search("vector_db", files=files, chunk_files=_chunk_files(spark, d), lexical=lexical, vector=vector, limit=limit, with_imports=imports)
 
 
-@query(f"{_FU}, h AS (SELECT doc_id, round(score, 6) AS score FROM fu ORDER BY round(score, 6) DESC, doc_id LIMIT 20) SELECT doc_id, score, 'doc/' || doc_id AS denotation FROM h WHERE starts_with('doc/' || doc_id, 'doc/1')")
+@query(f"WITH {_QQ}, {_STORE}, {_search_sql('r', 'wl', 30, True)} SELECT id, path, s, round(score, 6) AS score FROM r")
+def vectordb_search(spark, d):
+    """The thirty best chunks of the present files, each at its first place, with the import-only chunks of their files."""
+    return _search(spark, d, _whitelist(spark, d)).select("id", "path", "s", F.round("score", 6).alias("score"))
+
+
+_DENO = "path || ':' || coalesce(CAST(s AS VARCHAR), '?')"
+
+
+def _even(query_, names):
+    """The injected chooser: keeps denotations of even length."""
+    return [n for n in names if n is not None and len(n) % 2 == 0]
+
+
+def _denoted(x):
+    return x.withColumn("denotation", F.concat("path", F.lit(":"), F.coalesce(F.col("s").cast("string"), F.lit("?"))))
+
+
+@query(f"WITH {_QQ}, {_STORE}, w2 AS (SELECT * FROM wl WHERE starts_with(path, 'src/') OR starts_with(path, 'lib/')), {_search_sql('r', 'w2', 20, False)}, n AS (SELECT *, {_DENO} AS denotation FROM r) SELECT id, denotation FROM n WHERE length(denotation) % 2 = 0 OR (SELECT count(*) FROM n WHERE length(denotation) % 2 = 0) = 0")
 def semantic_search(spark, d):
-    """Hybrid search kept to a directory prefix."""
-    return vectordb_hits(spark, d).where(F.col("denotation").startswith("doc/1"))
+    """Files under the focus directories, hybrid search without imports, then the chooser's choice."""
+    files = _whitelist(spark, d).where(F.col("path").startswith("src/") | F.col("path").startswith("lib/"))
+    return S.LlmReranker(_even)(_denoted(_search(spark, d, files, 20, False)), "denotation", QUERY).select("id", "denotation")
+
+
+@query(f"WITH {_QQ}, {_STORE}, {_search_sql('r', 'wl', 30, True)}, n AS (SELECT *, {_DENO} AS denotation FROM r) SELECT id, denotation FROM n WHERE length(denotation) % 2 = 0 OR (SELECT count(*) FROM n WHERE length(denotation) % 2 = 0) = 0")
+def rerank_llm(spark, d):
+    """An injected chooser keeps some of the denotations it is shown."""
+    return S.LlmReranker(_even)(_denoted(vectordb_search(spark, d)), "denotation", QUERY).select("id", "denotation")
+
+
+@query(
+    f"WITH {_QQ}, {_STORE}, ff AS (SELECT DISTINCT path FROM cf JOIN wl USING (path, file_hash) ORDER BY path LIMIT 3), w2 AS (SELECT * FROM wl WHERE path NOT IN (FROM ff) AND NOT starts_with(path, 'web/')), {_search_sql('r', 'w2', 30, True)}, "
+    "fo AS (SELECT cf.* FROM cf JOIN ff USING (path)), rx AS (SELECT r.*, cf.e, cf.text FROM r JOIN cf USING (id) WHERE cf.text NOT IN (SELECT text FROM fo)), "
+    "al AS (SELECT id, path, s, coalesce(e, s) AS e, 'focus' AS origin FROM fo UNION ALL SELECT id, path, s, coalesce(e, s), 'related' FROM rx) "
+    "SELECT id, origin FROM al a WHERE NOT EXISTS (SELECT 1 FROM al b WHERE b.path = a.path AND b.id <> a.id AND a.s >= b.s AND a.e <= b.e) AND a.s IS NOT NULL"
+)
+def relevant_chunks(spark, d):
+    """Chunks of the focus files, and what a search in the other files outside the focus directory finds and they do not
+    hold; ranges within others of a file removed."""
+    cf, white = _chunk_files(spark, d), _whitelist(spark, d)
+    focus_files = cf.join(white, ["path", "file_hash"], "left_semi").select("path").distinct().orderBy("path").limit(3)
+    focus = cf.join(F.broadcast(focus_files), "path", "left_semi").select("id", "path", "s", F.coalesce("e", "s").alias("e"), "text")
+    others = white.join(F.broadcast(focus_files), "path", "left_anti").where(~F.col("path").startswith("web/"))
+    related = _search(spark, d, others).select("id").join(cf, "id").select("id", "path", "s", F.coalesce("e", "s").alias("e"), "text")
+    both = S.relevant_chunks(focus, related, "text")
+    return S.without_contained(both.where("s is not null"), "path", "s", "e", "id").select("id", "origin")
+
+
+@query("SELECT * FROM (VALUES ('fused', 'fused search needs lexical, vector'), ('other', 'unknown kind of search: other'), ('vector_db', '')) t(kind, error)")
+def search_dispatch(spark, d):
+    """Arguments are checked before anything is planned; a search with all of them is planned."""
+    rows = []
+    for kind, args in (("fused", {"key": "x"}), ("other", {})):
+        try:
+            S.search(kind, **args)
+        except ValueError as e:
+            rows.append((kind, str(e)))
+    rows.append(("vector_db", "" if set(_search(spark, d, _whitelist(spark, d), 5).columns) >= {"id", "score"} else "no result"))
+    return spark.createDataFrame(rows, "kind string, error string")

@@ -77,3 +77,11 @@ qt AS (SELECT term, count(*) AS qtf FROM (SELECT unnest(list_concat(l, {runs_sql
 BM25 = """len AS (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY 1), st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM post) / (SELECT count(*) FROM documents) AS av),
 df AS (SELECT term, count(*) AS df FROM post JOIN qt USING (term) GROUP BY 1),
 bm AS (SELECT doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS score FROM post JOIN qt USING (term) JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY 1)"""
+
+
+def bm25_sql(p: str, source: str, key: str, text: str) -> str:
+    """CTEs that score the texts of a source for the query in qt: {p}bm has k and score."""
+    return f"""{p}u AS (SELECT {key} AS k, {tokens_sql(text)} AS u FROM {source} WHERE {text} IS NOT NULL), {p}b AS (SELECT k, list_concat(u, {runs_sql("u", 2)}) AS l FROM {p}u),
+{p}p AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(list_concat(l, {runs_sql("l", 3)})) AS term FROM {p}b) GROUP BY ALL), {p}l AS (SELECT k, sum(tf) AS dl FROM {p}p GROUP BY 1),
+{p}s AS (SELECT (SELECT count(*) FROM {source}) AS n, (SELECT sum(tf) FROM {p}p) / (SELECT count(*) FROM {source}) AS av), {p}d AS (SELECT term, count(*) AS df FROM {p}p JOIN qt USING (term) GROUP BY 1),
+{p}bm AS (SELECT k, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS score FROM {p}p JOIN qt USING (term) JOIN {p}d USING (term) JOIN {p}l USING (k), {p}s GROUP BY 1)"""
