@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 import re
 
 import pandas as pd
@@ -128,6 +129,75 @@ def before_after(hunk: list[str]) -> tuple[list[str], list[str]]:
     return [h[1:] for h in clean if h[0] in " -"], [h[1:] for h in clean if h[0] in " +"]
 
 
+def normalised(hunk: list[str]) -> list[str]:
+    """The hunk as a plain difference of its sides: white space on blank lines is dropped, changes come first as removed, then
+    as added lines; empty if the sides are equal."""
+    old, new = (["" if not x.strip() else x for x in side] for side in before_after(hunk))
+    return list(difflib.unified_diff(old, new, n=max(len(old), len(new)), lineterm=""))[3:]
+
+
+def distinct_hunks(found: list[list[str]]) -> list[list[str]]:
+    """Normalised hunks, equal ones and those without a change once or not at all."""
+    out: dict[str, list[str]] = {}
+    for h in found:
+        n = normalised(h)
+        if n:
+            out.setdefault("\n".join(n), n)
+    return list(out.values())
+
+
+_OUT = "\u2190"
+
+
+def relative(text: str) -> str:
+    """Each line's indent as what it adds to that of the line before, or as marks for what it takes away."""
+    out, before = [], ""
+    for line in text.split("\n"):
+        body = line.lstrip(" \t")
+        indent = line[: len(line) - len(body)] if body else before
+        out.append((indent[len(before) :] if indent.startswith(before) else _OUT * (len(before) - len(indent)) or _OUT + "=" + indent) + body if body else line)
+        before = indent
+    return "\n".join(out)
+
+
+def absolute(text: str) -> str | None:
+    """The inverse of `relative`; None where more is taken away than there is."""
+    out, before = [], ""
+    for line in text.split("\n"):
+        marks = len(line) - len(line.lstrip(_OUT))
+        rest = line[marks:]
+        if not rest.strip():
+            out.append(line)
+            continue
+        if marks == 1 and rest.startswith("="):
+            rest = rest[1:]
+            before = ""
+        elif marks > len(before):
+            return None
+        else:
+            before = before[: len(before) - marks]
+        body = rest.lstrip(" \t")
+        before += rest[: len(rest) - len(body)]
+        out.append(before + body)
+    return "\n".join(out)
+
+
+def flexible_replace(content: str, search: str, new: str) -> str | None:
+    """All places of a text replaced: as it is, without blank lines around, by relative indents, or both; None if there is
+    none. Markers of indents must not occur in the texts themselves."""
+    plain = lambda t: t
+    bare = lambda t: t.strip("\r\n") + "\n"
+    for strip, by_indent in ((plain, False), (bare, False), (plain, True), (bare, True)):
+        if by_indent and _OUT in content + search + new:
+            continue
+        a, b, c = (relative(strip(t)) if by_indent else strip(t) for t in (content, search, new))
+        if b.strip() and b in a:
+            got = a.replace(b, c)
+            if (got := absolute(got) if by_indent else got) is not None:
+                return got
+    return None
+
+
 def _apply_hunk(lines: list[str], hunk: list[str]) -> list[str] | None:
     """The hunk where its old side fits, all places if it fits several times; else with less and less context."""
     while hunk and not hunk[-1].strip():
@@ -150,19 +220,17 @@ def _apply_hunk(lines: list[str], hunk: list[str]) -> list[str] | None:
                 out.append(lines[at])
                 at += 1
         return out
-    return None
+    old, new = before_after(hunk)
+    got = flexible_replace("\n".join(lines) + "\n", "\n".join(old) + "\n", "\n".join(new) + "\n") if old else None
+    return got.removesuffix("\n").split("\n") if got is not None else None
 
 
 def unified(content: str, diff: str) -> tuple[str, list[str]]:
     """(new text, errors): hunks one after another; a hunk without a place is reported and passed over."""
     crlf, text = "\r\n" in content, content.replace("\r\n", "\n")
     final = text.endswith("\n")
-    lines, errors, seen = text.split("\n")[: -1 if final else None] if text else [], [], set()
-    for h in hunks(diff):
-        key = "\n".join(h)
-        if key in seen:
-            continue
-        seen.add(key)
+    lines, errors = text.split("\n")[: -1 if final else None] if text else [], []
+    for h in distinct_hunks(hunks(diff)):
         got = _apply_hunk(lines, h)
         if got is None:
             errors.append("no place for hunk: " + h[0][:60])
@@ -172,7 +240,16 @@ def unified(content: str, diff: str) -> tuple[str, list[str]]:
     return (out.replace("\n", "\r\n") if crlf else out), errors
 
 
-RUNNERS = {"search_and_replace": lambda c, d: (search_replace(c, d), []), "unified": unified}
+def numbered(content: str, diff: str) -> tuple[str, list[str]]:
+    """A line-numbered edit given as JSON: [[first line, last line, text], ...]."""
+    try:
+        chunks = [(int(a), int(b), str(t)) for a, b, t in json.loads(diff)]
+    except (ValueError, TypeError) as e:
+        raise EditError(f"no list of line ranges and texts: {e}") from e
+    return line_numbered(content, chunks), []
+
+
+RUNNERS = {"search_and_replace": lambda c, d: (search_replace(c, d), []), "unified": unified, "line_numbered": numbered}
 
 
 def apply_edits(edits: DataFrame, key: str = "file_path") -> DataFrame:

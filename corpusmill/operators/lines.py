@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.functions.lang import any_dir_in
 
 # fixed values: the patterns of code and text summaries, the first that matches gives the kind
 CODE_PATTERNS = [
@@ -122,3 +123,32 @@ def declarations(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     arr = F.transform(T.lines(F.col(text)), lambda l, i: F.struct((i + 1).alias("i"), F.regexp_extract(l, pat, 1).alias("w"), F.regexp_extract(l, pat, 2).alias("name")))
     rows = df.select(*keep, F.explode(F.filter(arr, lambda x: x["w"] != "")).alias("x"))
     return rows.select(*keep, F.col("x.i").alias("i"), F.when(F.col("x.w").isin("class", "interface"), "class").otherwise("function").alias("kind"), F.col("x.name").alias("name"))
+
+
+class EmptyResult(LookupError):
+    """A search without a result."""
+
+
+def grep(
+    files: DataFrame, keep: list[str], path: str, text: str, term: str, regex: bool = False, ignore_case: bool = False, directory: str = "", exclude_dirs: tuple = (), exclude_suffixes: tuple = (), most_bytes: int = 200 * 1024, limit: int = 50
+) -> DataFrame:
+    """keep, path, first, last, body, matches: the islands of matching lines of the files under a directory, outside the
+    excluded folders and suffixes and not larger than `most_bytes`; the first `limit` by path and line, a page's size."""
+    t = F.lower(F.lit(term)) if ignore_case and not regex else F.lit(term)
+    fold = F.lower if ignore_case and not regex else (lambda c: c)
+    hit = (lambda l: l.rlike(("(?i)" if ignore_case else "") + term)) if regex else (lambda l: F.contains(fold(l), t))
+    x = files.where(F.octet_length(text) <= most_bytes)
+    if directory:
+        x = x.where(F.col(path).startswith(directory.rstrip("/") + "/"))
+    if exclude_dirs:
+        x = x.where(~any_dir_in(F.col(path), list(exclude_dirs)))
+    for suffix in exclude_suffixes:
+        x = x.where(~F.col(path).endswith(suffix))
+    return islands(x, [*keep, path], text, hit).orderBy(path, *keep, "first").limit(limit)
+
+
+def or_error(found: DataFrame, message: str) -> DataFrame:
+    """The result itself, or an error where it is empty; this runs the search."""
+    if found.isEmpty():
+        raise EmptyResult(message)
+    return found

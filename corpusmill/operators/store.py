@@ -89,3 +89,21 @@ def ensure_schema(spark, folder: str, wanted: int, create, force: bool = False)
     drop_all(spark, folder)
     write_versioned(create(), folder, wanted)
     return True
+
+
+#: Collections of the chunk store and their columns.
+COLLECTIONS = {
+    "chunks": "chunk_hash string, text string, created_at timestamp, updated_at timestamp, vector array<float>",
+    "chunk_files": "file_path string, chunk_hash string, file_hash string, start_line int, end_line int, total_chunks int, searchable_file_path string, searchable_file_name string, classes array<string>, functions array<string>, "
+    "meta_info struct<hierarchy: array<struct<type: string, value: string, is_breakable_node: boolean>>, import_only_chunk: boolean>, has_imports boolean, created_at timestamp, updated_at timestamp",
+    "urls_content": "name string, url string, content string, last_indexed timestamp, content_hash string, cache_headers struct<etag: string, last_modified: string>, backend_id int",
+}
+
+
+def create_collection(spark, folder: str, name: str, schema: str) -> bool:
+    """Make an empty collection unless it is there; says whether it did."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return False
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}")
+    return True

@@ -173,6 +173,15 @@ def grep_islands(spark, d):
     return x.select("file_id", "first", "last", F.md5("body").alias("digest"), F.array_join(F.transform("matches", lambda m: m.cast("string")), ",").alias("matches"))
 
 
+@query(f"SELECT file_id, file_path, first, matches FROM ({_ISL.replace("'gateway'", "'return'")}) JOIN tx2 USING (file_id) WHERE file_path LIKE 'src/%' AND NOT regexp_matches(file_path, '(^|/)(vendor|node_modules)/') AND NOT ends_with(file_path, '.rb') AND strlen(content) <= 204800 ORDER BY file_path, file_id, first LIMIT 50".replace("SELECT file_id, file_path", f"WITH tx2 AS (SELECT DISTINCT ON (file_id) file_id, file_path, content FROM repo_files WHERE content IS NOT NULL) SELECT file_id, file_path", 1))
+def grep_search(spark, d):
+    """The first fifty islands under a directory, outside excluded folders and suffixes, of files that are not too large; an
+    empty result is an error."""
+    x = N.grep(texts(spark, d), ["file_id"], "file_path", "content", "return", directory="src", exclude_dirs=("vendor", "node_modules"), exclude_suffixes=(".rb",))
+    found = N.or_error(x, "no matches for 'return'")
+    return found.select("file_id", "file_path", "first", F.array_join(F.transform("matches", lambda m: m.cast("string")), ",").alias("matches"))
+
+
 @query(f"SELECT file_id, first, CAST(split_part(matches, ',', 1) AS INT) AS line FROM ({_ISL})")
 def grep_parse_blocks(spark, d):
     """Blocks as a search tool prints them, `path-n-text` and `path:n:text`, parsed back to their first matching line."""
@@ -343,11 +352,11 @@ def relative_indent(spark, d):
     return x.select("file_id", F.array_join(F.transform(F.zip_with("w", prev, lambda a, b: a - b), lambda v: v.cast("string")), ",").alias("deltas"))
 
 
-@query(f"WITH {TEXTS}, tk AS (SELECT file_id, len(regexp_extract_all(content, '[\\p{{L}}\\p{{N}}_]+')) AS n FROM tx) SELECT file_id, n AS n_tokens, n > 400 AS over FROM tk")
+@query(f"WITH {TEXTS}, tk AS (SELECT file_id, len(regexp_extract_all(content, '[\\p{{L}}\\p{{N}}_]+')) AS n FROM tx) SELECT file_id, n AS n_tokens, n > 100000 AS over FROM tk")
 def token_limit_check(spark, d):
-    """Word count against a limit."""
+    """Tokens of a payload against the usual limit; words stand for tokens where no tokenizer is given."""
     n = F.size(T.words(F.col("content")))
-    return texts(spark, d).select("file_id", n.alias("n_tokens"), (n > 400).alias("over"))
+    return texts(spark, d).select("file_id", n.alias("n_tokens"), (n > 100_000).alias("over"))
 
 
 @query(f"WITH {TEXTS} SELECT CAST(sum(len(regexp_extract_all(content, '[\\p{{L}}\\p{{N}}_]+'))) AS BIGINT) AS total FROM tx")
@@ -362,10 +371,13 @@ def normalize_eol(spark, d):
 
 @query()
 def fuzzy_path(spark, d):
-    """Paths with a part that is similar enough to the term; each distinct part is compared once."""
+    """The first hundred paths with a part that is similar enough to the term, outside hidden and ignored folders, and how
+    many more there are; each distinct part is compared once."""
     from corpusmill.operators.fuzzy import fuzzy_paths
 
-    return fuzzy_paths(read(spark, d, "repo_files").select("file_id", "file_path").distinct(), "file_id", "file_path", "gatway")
+    x = read(spark, d, "repo_files").select("file_id", "file_path").distinct().where(~L.pruned(F.col("file_path"), set(L.IGNORED_PARTS), []))
+    near = fuzzy_paths(x, "file_id", "file_path", "gatway").join(x, "file_id").select("file_path", "file_id", "best")
+    return L.capped(near, ["file_path", "file_id"], 100)
 
 
 @query(f"WITH {SAMPLES}, {TEXTS} SELECT ck.id, md5(array_to_string(list_slice(string_split(content, chr(10)), s, e), chr(10))) AS digest FROM ck JOIN tx USING (file_id) WHERE fn IS NOT NULL AND s >= 1 AND e >= s")

@@ -144,18 +144,25 @@ def apply_udiff(spark, d):
 
 def apply_line_numbered(spark, d):
     """Lines two to three of every source replaced."""
+    return _edits(spark, d, "line_numbered", F.lit('[[2, 3, "replaced\\n"]]')).select("file_id", F.md5("content").alias("digest"), "errors")
+
+
+def normalize_hunk(spark, d):
+    """Hunks made of each source's first lines, one of them changed, written twice and with another context width: once."""
 
     def one(t):
-        return [(E.line_numbered(t, [(2, 3, "replaced\n")]),)]
+        lines = t.split("\n")[:4]
+        hunk = [" " + lines[0], "-" + (lines[1] if len(lines) > 1 else ""), "+changed", *(" " + x for x in lines[2:])]
+        return [(len(E.distinct_hunks([hunk, list(hunk), [" same"]])), len(E.normalised(hunk)))]
 
-    return _per_text(texts(spark, d), "file_id", "content", one, "content string").select("file_id", F.md5("content").alias("digest"))
+    return _per_text(texts(spark, d), "file_id", "content", one, "n_hunks int, n_lines int")
 
 
 def hunk_before_after(spark, d):
     """Documents that are diffs: hunks with the sizes of their old and new sides."""
 
     def one(t):
-        return [(len(a), len(b)) for a, b in map(E.before_after, E.hunks(t))] if "\n@@" in t else []
+        return [(len(a), len(b)) for a, b in map(E.before_after, E.hunks(t))] if t.startswith("@@") or "\n@@" in t else []
 
     return _per_text(read(spark, d, "documents"), "doc_id", "text", one, "n_before int, n_after int")
 
@@ -250,6 +257,19 @@ def locate_span(spark, d):
 
 
 def flexible_search_replace(spark, d):
+    """The second and third line of each source replaced by two others, found also where their indents are given relative."""
+
+    def one(t):
+        lines = t.split("\n")
+        if len(lines) < 3 or not "".join(lines[1:3]).strip():
+            return []
+        got = E.flexible_replace(t, "\n".join(lines[1:3]) + "\n", "new\nlines\n")
+        return [(-1 if got is None else len(got),)]
+
+    return _per_text(texts(spark, d), "file_id", "content", one, "n_chars int")
+
+
+def search_replace_trimmed(spark, d):
     """The second line of each source replaced although its indent is not given."""
 
     def one(t):
@@ -266,14 +286,14 @@ def flexible_search_replace(spark, d):
 
 def parse_udiff_hunks(spark, d):
     """Documents that are diffs: their hunks, each once."""
-    return _per_text(read(spark, d, "documents"), "doc_id", "text", lambda t: [(i, len(h)) for i, h in enumerate(E.hunks(t))] if "\n@@" in t else [], "hunk int, n_lines int")
+    return _per_text(read(spark, d, "documents"), "doc_id", "text", lambda t: [(i, len(h)) for i, h in enumerate(E.hunks(t))] if t.startswith("@@") or "\n@@" in t else [], "hunk int, n_lines int")
 
 
 def apply_hunk(spark, d):
     """The hunks of documents that are diffs, applied to their own old sides: nothing is left over."""
 
     def one(t):
-        if "\n@@" not in t:
+        if not (t.startswith("@@") or "\n@@" in t):
             return []
         old = "\n".join(x for h in E.hunks(t) for x in E.before_after(h)[0]) + "\n"
         return [(len(E.unified(old, t)[1]),)]
@@ -282,8 +302,13 @@ def apply_hunk(spark, d):
 
 
 def diff_dispatch(spark, d):
-    """Both kinds of edits in one table."""
-    return apply_search_replace(spark, d).withColumn("kind", F.lit("blocks")).unionByName(apply_udiff(spark, d).withColumn("kind", F.lit("unified")))
+    """All three kinds of edits in one table, each row by the runner of its kind."""
+    first = F.element_at(F.split("content", "\n"), 1)
+    k = F.col("file_id") % 3
+    kind = F.when(k == 0, "search_and_replace").when(k == 1, "unified").otherwise("line_numbered")
+    diff = F.when(k == 0, F.concat(F.lit("--- SEARCH\n"), first, F.lit("\n===\n"), first, F.lit(" # edited\n+++ REPLACE"))).when(k == 1, F.concat(F.lit("@@ -1,1 +1,2 @@\n+marked\n "), first, F.lit("\n"))).otherwise(F.lit('[[1, 1, "replaced\\n"]]'))
+    rows = texts(spark, d).select("file_id", "content", kind.alias("kind"), diff.alias("diff"))
+    return E.apply_edits(rows, "file_id").select("file_id", F.md5("content").alias("digest"), "errors")
 
 
 def incremental_index(spark, d):
@@ -310,6 +335,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_source, strategy_factory, grammars, chunk_metadata_ast, dechunk_merge, breakable_hierarchy, legacy_coalesce, chunk_legacy, chunk_pr_diff, token_bin_pack, apply_search_replace, apply_udiff, apply_line_numbered, hunk_before_after,
-        node_classifiers, extract_symbols, categorize_symbol, sync_repo_state, symbol_name, summarize_code_ast, parse_search_replace, locate_span, flexible_search_replace, parse_udiff_hunks, apply_hunk, diff_dispatch, incremental_index, schema_version_gate,
+        node_classifiers, extract_symbols, categorize_symbol, sync_repo_state, symbol_name, summarize_code_ast, parse_search_replace, locate_span, flexible_search_replace, search_replace_trimmed, normalize_hunk, parse_udiff_hunks, apply_hunk, diff_dispatch, incremental_index, schema_version_gate,
     )
 }

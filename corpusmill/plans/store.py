@@ -14,6 +14,8 @@ from .tables import CUR, CUT, OLD, SAMPLES, SYMBOLS, TEXTS, samples, symbols, te
 QUERIES, ORACLE = {}, {}
 SKIP_DIRS = ["node_modules", "vendor", "third_party", "build", "dist", "Pods"]
 SKIP_EXTS = [".rb", ".kt"]
+#: Lines that one read of a range gives.
+MOST_LINES = 1000
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -126,10 +128,11 @@ def read_file_lossy(spark, d):
     return raw.select("file_id", F.md5(L.lossy_utf8(F.col("raw"))).alias("digest"))
 
 
-@query(f"WITH {TEXTS} SELECT file_id, array_to_string(list_slice(string_split(content, chr(10)), 5, 12), chr(10)) AS part, len(string_split(content, chr(10))) <= 12 AS eof FROM tx")
+@query(f"WITH {TEXTS} SELECT file_id, md5(array_to_string(list_slice(string_split(content, chr(10)), 5, 1004), chr(10))) AS digest, len(string_split(content, chr(10))) <= 1004 AS eof FROM tx")
 def read_line_range(spark, d):
-    c = F.col("content")
-    return texts(spark, d).select("file_id", T.line_range(c, F.lit(5), F.lit(12)).alias("part"), (F.size(T.lines(c)) <= 12).alias("eof"))
+    """Lines five to two thousand, of which a read gives a thousand, and whether the end was reached."""
+    c, last = F.col("content"), min(2000, 5 + MOST_LINES - 1)
+    return texts(spark, d).select("file_id", F.md5(T.line_range(c, F.lit(5), F.lit(last))).alias("digest"), (F.size(T.lines(c)) <= last).alias("eof"))
 
 
 @query(f"WITH {TEXTS} SELECT file_id, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) - CAST(ends_with(content, chr(10)) AS INT) END AS n_lines FROM tx")
@@ -153,10 +156,32 @@ def scan_repo_files(spark, d):
 
 @query()
 def object_store_get(spark, d):
-    """One object by its path."""
-    from corpusmill.sources.tree import get_object
+    """Objects put under a folder, read back, and one of them deleted: how many are there before and after."""
+    from corpusmill.sources.tree import delete_object, get_object
 
-    return get_object(spark, f"{d}/nation.parquet").select("length")
+    folder = scratch(spark)
+    try:
+        read(spark, d, "files").write.parquet(f"{folder}/objects")
+        objects = get_object(spark, f"{folder}/objects").where(F.col("path").endswith(".parquet")).select("path", "length").orderBy("path")
+        n, first = objects.count(), objects.first()[0]
+        gone = delete_object(spark, first)
+        left = get_object(spark, f"{folder}/objects").where(F.col("path").endswith(".parquet")).count() if n > 1 else 0
+    finally:
+        S.drop_all(spark, folder)
+    return spark.createDataFrame([(n, gone, left)], "n_objects bigint, deleted boolean, n_left bigint")
+
+
+@query()
+def create_collections(spark, d):
+    """Collections of the store made where they are not there yet: all at first, none the second time."""
+    folder, rows = scratch(spark), []
+    try:
+        for step in (1, 2):
+            for name, schema in S.COLLECTIONS.items():
+                rows.append((step, name, S.create_collection(spark, folder, name, schema)))
+    finally:
+        S.drop_all(spark, folder)
+    return spark.createDataFrame(rows, "step int, name string, created boolean")
 
 
 @query()
@@ -186,11 +211,13 @@ def upsert_chunk_files(spark, d):
     return samples(spark, d).select(T.uuid5(k).alias("key"), "created_at").groupBy("key").agg(F.count("*").alias("n"), F.unix_micros(F.max("created_at")).alias("created_at"))
 
 
-@query(f"WITH {SAMPLES} SELECT id, chunk_hash, count(*) OVER (PARTITION BY path) AS total_chunks, regexp_extract(path, '[^/]*$') AS searchable_file_name FROM ck")
+@query(f"WITH {SAMPLES} SELECT id, chunk_hash, count(*) OVER (PARTITION BY path) AS total_chunks, regexp_extract(path, '[^/]*$') AS searchable_file_name, coalesce(cls, '') AS classes, coalesce(fn, '') AS functions, fn IS NULL AND cls IS NULL AS has_imports FROM ck WHERE path IS NOT NULL")
 def store_differential(spark, d):
-    ck = samples(spark, d)
+    """Chunk file rows of stored chunks: the number of chunks of the file, its name, classes, functions, imports."""
+    ck = samples(spark, d).where("path is not null")
     total = ck.groupBy("path").agg(F.count("*").alias("total_chunks"))
-    return ck.join(total, "path").select("id", "chunk_hash", "total_chunks", base_name(F.col("path")).alias("searchable_file_name"))
+    names = lambda c: F.array_join(F.filter(F.array(c), lambda x: x.isNotNull()), ",")
+    return ck.join(total, "path").select("id", "chunk_hash", "total_chunks", base_name(F.col("path")).alias("searchable_file_name"), names("cls").alias("classes"), names("fn").alias("functions"), (F.col("fn").isNull() & F.col("cls").isNull()).alias("has_imports"))
 
 
 _LIVE = "live AS (SELECT DISTINCT file_path AS path FROM cur WHERE file_hash <> '')"
@@ -206,10 +233,12 @@ def refresh_timestamps(spark, d):
     return S.refresh(ck, _live(spark, d), "path", _ts("2025-05-10 00:00:00"), ["created_at"]).select("id", F.unix_micros("created_at").alias("created_at"))
 
 
-@query(f"WITH {SAMPLES} SELECT id, coalesce(v.label, -1) AS label FROM ck LEFT JOIN embeddings v ON v.vec_id = ck.file_id")
+@query(f"WITH {SAMPLES}, u AS (SELECT chunk_hash, any_value(length(text)) % 700 AS n FROM ck GROUP BY 1) SELECT chunk_hash, CASE WHEN v.vec_id IS NULL THEN 0 ELSE len(embedding) END AS dims, round(coalesce(embedding[1]::DOUBLE, 0), 6) AS first FROM u LEFT JOIN embeddings v ON v.vec_id = n")
 def update_embedding(spark, d):
-    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("file_id"), "label")
-    return samples(spark, d).join(v, "file_id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
+    """Vectors set by the chunk's hash; a chunk for which none came keeps what it had, here nothing."""
+    u = samples(spark, d).groupBy("chunk_hash").agg((F.first(F.length("text")) % 700).cast("bigint").alias("vec_id"))
+    v = u.join(read(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "left").withColumn("vector", F.coalesce("embedding", F.array().cast("array<float>")))
+    return v.select("chunk_hash", F.size("vector").alias("dims"), F.round(F.coalesce(F.get("vector", 0).cast("double"), F.lit(0.0)), 6).alias("first"))
 
 
 @query(f"WITH {SAMPLES}, {CUR}, {_LIVE} SELECT id FROM ck WHERE NOT coalesce(created_at < TIMESTAMPTZ '2025-04-15 00:00:00+00', false) OR path IN (FROM live)")
@@ -318,15 +347,12 @@ def exclude_focused_chunks(spark, d):
     return ck.where("language is distinct from 'python'").join(focus, "chunk_hash", "left_anti").select("id")
 
 
-@query(f"WITH {SAMPLES} SELECT id, row_number() OVER (ORDER BY id) AS ord FROM ck WHERE fn IS NOT NULL")
+@query(f"WITH {SAMPLES}, n AS (SELECT id, language, path || ':' || s || '-' || e AS name FROM ck) SELECT id, row_number() OVER (ORDER BY id) AS ord FROM n WHERE name IN (SELECT name FROM n WHERE language = 'python' AND name IS NOT NULL)")
 def filter_by_denotation(spark, d):
-    """Chosen chunks in their original order."""
-    ck = samples(spark, d)
-    chosen = ck.where("fn is not null").select("id", L.denotation("path", "s", "e").alias("name"))
-    kept = ck.select("id", L.denotation("path", "s", "e").alias("name")).join(chosen, ["id", "name"], "left_semi").unionByName(
-        ck.where("fn is not null and (path is null or s is null or e is null)").select("id", L.denotation("path", "s", "e").alias("name"))
-    )
-    return S.numbered(kept.select("id"), ["id"], "ord")
+    """Chunks whose denotation was chosen, in their original order."""
+    ck = samples(spark, d).select("id", "language", L.denotation("path", "s", "e").alias("name"))
+    chosen = ck.where("language = 'python' and name is not null").select("name").distinct()
+    return S.numbered(ck.join(chosen, "name", "left_semi").select("id"), ["id"], "ord")
 
 
 @query("WITH p AS (SELECT max(file_path) AS f FROM files) SELECT DISTINCT id FROM files, p WHERE file_path = f")
@@ -352,10 +378,11 @@ def keep_positive(spark, d):
     return symbols(spark, d).select("id", F.when(F.col("start_line") >= 1, F.col("start_line")).alias("start_line"))
 
 
-@query("SELECT run_id FROM (SELECT run_id, arg_max(lower(trim(status)), logged_at) AS st FROM index_runs GROUP BY 1) WHERE st <> 'failed'")
+@query("SELECT run_id FROM (SELECT run_id, arg_max(lower(trim(status)), logged_at) AS st FROM index_runs GROUP BY 1) WHERE st = 'succeeded' AND run_id % 5 <> 0")
 def server_status_filter(spark, d):
+    """Connected and not disabled: runs that succeeded stand for connected servers, every fifth is disabled."""
     st = read(spark, d, "index_runs").groupBy("run_id").agg(F.max(F.struct("logged_at", F.lower(F.trim("status")).alias("s"))).alias("m"))
-    return st.where("m.s <> 'failed'").select("run_id")
+    return st.where("m.s = 'succeeded' and run_id % 5 <> 0").select("run_id")
 
 
 # joins
@@ -468,13 +495,12 @@ def symbols_from_hierarchy(spark, d):
     return s.groupBy((F.size("f") == 0).alias("no_fn"), (F.size("c") == 0).alias("no_cls")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {SYMBOLS} SELECT file_id, count(DISTINCT node_name) FILTER (category = 'class') AS n_classes, count(DISTINCT node_name) FILTER (category = 'function') AS n_functions FROM sy WHERE file_id IN (SELECT file_id FROM sy WHERE category = 'import') GROUP BY 1")
+@query(f"WITH {SYMBOLS} SELECT DISTINCT file_id, category, node_name FROM sy WHERE category IN ('class', 'function') AND node_name IS NOT NULL AND file_id IN (SELECT file_id FROM sy WHERE category = 'import')")
 def import_rollup(spark, d):
+    """What import-only chunks receive: the distinct classes and functions of their file, one row each."""
     sy = symbols(spark, d).where("file_id is not null")
     imp = sy.where("category = 'import'").select("file_id").distinct()
-    k = F.col("category")
-    g = sy.join(imp, "file_id", "left_semi").groupBy("file_id")
-    return g.agg(F.count_distinct(F.when(k == "class", F.col("node_name"))).alias("n_classes"), F.count_distinct(F.when(k == "function", F.col("node_name"))).alias("n_functions"))
+    return sy.where("category in ('class', 'function') and node_name is not null").join(imp, "file_id", "left_semi").select("file_id", "category", "node_name").distinct()
 
 
 @query(f"WITH {SYMBOLS} SELECT file_id, min(start_line) AS s, max(end_line) AS e, sum(end_line - start_line) AS size, bool_and(category = 'import') AS import_only, bool_or(parent_name IS NULL) AS top_level FROM sy WHERE file_id IS NOT NULL GROUP BY 1")
@@ -516,9 +542,10 @@ def intersect_allowlist(spark, d):
     return read(spark, d, "files").select("file_path").intersect(read(spark, d, "repo_files").select("file_path"))
 
 
-@query("SELECT file_path FROM files EXCEPT SELECT file_path FROM repo_files")
+@query("SELECT file_path FROM files WHERE file_path IS NOT NULL EXCEPT SELECT file_path FROM repo_files")
 def except_servers(spark, d):
-    return read(spark, d, "files").select("file_path").exceptAll(read(spark, d, "repo_files").select("file_path")).distinct().join(read(spark, d, "repo_files").select("file_path").distinct(), "file_path", "left_anti")
+    known = read(spark, d, "repo_files").select("file_path")
+    return read(spark, d, "files").where("file_path is not null").select("file_path").distinct().join(known, "file_path", "left_anti")
 
 
 @query("SELECT DISTINCT language FROM files")
@@ -552,10 +579,11 @@ def dedup_keep_last(spark, d):
     return symbols(spark, d).where("file_id > 0").groupBy("file_id", "start_line").agg(F.max("id").alias("id")).select("id", "start_line")
 
 
-@query(f"WITH {SYMBOLS} SELECT file_id, count(DISTINCT (node_type, node_name)) AS n FROM sy WHERE file_id > 0 AND node_type IS NOT NULL AND node_name IS NOT NULL GROUP BY 1")
+@query(f"WITH {SYMBOLS} SELECT file_id, node_type, node_name, min(id) AS id FROM sy WHERE file_id > 0 AND node_type IS NOT NULL AND node_name IS NOT NULL GROUP BY ALL")
 def dedup_hierarchy(spark, d):
-    h = symbols(spark, d).where("file_id > 0 and node_type is not null and node_name is not null").select("file_id", "node_type", "node_name").distinct()
-    return h.groupBy("file_id").agg(F.count("*").alias("n"))
+    """The first mention of each (type, name) of a file."""
+    h = symbols(spark, d).where("file_id > 0 and node_type is not null and node_name is not null")
+    return h.groupBy("file_id", "node_type", "node_name").agg(F.min("id").alias("id"))
 
 
 @query("SELECT file_path, (row_number() OVER (ORDER BY file_path) - 1) // 200 AS batch FROM (SELECT DISTINCT file_path FROM files)")

@@ -34,6 +34,12 @@ def get_object(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+def delete_object(spark: SparkSession, path: str) -> bool:
+    """Remove an object; says whether it was there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, False)
+
+
 class _Repo(InputPartition):
     def __init__(self, path: str):
         self.path = path

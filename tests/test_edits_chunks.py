@@ -47,6 +47,30 @@ def test_unified():
     assert E.unified("", "@@ @@\n+new")[0] == "new\n"
 
 
+def test_normalised_hunks():
+    h = [" a", "-b", "+c", " d"]
+    assert E.normalised(h) == h and E.normalised([" a", " b"]) == [] and E.normalised(["-x", "+x"]) == []
+    assert E.normalised(["-b", "+c", " d", "   "]) == ["-b", "+c", " d", " "]
+    assert E.distinct_hunks([h, list(h), [" same"], ["+n"]]) == [h, ["+n"]]
+
+
+def test_relative_indents():
+    for t in ("a\n  b\n    c\n\n  d\ne\n", "\tx\n  y\n", "", "   \n a"):
+        assert E.absolute(E.relative(t)) == t
+    text = "class A:\n    def f(self):\n        x = 1\n        y = 2\n    z = 3\n"
+    assert E.flexible_replace(text, "        x = 1\n        y = 2\n", "        q = 0\n") == text.replace("        x = 1\n        y = 2\n", "        q = 0\n")
+    assert E.flexible_replace(text, "\n\n        x = 1\n", "        q = 0\n") == text.replace("x = 1", "q = 0")
+    want = text.replace("x = 1", "q = 0").replace("y = 2", "w = 1")
+    assert E.flexible_replace(text, "    x = 1\n    y = 2\n", "    q = 0\n    w = 1\n") == want  # only the indents between lines count
+    assert E.flexible_replace(text, "nothing of it\n", "x\n") is None and E.flexible_replace(text, "\n", "x") is None
+
+
+def test_line_numbered_runner():
+    assert E.RUNNERS["line_numbered"]("a\nb\n", '[[1, 1, "x\\n"]]') == ("x\nb\n", [])
+    with pytest.raises(E.EditError):
+        E.RUNNERS["line_numbered"]("a\n", "no json")
+
+
 def test_apply_edits(spark):
     rows = [("p", "a\nb\n", "search_and_replace", block("a", "z")), ("q", None, "unified", None), ("r", "a", "nothing", "")]
     got = {r[0]: (r[1], r[2]) for r in E.apply_edits(spark.createDataFrame(rows, "file_path string, content string, kind string, diff string")).collect()}
