@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusmill.functions.text import with_tokens
+from corpusmill.operators.prefix import range_parts, with_carry
 from corpusmill.operators.textindex import B, K1, TextIndex
 from corpusmill.session import spread
 
@@ -207,16 +208,26 @@ def without_contained(chunks: DataFrame, path: str, start: str, end: str, key: s
     use do, unless `keep_one`, which keeps the one with the least key.
 
     No self join: a range is contained if an earlier start reaches its end, or one with the same start does; both are
-    running maxima over ranges ordered by (start, end desc), after equal ranges were counted.
+    running maxima over ranges ordered by (start, end desc), after equal ranges were counted. The maxima run within range
+    parts and are carried over them, so a file with very many ranges is no single task's work.
     """
-    same = chunks.groupBy(path, start, end).agg(F.count("*").alias("_same"), F.min(key).alias("_first"))
-    w = Window.partitionBy(path).orderBy(F.col(start), F.col(end).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    free = same.withColumn("_reach", F.max(end).over(w)).where(F.col("_reach").isNull() | (F.col("_reach") < F.col(end)))
+    same = chunks.groupBy(path, start, end).agg(F.count("*").alias("_same"), F.min(key).alias("_first")).withColumn("_down", -F.col(end))
+    p = with_carry(range_parts(same, [path, start, "_down"]), [path], F.max(end), F.max)
+    w = Window.partitionBy(path, "_part").orderBy(start, "_down").rowsBetween(Window.unboundedPreceding, -1)
+    free = p.withColumn("_reach", F.greatest(F.max(end).over(w), F.col("_carry"))).where(F.col("_reach").isNull() | (F.col("_reach") < F.col(end)))
     free = free if keep_one else free.where(F.col("_same") == 1)
     out = chunks.join(free.select(path, start, end, "_first"), [path, start, end])
     return (out.where(F.col(key) == F.col("_first")) if keep_one else out).drop("_first")
 
 
+def ranked_heuristic(chunks: DataFrame, path: str, start: str, end: str, key: str) -> DataFrame:
+    """Chunks without those contained in others, and `pos`, their place in their file by (start, key)."""
+    free = without_contained(chunks, path, start, end, key)
+    p = with_carry(range_parts(free, [path, start, key]), [path], F.count("*"), F.sum)
+    w = Window.partitionBy(path, "_part").orderBy(start, key)
+    return p.withColumn("pos", F.row_number().over(w) + F.coalesce("_carry", F.lit(0))).drop("_part", "_carry")
+
+
 class LlmReranker:
     """Keeps the chunks whose denotations an injected callable returns, in their own order; an empty answer keeps all.
 

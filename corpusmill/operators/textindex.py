@@ -1,7 +1,7 @@
 """A stored inverted index: texts are cut up once, and a query reads the buckets of its own terms.
 
-`postings` has one row per term of a text with its count and the text's length, in folders by the hash of the term and
-sorted by term within, so a query's scan is pruned to a few folders and row groups. A term that very many texts have is
+`postings` has one row per occurrence of a term with the text's length, in folders by the hash of the term and sorted by
+term and text within, so a query's scan is pruned to a few folders and row groups, and counts only its own terms. A term that very many texts have is
 spread over files by the hash of the text. `keys` has the texts' keys, lengths and whatever columns results should carry,
 and `stats` the numbers of the collection. Building shuffles terms once; texts are not shuffled.
 """
@@ -42,8 +42,7 @@ class TextIndex:
         # an outer explode: for an inner one the optimizer would test the array's size below, cutting up the texts again
         one = rows.select("key", "dl", F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
         one = one.withColumn("bucket", _bucket(F.col("term"), self.buckets)).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(SPREAD)))
-        tf = one.repartition("bucket", "part").groupBy("bucket", "part", "term", "key").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        tf.drop("part").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.folder}/postings")
+        one.repartition("bucket", "part").drop("part").sortWithinPartitions("bucket", "term", "key").write.partitionBy("bucket").parquet(f"{self.folder}/postings")
         counted = self.keys() if self.empty_count else self.keys().where("dl > 0")
         counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("total")).write.parquet(f"{self.folder}/stats")
         return self
@@ -52,13 +51,13 @@ class TextIndex:
         return self.spark.read.parquet(f"{self.folder}/keys")
 
     def _postings(self, terms: list[str]) -> DataFrame:
-        """key, term, tf, dl of some terms; only their buckets are read."""
+        """key, term, dl, tf of some terms; only their buckets are read."""
         if not terms:
-            return self.spark.createDataFrame([], "key string, term string, tf bigint, dl int")
+            return self.spark.createDataFrame([], "key string, term string, dl int, tf bigint")
         key = self.keys().schema["key"].dataType.simpleString()
-        p = self.spark.read.schema(f"term string, key {key}, tf bigint, dl int, bucket int").parquet(f"{self.folder}/postings")
+        p = self.spark.read.schema(f"term string, key {key}, dl int, bucket int").parquet(f"{self.folder}/postings")
         of = self.spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("t")).select(_bucket(F.col("t"), self.buckets)).distinct()
-        return p.where(F.col("bucket").isin([r[0] for r in of.collect()]) & F.col("term").isin(terms)).drop("bucket")
+        return p.where(F.col("bucket").isin([r[0] for r in of.collect()]) & F.col("term").isin(terms)).groupBy("key", "term").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
 
     def stats(self) -> tuple[int, int]:
         """(documents, total length)"""

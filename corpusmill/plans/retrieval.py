@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import search as S
-from corpusmill.session import read
+from corpusmill.session import checkpoint, read
 
 from . import indexes
 from .tables import BM25, CUR, SAMPLES, TOKENS, bm25_sql, query_sql, samples, versions
@@ -287,8 +287,7 @@ def theta_containment_anti(spark, d):
 )
 def rerank_heuristic(spark, d):
     """Containment removed, then the order within each file."""
-    w = Window.partitionBy("file_id").orderBy("start_line", "id")
-    return theta_containment_anti(spark, d).withColumn("pos", F.row_number().over(w))
+    return S.ranked_heuristic(_ranges(spark, d), "file_id", "start_line", "end_line", "id").select("id", "file_id", "start_line", "end_line", "pos")
 
 
 # searches in the chunk store: stored chunks stand for chunk files, their paths' present versions for the files to search
@@ -373,7 +372,7 @@ def relevant_chunks(spark, d):
     focus = cf.join(F.broadcast(focus_files), "path", "left_semi").select("id", "path", "s", F.coalesce("e", "s").alias("e"), "text")
     others = white.join(F.broadcast(focus_files), "path", "left_anti").where(~F.col("path").startswith("web/"))
     related = _search(spark, d, others).select("id").join(cf, "id").select("id", "path", "s", F.coalesce("e", "s").alias("e"), "text")
-    both = S.relevant_chunks(focus, related, "text")
+    both = checkpoint(S.relevant_chunks(focus, related, "text").select("id", "path", "s", "e", "origin"))  # few rows, used twice
     return S.without_contained(both.where("s is not null"), "path", "s", "e", "id").select("id", "origin")
 
 
