@@ -22,7 +22,7 @@ stronzo stronza coglione coglioni bastardo idiotas otário babaca
 #: Of these, the ones that are ordinary words elsewhere: alone they are none, said to a person they are.
 SOFT = set(_w("""
 loser losers parasite parasites minable minables basura inútil inútiles payaso payasa débile débiles ordure ordures prick pricks bouffon retard simpleton simpletons idiota idiotas versager clown worm pig rat trash garbage
-degenerate degenerates jerk jerks dummy tramp slag turd turds bastardo puta puto tonto tonta zorra douche oaf oafs slut dunce dolt twit
+pute putes degenerate degenerates jerk jerks dummy tramp slag turd turds bastardo puta puto tonto tonta zorra douche oaf oafs slut dunce dolt twit
 """))
 #: Nouns that demean where they are said of a person, not elsewhere.
 DEMEANING = _w("""

@@ -84,6 +84,13 @@ class Merger:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
         self.cache: dict[str, tuple[int, ...]] = {}
         self.table = class_table()
+        self._back: dict[int, bytes] = {}
+
+    def back(self) -> dict[int, bytes]:
+        """Bytes of each id."""
+        if not self._back:
+            self._back = {i: b for b, i in self.ranks.items()}
+        return self._back
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a piece: the adjacent pair of least rank, the leftmost first, is merged until none has a rank."""
@@ -222,6 +229,21 @@ def count_tokens(docs: DataFrame, keep: list[str], text: str, path: str = DEFAUL
     return kept.mapInArrow(run, schema)
 
 
+def truncated(m: Merger, text: str, most: int) -> str:
+    """The text of its first most - 1 ids; one is left for a special token."""
+    flat = m.encode([text])[0].tolist()[: max(most - 1, 0)]
+    back = m.back()
+    return b"".join(back[i] for i in flat).decode("utf-8", "replace")
+
+
+def split_by_tokens(m: Merger, text: str, most: int) -> list[str]:
+    """Stretches of at most `most` ids each. A stretch may end within a character, which is then replaced on both sides."""
+    if most < 1:
+        raise ValueError("stretches need at least one id")
+    flat, back = m.encode([text])[0].tolist(), m.back()
+    return [b"".join(back[i] for i in flat[a : a + most]).decode("utf-8", "replace") for a in range(0, len(flat), most)]
+
+
 def decode(rows: DataFrame, key: str, ids: str = "ids", path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """key, text: the inverse of `encode` (null texts come back as empty ones)."""
     data = vocabulary(path)

@@ -65,6 +65,15 @@ def test_encode_decode(spark):
     assert all(n[r["doc_id"]] == len(r["ids"]) for r in got)
 
 
+def test_truncate_and_split():
+    m = bpe.Merger(bpe.vocabulary())
+    text = "one two three four five six"
+    ids = m.encode([text])[0].tolist()
+    assert bpe.truncated(m, text, 4) == "one two three" and bpe.truncated(m, text, 100) == text and bpe.truncated(m, "", 5) == "" and bpe.truncated(m, text, 1) == ""
+    parts = bpe.split_by_tokens(m, text, 2)
+    assert "".join(parts) == text and len(parts) == -(-len(ids) // 2) and bpe.split_by_tokens(m, "", 2) == []
+
+
 def test_plan(spark):
     def plan(targets, sizes, total=None):
         t = spark.createDataFrame(targets, "source string, weight double, max_repeats int")
