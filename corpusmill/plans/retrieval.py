@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import search as S
-from corpusmill.session import checkpoint, read
+from corpusmill.session import checkpoint, read, small
 
 from . import indexes
 from .tables import BM25, CUR, SAMPLES, TOKENS, bm25_sql, query_sql, samples, versions
@@ -121,7 +121,7 @@ def _query_vectors(spark, d):
 
 @query(f"WITH {_QV} SELECT vec_id, qv.label, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS cos FROM embeddings CROSS JOIN qv")
 def cosine_similarity(spark, d):
-    q = F.broadcast(_query_vectors(spark, d))
+    q = small(_query_vectors(spark, d))
     return read(spark, d, "embeddings").drop("label").join(q).select("vec_id", "label", F.round(S.cosine(F.col("embedding"), F.col("q")), 6).alias("cos"))
 
 
@@ -139,7 +139,7 @@ def mean_query_similarity(spark, d):
 
 @query(f"WITH {_QV} SELECT count(*) AS n_pairs FROM embeddings CROSS JOIN qv")
 def cross_query_text(spark, d):
-    return read(spark, d, "embeddings").drop("label").crossJoin(F.broadcast(_query_vectors(spark, d))).agg(F.count("*").alias("n_pairs"))
+    return read(spark, d, "embeddings").drop("label").crossJoin(small(_query_vectors(spark, d))).agg(F.count("*").alias("n_pairs"))
 
 
 @query(f"WITH {_VEC} SELECT vec_id, round(score, 6) AS score FROM vs ORDER BY round(score, 6) DESC, vec_id LIMIT 20")

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def get_spark(app: str = "corpusmill", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -81,3 +81,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """`df` marked for broadcast if it has at most `most` rows, else as it is, so that the join is shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
