@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from corpusmill.session import checkpoint
+
 #: A key with more than this fraction of all references is hot. There can be no more than 1 / HOT of them.
 HOT = 1 / 1000
 
@@ -74,7 +76,7 @@ def orphan_rows(tables: dict[str, DataFrame], files: DataFrame, deletions: DataF
     without an id is a row of its own by its other columns; it appears with a null row_id.
     """
     if state is None:
-        state = fold_deltas(reference_deltas(tables), existence_deltas(files, deletions))
+        state = checkpoint(fold_deltas(reference_deltas(tables), existence_deltas(files, deletions)))  # one row per key, used three times
     total = state.agg(F.sum("d_ref").alias("_total"))
     keys = state.where(F.col("d_ref") > 0).select("key", "d_ref", (F.col("d_exist") <= 0).alias("gone"), "visible_from", "ref_from")
     is_hot = F.col("d_ref") > HOT * F.col("_total")
