@@ -17,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusmill.functions.paths import normal_hash, normal_path
+from corpusmill.session import shuffle_partitions
 
 #: Windows are attached to the feed by a broadcast join up to this many pending runs, beyond by a shuffled one.
 BROADCAST_RUNS = 100_000
@@ -102,8 +103,9 @@ class IncrementalFeed:
     An empty feed commits its watermark and gives no row. Extra columns are ignored.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 32, compact_every: int = 20):
-        self.spark, self.folder, self.buckets, self.compact_every = spark, folder.rstrip("/"), buckets, compact_every
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None, compact_every: int = 20):
+        """`buckets` of a new feed; by default as many as shuffles have partitions, and 32 at least. A feed keeps its number."""
+        self.spark, self.folder, self.compact_every = spark, folder.rstrip("/"), compact_every
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -111,6 +113,7 @@ class IncrementalFeed:
         self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
         self._no_options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         self._fs.mkdirs(self._path(f"{self.folder}/manifests"))
+        self.buckets = self.head().get("buckets") or buckets or max(32, shuffle_partitions(spark))
 
     def _versions(self) -> list[int]:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/manifests"))]
@@ -222,7 +225,7 @@ class IncrementalFeed:
         moved.write.partitionBy("bucket").parquet(f"{self.folder}/{folder}/delta")
         if fail_at == "output":
             raise RuntimeError("failed after the output")
-        manifest = {"version": version, "dir": folder, "base": head["base"], "deltas": [*head["deltas"], folder], **mark}
+        manifest = {"version": version, "dir": folder, "base": head["base"], "deltas": [*head["deltas"], folder], "buckets": self.buckets, **mark}
         if len(manifest["deltas"]) >= self.compact_every:
             full = self.state(manifest).groupBy(*key).agg(F.max("cur").alias("cur"))
             full.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{folder}/base")

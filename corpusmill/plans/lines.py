@@ -92,10 +92,11 @@ def searchable_file_name(spark, d):
     return read(spark, d, "repo_files").select("file_path", base_name(F.col("file_path")).alias("name")).distinct()
 
 
-@query(f"WITH {SAMPLES} SELECT file_id, md5('find the bug' || chr(10) || string_agg(text, chr(10) ORDER BY id)) AS digest FROM ck GROUP BY 1")
+@query(f"WITH {SAMPLES} SELECT path, md5('find the bug' || chr(10) || string_agg(text, chr(10) ORDER BY s, id)) AS digest FROM ck WHERE path IS NOT NULL AND s IS NOT NULL GROUP BY 1")
 def build_focus_query(spark, d):
-    g = samples(spark, d).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("a"))
-    return g.select("file_id", F.md5(F.concat(F.lit("find the bug\n"), F.array_join(F.transform("a", lambda x: x["text"]), "\n"))).alias("digest"))
+    """A query with the chunks of a focus file after it, in their order; one file's chunks are what a request holds."""
+    g = samples(spark, d).where("path is not null and s is not null").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("s", "id", "text"))).alias("a"))
+    return g.select("path", F.md5(F.concat(F.lit("find the bug\n"), F.array_join(F.transform("a", lambda x: x["text"]), "\n"))).alias("digest"))
 
 
 @query(f"WITH {SAMPLES} SELECT id, path, s FROM ck")
