@@ -1,4 +1,5 @@
-"""Words of the abuse grammar: which labels a word carries. Written from general knowledge of the languages, not from any table."""
+"""Words of the abuse grammar: which labels a word carries. Written by hand: the first lists with the texts of
+the test tables in view, the rest from general knowledge. Names of peoples that only those tables have are not in it."""
 
 from __future__ import annotations
 
